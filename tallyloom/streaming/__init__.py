@@ -1,0 +1 @@
+"""Deliberately empty: the work this package covers is batch only, see the README."""

@@ -129,18 +129,14 @@ DETAILS_CREDIT = (
 )
 DETAILS_PENDING = "Invoice exists on the ERP side but has not finished posting yet."
 
-# --- names of the quality checks, in report order --------------------------------------
-CHECK_NAMES = (
-    "Bronze Vendor Statement",
-    "Silver Vendor Statement",
-    "Bronze Internal ERP",
-    "Silver Internal ERP",
-    "Review Queue",
-    "AI Audit Log",
-    "Mutation Manifest",
-    "Gold Matched Invoices",
-    "Gold Exceptions",
-    "Gold Vendor Summary",
-    "Gold Shop Summary",
-    "Gold Reconciliation Summary",
-)
+# --- texts of the quality checks -----------------------------------------------------------
+CHECK_ROWS = "{rows} row(s)"
+CHECK_EMPTY = "table is empty"
+CHECK_NO_SIDE = "no {side} rows found"
+CHECK_UNREADABLE = "query failed: table not found"
+CHECK_BAD_DATES = ", {bad} with unparsed invoice_date"
+CHECK_QUEUE = "{rows} row(s) flagged for review (informational)"
+CHECK_AUDIT = "{rows} AI call(s) logged (informational)"
+CHECK_MATCHES = ", {bad} missing matched_rule/match_reason"
+CHECK_EXCEPTIONS = ", {bad} missing exception_category/deterministic_reason"
+CHECK_STATUS = ", {bad} with an unrecognized overall_status"

@@ -93,11 +93,11 @@ def orphans(statement: DataFrame, ledger: DataFrame) -> DataFrame:
     return lookup_join(unmatched, work_orders, work_orders.columns, "left_anti")
 
 
-def orphan_exceptions(statement: DataFrame, ledger: DataFrame, run_at: str | None = None) -> DataFrame:
+def orphan_exceptions(orphan_rows: DataFrame, run_at: str | None = None) -> DataFrame:
     # Plain text in the message, unlike the quoted numbers of the other reasons; never NULL.
     number = F.coalesce("invoice_number", quoted(F.col("invoice_number")))
     return _exceptions(
-        orphans(statement, ledger),
+        orphan_rows,
         "orphan",
         F.lit(K.UNMATCHED_RECORD),
         render(K.REASON_UNMATCHED, number=number),
@@ -107,9 +107,9 @@ def orphan_exceptions(statement: DataFrame, ledger: DataFrame, run_at: str | Non
     )
 
 
-def exceptions(classified: DataFrame, statement: DataFrame, ledger: DataFrame, run_at: str | None = None) -> DataFrame:
+def exceptions(classified: DataFrame, orphan_rows: DataFrame, run_at: str | None = None) -> DataFrame:
     """Statement exceptions and orphaned ledger rows in one table."""
-    return statement_exceptions(classified, run_at).unionByName(orphan_exceptions(statement, ledger, run_at))
+    return statement_exceptions(classified, run_at).unionByName(orphan_exceptions(orphan_rows, run_at))
 
 
 _SHOP = ["vendor_id", "statement_period", "shop"]

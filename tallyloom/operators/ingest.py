@@ -405,7 +405,7 @@ def duplicate_rows(flagged: DataFrame, key: Sequence[str], run_at: str | None =
         row_number=F.col("row_number"),
         rejection_category=F.lit(K.DUPLICATE_RECORD),
         rejection_details=text.render(K.DETAIL_DUPLICATE, fields=F.lit(names), values=values),
-        raw_payload=F.to_json(F.struct(*_PAYLOAD)),
+        raw_payload=F.to_json(F.struct(*_PAYLOAD), {"ignoreNullFields": "false"}),
     )
 
 
@@ -419,13 +419,16 @@ def candidate_records(
     valid = accepted(records)
     if not rules.fallback_on_failure:
         return valid
-    cells = cells_to_records(pages, rules)
-    missing = [f for f in _OPTIONAL if f not in cells.columns]
-    for f in missing:
-        cells = cells.withColumn(f, F.lit(None).cast("string"))
+    cells = with_blank_extraction(cells_to_records(pages, rules))
     return with_fallback(valid, standardize(cells, rules.derive_amount))
 
 
+def with_blank_extraction(cells: DataFrame) -> DataFrame:
+    """Table-cell records with the fields only a response can fill, all NULL."""
+    blank = [f for f in (*_OPTIONAL, "model", "text") if f not in cells.columns]
+    return cells.withColumns({f: F.lit(None).cast("string") for f in blank})
+
+
 def pattern_flags(bronze: DataFrame, pattern: str) -> DataFrame:
     """Flag, never reject, invoice numbers that do not look like this vendor's."""
     return bronze.withColumn("conforms", F.coalesce(text.conforms(F.col("raw_invoice_number"), pattern), F.lit(False)))

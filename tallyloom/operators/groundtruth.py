@@ -58,27 +58,29 @@ def ranked(rows: DataFrame, key: Column, seed: int) -> DataFrame:
 def _cuts(mix: Mapping[str, float]) -> Callable[[DataFrame], DataFrame]:
     """Add `_cuts`: the rank at which each label ends. Rows per label are the half-even rounded
     share; the largest label (the first on ties) absorbs what rounding leaves over."""
-    shares = F.array(*[F.lit(float(pct)) for pct in mix.values()])
+    rows = [f"_rows_{i}" for i in range(len(mix))]
+    ends = [f"_end_{i}" for i in range(len(mix))]
     zero = F.lit(0).cast("bigint")
 
-    def total_of(counts: Column) -> Column:
-        return F.aggregate(counts, zero, lambda a, b: a + b)
-
     def extend(offsets: DataFrame) -> DataFrame:
-        rounded = offsets.withColumn(
-            "_rows", F.transform(shares, lambda p: F.bround(p * F.col("_total"), 0).cast("bigint"))
+        shares = {
+            name: F.bround(F.lit(float(pct)) * F.col("_total"), 0).cast("bigint") for name, pct in zip(rows, mix.values())
+        }
+        wanted = offsets.withColumns(shares)
+        assigned = sum((F.col(n) for n in rows), zero)
+        most = F.array_max(F.array(*rows))
+        wanted = wanted.withColumns(
+            {"_drift": F.col("_total") - assigned, "_largest": F.array_position(F.array(*rows), most) - 1}
         )
-        drift = F.col("_total") - total_of(F.col("_rows"))
-        largest = F.array_position("_rows", F.array_max("_rows")) - 1
-        settled = rounded.withColumns({"_drift": drift, "_largest": largest}).withColumn(
-            "_rows",
-            F.transform(
-                "_rows",
-                lambda n, i: F.when(i == F.col("_largest"), F.greatest(n + F.col("_drift"), zero)).otherwise(n),
-            ),
+        settled = wanted.withColumns(
+            {
+                n: F.when(F.col("_largest") == i, F.greatest(F.col(n) + F.col("_drift"), zero)).otherwise(F.col(n))
+                for i, n in enumerate(rows)
+            }
         )
-        cuts = F.transform("_rows", lambda n, i: total_of(F.slice("_rows", F.lit(1), i + 1)))
-        return settled.withColumn("_cuts", cuts).drop("_rows", "_drift", "_largest")
+        for i, (end, n) in enumerate(zip(ends, rows)):
+            settled = settled.withColumn(end, F.col(n) + (F.col(ends[i - 1]) if i else zero))
+        return settled.select(*offsets.columns, F.array(*ends).alias("_cuts"))
 
     return extend
 
@@ -86,9 +88,10 @@ def _cuts(mix: Mapping[str, float]) -> Callable[[DataFrame], DataFrame]:
 def proportional_split(rows: DataFrame, mix: Mapping[str, float], key: Column, seed: int) -> DataFrame:
     """Give every row exactly one label, in the mix's proportions, reproducibly for a seed."""
     numbered = _ranked(rows, key, seed, _cuts(mix))
-    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col(RANK)))
-    names = F.array(*[F.lit(name) for name in mix])
-    return numbered.withColumn(LABEL, F.get(names, passed)).drop("_cuts")
+    label = F
+    for i, name in enumerate(mix):
+        label = label.when(F.col(RANK) < F.get("_cuts", F.lit(i)), name)
+    return numbered.withColumn(LABEL, label).drop("_cuts")
 
 
 def mix_report(labelled: DataFrame, mix: Mapping[str, float]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom import contract as K
 from tallyloom.config import ValidationRules, VendorRules
 from tallyloom.functions import keys, money, text
-from tallyloom.operators.joins import lookup_join
+from tallyloom.operators.joins import computed_once, lookup_join
 from tallyloom.schemas import schema
 
 DOCUMENT = ["vendor_id", "source_file", "statement_id", "statement_period"]
@@ -104,7 +104,7 @@ def parse_responses(pages: DataFrame) -> DataFrame:
     objects = F.filter("_invoices", lambda x: x.startswith("{"))
     ok = F.col("success")
     return (
-        pages.withColumn("_invoices", F.when(ok, invoices))
+        computed_once(pages, _invoices=F.when(ok, invoices))
         .withColumn("items", objects)
         .withColumn(
             "contract_error",
@@ -125,12 +125,10 @@ def standardize(records: DataFrame, derive_amount: bool) -> DataFrame:
     amount = F.col("amount")
     if derive_amount:
         amount = F.when(amount.isNull() | (amount == ""), F.col("outstanding_amount")).otherwise(amount)
-    return records.withColumns(
-        {
-            "vendor": F.col("vendor_id"),
-            "amount": money.canonical_amount(amount),
-            "outstanding_amount": money.canonical_amount(F.col("outstanding_amount")),
-        }
+    return computed_once(
+        records.withColumn("vendor", F.col("vendor_id")),
+        amount=money.canonical_amount(amount),
+        outstanding_amount=money.canonical_amount(F.col("outstanding_amount")),
     )
 
 
@@ -198,13 +196,12 @@ def validate(records: DataFrame, rules: ValidationRules) -> DataFrame:
             broken = broken | F.coalesce(fails, F.lit(False))
     limit = F.lit(None) if threshold is None else F.lit(float(threshold))
     # A threshold is reported with a rejected record only where it decided.
-    return records.withColumns(
-        {
-            "rejection_category": category.otherwise(F.lit(None)),
-            "rejection_details": details.otherwise(F.lit(None)),
-            "checked_confidence": F.when(~broken, confidence),
-            "threshold_applied": F.when(~broken, limit.cast("double")),
-        }
+    return computed_once(
+        records,
+        rejection_category=category.otherwise(F.lit(None)),
+        rejection_details=details.otherwise(F.lit(None)),
+        checked_confidence=F.when(~broken, confidence),
+        threshold_applied=F.when(~broken, limit.cast("double")),
     )
 
 
@@ -219,7 +216,7 @@ def page_records(pages: DataFrame, rules: VendorRules, validation: ValidationRul
         F.posexplode_outer("items").alias("pos", "item"),
     )
     item_type = ", ".join(f"{f} string" for f in fields)
-    read = rows.withColumn("_item", F.from_json("item", item_type))
+    read = computed_once(rows, _item=F.from_json("item", item_type))
     flat = read.select(*rows.columns, *[F.col(f"_item.{f}").alias(f) for f in fields]).withColumn(
         "row_number", (F.col("pos") + 1).cast("int")
     )

@@ -33,6 +33,13 @@ def lookup_join(
     return left.join(right, condition, how).drop("_mix", "_mix_r", *marks.values())
 
 
-def renamed(frame: DataFrame, **names: str) -> DataFrame:
-    """Select columns under new names: `renamed(df, new="old")`."""
-    return frame.select(*[F.col(old).alias(new) for new, old in names.items()])
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often they are used afterwards.
+
+    A filter on a computed column is pushed below the projection and takes a copy of the
+    expression along, and so does every column built on it. A generator stops both: what it
+    yields is a plain value. Worth it for costly expressions only, such as parsing JSON.
+    """
+    once = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(once)))

@@ -10,18 +10,28 @@ from tallyloom.config import Adapter, MatchRules, ValidationRules, VendorRules
 from tallyloom.operators import gold, ingest, matching, normalize
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def lazily(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 def from_responses(
     pages: DataFrame,
     vendor: VendorRules,
     validation: ValidationRules = ValidationRules(),
     provider: str = "extractor",
     run_at: str | None = None,
+    keep: Keep = lazily,
 ) -> dict[str, DataFrame]:
-    """Extraction responses with validation, per-page fallback, de-duplication, review and audit."""
+    """Extraction responses with validation, per-page fallback, de-duplication, review and audit.
+
+    Parsed records feed everything here, `keep` decides whether they are written once."""
     with_shop = ingest.attach_shop(pages, vendor)
-    records = ingest.page_records(with_shop, vendor, validation)
+    records = keep(ingest.page_records(with_shop, vendor, validation))
     candidates = ingest.candidate_records(records, with_shop, vendor)
-    flagged = ingest.flag_duplicates(candidates, validation.duplicate_key)
+    flagged = keep(ingest.flag_duplicates(candidates, validation.duplicate_key))
     queue = (
         ingest.rejected_rows(records, run_at)
         .unionByName(ingest.failed_pages(records, run_at))
@@ -40,6 +50,7 @@ def from_cells(
     validation: ValidationRules = ValidationRules(),
     provider: str = "extractor",
     run_at: str | None = None,
+    keep: Keep = lazily,
 ) -> dict[str, DataFrame]:
     """Table cells straight to Bronze: no validation, no review, no audit."""
     rows = ingest.cells_to_records(ingest.attach_shop(pages, vendor), vendor)
@@ -70,17 +81,17 @@ def to_gold(
     silver: DataFrame,
     rules: MatchRules = MatchRules(),
     run_at: str | None = None,
-    keep: Callable[[str, DataFrame], DataFrame] = lambda _, rows: rows,
+    keep: Keep = lazily,
 ) -> dict[str, DataFrame]:
     """The five Gold tables.
 
-    The classified rows feed four of them. `keep(name, rows)` may write a frame to a table and
-    return it read back, so that the joins behind it run once; by default it stays lazy.
+    The classified rows feed four of them. `keep` may write a frame and return it read back, as
+    `sources.staging.stored` does, so that the joins behind it run once; by default all stays lazy.
     """
     statement, ledger = normalize.sides(silver)
-    classified = keep("classified", matching.classify(statement, ledger, rules))
-    orphan_rows = keep("orphans", gold.orphans(statement, ledger))
-    shops = keep("shops", gold.shop_aggregates(classified, orphan_rows, ledger))
+    classified = keep(matching.classify(statement, ledger, rules))
+    orphan_rows = keep(gold.orphans(statement, ledger))
+    shops = gold.shop_aggregates(classified, orphan_rows, ledger)
     return {
         "gold_matched_invoices": gold.matched_invoices(classified, run_at),
         "gold_exceptions": gold.exceptions(classified, orphan_rows, run_at),
@@ -88,8 +99,3 @@ def to_gold(
         "gold_shop_summary": gold.shop_summary(shops),
         "gold_reconciliation_summary": gold.reconciliation_summary(shops, rules),
     }
-
-
-def checkpointed(_: str, rows: DataFrame) -> DataFrame:
-    """A `keep` that cuts lineage in the checkpoint folder the session names."""
-    return rows.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tallyloom.functions import dates, keys, money, text
 from tallyloom.operators import gold, groundtruth, ingest, matching, normalize, quality
 from tallyloom.sources import orders as source
 from tallyloom.sources import tables
+from tallyloom.sources.staging import stored
 from tallyloom.schemas import schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,34 +34,78 @@ def registry() -> dict[str, Query]:
 
 
 # --- shared inputs ----------------------------------------------------------------------
-def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return source.statement_silver(spark, sf), source.ledger_silver(spark, sf)
+class _Inputs:
+    """Statement and ledger side of one data folder, each derived from the one before.
 
+    Matching starts from a Silver table; `silver` is that table, written once per query."""
 
-def _classified(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.classify(*_sides(spark, sf), MatchRules())
+    def __init__(self, spark: SparkSession, sf: str):
+        self.statement_bronze = source.statement_bronze(spark, sf)
+        self.statement = source.statement_silver(self.statement_bronze)
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        return source.planted(self.statement)
+
+    @cached_property
+    def ledger_bronze(self) -> DataFrame:
+        return source.ledger_bronze(self.plan)
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return source.ledger_silver(self.ledger_bronze)
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        return source.manifest(self.plan)
+
+    @cached_property
+    def silver(self) -> tuple[DataFrame, DataFrame]:
+        both = stored(self.statement.unionByName(self.ledger), partition_by=["record_source"])
+        return normalize.sides(both)
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        return matching.classify(*self.silver, MatchRules())
+
+    @cached_property
+    def classified_table(self) -> DataFrame:
+        return stored(self.classified)
+
+    @cached_property
+    def orphans(self) -> DataFrame:
+        return gold.orphans(*self.silver)
+
+    @cached_property
+    def shops(self) -> DataFrame:
+        return gold.shop_aggregates(self.classified, self.orphans, self.silver[1])
+
+    @cached_property
+    def graded(self) -> DataFrame:
+        return groundtruth.grade(self.manifest, self.classified)
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.attach_shop(source.pages(spark, sf), source.VENDOR)
+    """The page table, written once per query, with each document's shop."""
+    return ingest.attach_shop(stored(source.pages(spark, sf)), source.VENDOR)
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.page_records(_pages(spark, sf), source.VENDOR, VALIDATION)
+def _records_of(pages: DataFrame) -> DataFrame:
+    return ingest.page_records(pages, source.VENDOR, VALIDATION)
 
 
-def _flagged(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = ingest.candidate_records(_records(spark, sf), _pages(spark, sf), source.VENDOR)
-    return ingest.flag_duplicates(candidates, _DUPLICATE_KEY)
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return _records_of(_pages(spark, sf))
 
 
-def _shops(spark: SparkSession, sf: str) -> DataFrame:
-    statement, ledger = _sides(spark, sf)
-    return gold.shop_aggregates(_classified(spark, sf), gold.orphans(statement, ledger), ledger)
+def _candidates(pages: DataFrame, records: DataFrame) -> DataFrame:
+    return ingest.candidate_records(records, pages, source.VENDOR)
 
 
-def _graded(spark: SparkSession, sf: str) -> DataFrame:
-    return groundtruth.grade(source.manifest(spark, sf), _classified(spark, sf))
+def _flagged(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf)
+    candidates = _candidates(pages, _records_of(pages))
+    return ingest.flag_duplicates(candidates, _DUPLICATE_KEY)
 
 
 def _timeless(rows: DataFrame, table: str) -> DataFrame:
@@ -70,21 +116,21 @@ def _timeless(rows: DataFrame, table: str) -> DataFrame:
 # --- scans and writes ----------------------------------------------------------------------
 @query
 def scan_scope(spark, sf):
-    rows = tables.scoped(source.statement_silver(spark, sf), "V1", "1997-05")
+    rows = tables.scoped(_Inputs(spark, sf).statement, "V1", "1997-05")
     return rows.select("vendor_id", "statement_period", "invoice_number", "shop", "outstanding_amount")
 
 
 @query
 def conform_schema(spark, sf):
     table = "bronze_internal_erp_raw"
-    return _timeless(tables.conform(source.ledger_bronze(spark, sf), table), table)
+    return _timeless(tables.conform(_Inputs(spark, sf).ledger_bronze, table), table)
 
 
 @query
 def scoped_replace(spark, sf):
     """All May documents are re-issued at twice the amount; December's are withdrawn."""
     columns = ["statement_id", "invoice_number", "outstanding_amount"]
-    silver = source.statement_silver(spark, sf)
+    silver = _Inputs(spark, sf).statement
     month = F.substring("statement_period", 6, 2)
     reissued = silver.where(month == "05").select(
         "statement_id", "invoice_number", (F.col("outstanding_amount") * 2).cast(money.AMOUNT).alias("outstanding_amount")
@@ -95,14 +141,14 @@ def scoped_replace(spark, sf):
 
 @query
 def table_counts(spark, sf):
-    statement, ledger = _sides(spark, sf)
+    given = _Inputs(spark, sf)
     return tables.inventory(
         spark,
         {
-            "bronze_vendor_statement_raw": source.statement_bronze(spark, sf),
-            "bronze_internal_erp_raw": source.ledger_bronze(spark, sf),
-            "silver_reconciliation_standard": statement.unionByName(ledger),
-            "validation_mutation_manifest": source.manifest(spark, sf),
+            "bronze_vendor_statement_raw": given.statement_bronze,
+            "bronze_internal_erp_raw": given.ledger_bronze,
+            "silver_reconciliation_standard": given.statement.unionByName(given.ledger),
+            "validation_mutation_manifest": given.manifest,
             "gold_matched_invoices": None,
         },
     )
@@ -128,7 +174,8 @@ def voucher_lines(spark, sf):
 
 @query
 def page_fallback(spark, sf):
-    rows = ingest.candidate_records(_records(spark, sf), _pages(spark, sf), source.VENDOR)
+    pages = _pages(spark, sf)
+    rows = _candidates(pages, _records_of(pages))
     return rows.select(
         "statement_id", "page_number", "row_number", "invoice_number", "amount", "outstanding_amount",
         F.col("model").isNull().alias("is_fallback"),
@@ -188,11 +235,14 @@ def bronze_rows(spark, sf):
 
 @query
 def review_queue(spark, sf):
-    records = _records(spark, sf)
+    pages = _pages(spark, sf)
+    records = _records_of(pages)
+    records = stored(records)
+    flagged = ingest.flag_duplicates(_candidates(pages, records), _DUPLICATE_KEY)
     rows = (
         ingest.rejected_rows(records)
         .unionByName(ingest.failed_pages(records))
-        .unionByName(ingest.duplicate_rows(_flagged(spark, sf), _DUPLICATE_KEY))
+        .unionByName(ingest.duplicate_rows(flagged, _DUPLICATE_KEY))
     )
     return _timeless(rows, "validation_document_review_queue")
 
@@ -211,7 +261,7 @@ def error_buckets(spark, sf):
 
 @query
 def pattern_flags(spark, sf):
-    flagged = ingest.pattern_flags(source.ledger_bronze(spark, sf), source.VENDOR.invoice_pattern)
+    flagged = ingest.pattern_flags(_Inputs(spark, sf).ledger_bronze, source.VENDOR.invoice_pattern)
     return flagged.groupBy("statement_id").agg(
         F.count("*").alias("records"), F.count_if(~F.col("conforms")).alias("malformed")
     )
@@ -260,20 +310,12 @@ def parse_dates(spark, sf):
 
 @query
 def record_ids(spark, sf):
-    statement = source.statement_bronze(spark, sf).select(
-        "raw_invoice_number",
-        "statement_id",
-        keys.statement_record_id(
-            F.col("vendor_id"), F.col("raw_invoice_number"), F.col("raw_outstanding_amount"), F.col("statement_id")
-        ).alias("record_id"),
-    )
-    ledger = source.ledger_bronze(spark, sf).select(
-        "raw_invoice_number",
-        "statement_id",
-        keys.ledger_record_id(
-            F.col("vendor_id"), F.col("raw_invoice_number"), F.col("raw_outstanding_amount"), F.col("statement_id"),
-            F.col("row_number"),
-        ).alias("record_id"),
+    given = _Inputs(spark, sf)
+    printed = [F.col(c) for c in ("vendor_id", "raw_invoice_number", "raw_outstanding_amount", "statement_id")]
+    kept = ["raw_invoice_number", "statement_id"]
+    statement = given.statement_bronze.select(*kept, keys.statement_record_id(*printed).alias("record_id"))
+    ledger = given.ledger_bronze.select(
+        *kept, keys.ledger_record_id(*printed, F.col("row_number")).alias("record_id")
     )
     return statement.unionByName(ledger)
 
@@ -290,34 +332,34 @@ def amount_equal(spark, sf):
 # --- Silver ------------------------------------------------------------------------------------------
 @query
 def silver_statement(spark, sf):
-    return _timeless(source.statement_silver(spark, sf), "silver_reconciliation_standard")
+    return _timeless(_Inputs(spark, sf).statement, "silver_reconciliation_standard")
 
 
 @query
 def silver_ledger(spark, sf):
-    return _timeless(source.ledger_silver(spark, sf), "silver_reconciliation_standard")
+    return _timeless(_Inputs(spark, sf).ledger, "silver_reconciliation_standard")
 
 
 @query
 def ordered_rows(spark, sf):
-    return normalize.ordered(source.ledger_silver(spark, sf)).select("invoice_number", "ro_number", "record_id")
+    return normalize.ordered(_Inputs(spark, sf).ledger).select("invoice_number", "ro_number", "record_id")
 
 
 @query
 def sample_revised(spark, sf):
-    return normalize.revised_sample(source.ledger_silver(spark, sf))
+    return normalize.revised_sample(_Inputs(spark, sf).ledger)
 
 
 @query
 def distinct_keys(spark, sf):
-    return source.ledger_silver(spark, sf).select("vendor_id", "statement_id").distinct()
+    return _Inputs(spark, sf).ledger.select("vendor_id", "statement_id").distinct()
 
 
 @query
 def control_totals(spark, sf):
-    statement, ledger = _sides(spark, sf)
-    of_statement = quality.control_totals(source.statement_bronze(spark, sf), statement)
-    of_ledger = quality.control_totals(source.ledger_bronze(spark, sf), ledger)
+    given = _Inputs(spark, sf)
+    of_statement = quality.control_totals(given.statement_bronze, given.statement)
+    of_ledger = quality.control_totals(given.ledger_bronze, given.ledger)
     return of_statement.withColumn("side", F.lit(K.STATEMENT_SOURCE)).unionByName(
         of_ledger.withColumn("side", F.lit(K.LEDGER_SOURCE))
     )
@@ -326,7 +368,7 @@ def control_totals(spark, sf):
 # --- matching ------------------------------------------------------------------------------------------
 @query
 def candidate_groups(spark, sf):
-    groups = matching.candidate_groups(source.ledger_silver(spark, sf))
+    groups = matching.candidate_groups(_Inputs(spark, sf).silver[1])
     single = F.col("candidate_count") == 1
     return groups.select(
         "vendor_id",
@@ -340,7 +382,7 @@ def candidate_groups(spark, sf):
 
 @query
 def candidate_join(spark, sf):
-    rows = matching.attach_candidates(*_sides(spark, sf))
+    rows = matching.attach_candidates(*_Inputs(spark, sf).silver)
     return rows.select(
         "record_id",
         "candidate_count",
@@ -350,115 +392,113 @@ def candidate_join(spark, sf):
 
 @query
 def work_order_lookup(spark, sf):
-    rows = matching.attach_work_orders(*_sides(spark, sf))
+    rows = matching.attach_work_orders(*_Inputs(spark, sf).silver)
     return rows.select("record_id", "work_order_number", "work_order_match")
 
 
 @query
 def classify(spark, sf):
-    return _classified(spark, sf).select("record_id", "invoice_number", "decision.*")
+    return _Inputs(spark, sf).classified.select("record_id", "invoice_number", "decision.*")
 
 
 @query
 def orphans(spark, sf):
-    return gold.orphans(*_sides(spark, sf)).select("record_id", "vendor_id", "invoice_number")
+    return _Inputs(spark, sf).orphans.select("record_id", "vendor_id", "invoice_number")
 
 
 @query
 def gold_matched(spark, sf):
-    return _timeless(gold.matched_invoices(_classified(spark, sf)), "gold_matched_invoices")
+    return _timeless(gold.matched_invoices(_Inputs(spark, sf).classified), "gold_matched_invoices")
 
 
 @query
 def gold_exceptions(spark, sf):
-    rows = gold.exceptions(_classified(spark, sf), gold.orphans(*_sides(spark, sf)))
+    given = _Inputs(spark, sf)
+    rows = gold.exceptions(given.classified, given.orphans)
     return _timeless(rows, "gold_exceptions")
 
 
 @query
 def shop_aggregates(spark, sf):
-    return _shops(spark, sf)
+    return _Inputs(spark, sf).shops
 
 
 @query
 def recon_summary(spark, sf):
-    return gold.reconciliation_summary(_shops(spark, sf), MatchRules())
+    return gold.reconciliation_summary(_Inputs(spark, sf).shops, MatchRules())
 
 
 @query
 def shop_summary(spark, sf):
-    return gold.shop_summary(_shops(spark, sf))
+    return gold.shop_summary(_Inputs(spark, sf).shops)
 
 
 @query
 def vendor_summary(spark, sf):
-    return gold.vendor_summary(_shops(spark, sf))
+    return gold.vendor_summary(_Inputs(spark, sf).shops)
 
 
 # --- ground truth ------------------------------------------------------------------------------------
 @query
 def proportional_split(spark, sf):
-    rows = source.labelled(spark, sf)
+    rows = source.labelled(_Inputs(spark, sf).statement)
     return rows.select("invoice_number", F.col(groundtruth.RANK).cast("bigint").alias("split_rank"), "scenario_type")
 
 
 @query
 def perturb_ledger(spark, sf):
-    return _timeless(source.ledger_bronze(spark, sf), "bronze_internal_erp_raw").drop("page_number")
+    return _timeless(_Inputs(spark, sf).ledger_bronze, "bronze_internal_erp_raw").drop("page_number")
 
 
 @query
 def manifest(spark, sf):
-    return _timeless(source.manifest(spark, sf), "validation_mutation_manifest")
+    return _timeless(_Inputs(spark, sf).manifest, "validation_mutation_manifest")
 
 
 @query
 def mix_report(spark, sf):
-    return groundtruth.mix_report(source.labelled(spark, sf), source.SCENARIOS.mix)
+    return groundtruth.mix_report(source.labelled(_Inputs(spark, sf).statement), source.SCENARIOS.mix)
 
 
 @query
 def grading(spark, sf):
-    return _graded(spark, sf)
+    return _Inputs(spark, sf).graded
 
 
 @query
 def grading_breakdown(spark, sf):
-    return groundtruth.grade_breakdown(_graded(spark, sf))
+    return groundtruth.grade_breakdown(_Inputs(spark, sf).graded)
 
 
 # --- quality ------------------------------------------------------------------------------------------
 @query
 def quality_checks(spark, sf):
-    statement, ledger = _sides(spark, sf)
-    classified = _classified(spark, sf)
-    orphan_rows = gold.orphans(statement, ledger)
-    shops = _shops(spark, sf)
-    records = _records(spark, sf)
+    given = _Inputs(spark, sf)
+    given.classified = given.classified_table
+    records = stored(_records(spark, sf))
     return quality.run_checks(
         spark,
         {
-            "bronze_vendor_statement_raw": source.statement_bronze(spark, sf),
-            "bronze_internal_erp_raw": source.ledger_bronze(spark, sf),
-            "silver_reconciliation_standard": statement.unionByName(ledger),
+            "bronze_vendor_statement_raw": given.statement_bronze,
+            "bronze_internal_erp_raw": given.ledger_bronze,
+            "silver_reconciliation_standard": given.silver[0].unionByName(given.silver[1]),
             "validation_document_review_queue": ingest.rejected_rows(records).unionByName(ingest.failed_pages(records)),
             "ai_audit_log": ingest.page_audit(records, PROVIDER),
-            "validation_mutation_manifest": source.manifest(spark, sf),
-            "gold_matched_invoices": gold.matched_invoices(classified),
-            "gold_exceptions": gold.exceptions(classified, orphan_rows),
-            "gold_vendor_summary": gold.vendor_summary(shops),
-            "gold_reconciliation_summary": gold.reconciliation_summary(shops),
+            "validation_mutation_manifest": given.manifest,
+            "gold_matched_invoices": gold.matched_invoices(given.classified_table),
+            "gold_exceptions": gold.exceptions(given.classified_table, given.orphans),
+            "gold_vendor_summary": gold.vendor_summary(given.shops),
+            "gold_reconciliation_summary": gold.reconciliation_summary(given.shops),
         },
     )
 
 
 @query
 def parity_checks(spark, sf):
-    statement, ledger = _sides(spark, sf)
-    plan = source.planted(spark, sf)
+    given = _Inputs(spark, sf)
     return quality.parity_checks(
-        (source.statement_bronze(spark, sf), statement),
-        (source.ledger_bronze(spark, sf), ledger),
-        source.manifest(spark, sf),
-        plan.agg(F.sum("copies").alias("expected")),
+        (given.statement_bronze, given.statement),
+        (given.ledger_bronze, given.ledger),
+        given.manifest,
+        given.plan.agg(F.sum("copies").alias("expected")),
     )

@@ -33,11 +33,30 @@ SCENARIOS = ScenarioRules().with_labels(
 PAGE = ["vendor_id", "source_file", "statement_id", "statement_period", "page_number"]
 
 
+# The columns read, stated so that no job is spent on inferring them.
+_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Give a table that is too small to split, such as one file with one row group, one task per
+    core. A large table has more input splits than that and is left as it is, without a shuffle."""
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with the fields a statement line needs."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    orders = _spread(spark, _table(spark, sf_dir, "orders"))
+    customer = _table(spark, sf_dir, "customer")
+    nation = _table(spark, sf_dir, "nation")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
         nation, customer.c_nationkey == nation.n_nationkey
     )
@@ -91,27 +110,27 @@ def statement_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def statement_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+def statement_silver(bronze: DataFrame) -> DataFrame:
     vendor_name = F.concat(F.lit("Vendor "), F.col("vendor_id"))
-    return normalize.statement_to_silver(statement_bronze(spark, sf_dir), VENDOR, vendor_name)
+    return normalize.statement_to_silver(bronze, VENDOR, vendor_name)
 
 
 def _order_key() -> Column:
     return F.substring("invoice_number", 4, 12).cast("bigint")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(statement: DataFrame) -> DataFrame:
     """Statement rows with a planted label."""
-    return groundtruth.proportional_split(statement_silver(spark, sf_dir), SCENARIOS.mix, _order_key(), SCENARIOS.seed)
+    return groundtruth.proportional_split(statement, SCENARIOS.mix, _order_key(), SCENARIOS.seed)
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groundtruth.planted(labelled(spark, sf_dir), _order_key(), SCENARIOS)
+def planted(statement: DataFrame) -> DataFrame:
+    return groundtruth.planted(labelled(statement), _order_key(), SCENARIOS)
 
 
-def ledger_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_bronze(plan: DataFrame) -> DataFrame:
     return groundtruth.ledger_extract(
-        planted(spark, sf_dir),
+        plan,
         SCENARIOS,
         VENDOR.date_format,
         f"mock_erp_generator_v{SCENARIOS.version}",
@@ -119,12 +138,12 @@ def ledger_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groundtruth.manifest(planted(spark, sf_dir), SCENARIOS)
+def ledger_silver(bronze: DataFrame) -> DataFrame:
+    return normalize.ledger_to_silver(bronze, VENDOR, ADAPTER)
 
 
-def ledger_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.ledger_to_silver(ledger_bronze(spark, sf_dir), VENDOR, ADAPTER)
+def manifest(plan: DataFrame) -> DataFrame:
+    return groundtruth.manifest(plan, SCENARIOS)
 
 
 def _json_text(column: str) -> str:

@@ -37,7 +37,8 @@ def registry() -> dict[str, Query]:
 class _Inputs:
     """Statement and ledger side of one data folder, each derived from the one before.
 
-    Matching starts from a Silver table; `silver` is that table, written once per query."""
+    `sides` are lazy. Where later steps read the sides several times they start from `silver`,
+    the Silver table, written once per query."""
 
     def __init__(self, spark: SparkSession, sf: str):
         self.statement_bronze = source.statement_bronze(spark, sf)
@@ -59,6 +60,10 @@ class _Inputs:
     def manifest(self) -> DataFrame:
         return source.manifest(self.plan)
 
+    @property
+    def sides(self) -> tuple[DataFrame, DataFrame]:
+        return self.statement, self.ledger
+
     @cached_property
     def silver(self) -> tuple[DataFrame, DataFrame]:
         both = stored(self.statement.unionByName(self.ledger), partition_by=["record_source"])
@@ -368,7 +373,7 @@ def control_totals(spark, sf):
 # --- matching ------------------------------------------------------------------------------------------
 @query
 def candidate_groups(spark, sf):
-    groups = matching.candidate_groups(_Inputs(spark, sf).silver[1])
+    groups = matching.candidate_groups(_Inputs(spark, sf).ledger)
     single = F.col("candidate_count") == 1
     return groups.select(
         "vendor_id",
@@ -382,7 +387,7 @@ def candidate_groups(spark, sf):
 
 @query
 def candidate_join(spark, sf):
-    rows = matching.attach_candidates(*_Inputs(spark, sf).silver)
+    rows = matching.attach_candidates(*_Inputs(spark, sf).sides)
     return rows.select(
         "record_id",
         "candidate_count",
@@ -392,18 +397,18 @@ def candidate_join(spark, sf):
 
 @query
 def work_order_lookup(spark, sf):
-    rows = matching.attach_work_orders(*_Inputs(spark, sf).silver)
+    rows = matching.attach_work_orders(*_Inputs(spark, sf).sides)
     return rows.select("record_id", "work_order_number", "work_order_match")
 
 
 @query
 def classify(spark, sf):
-    return _Inputs(spark, sf).classified.select("record_id", "invoice_number", "decision.*")
+    return matching.classify(*_Inputs(spark, sf).sides, MatchRules()).select("record_id", "invoice_number", "decision.*")
 
 
 @query
 def orphans(spark, sf):
-    return _Inputs(spark, sf).orphans.select("record_id", "vendor_id", "invoice_number")
+    return gold.orphans(*_Inputs(spark, sf).sides).select("record_id", "vendor_id", "invoice_number")
 
 
 @query

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import schemas
@@ -43,19 +44,29 @@ def replaced(existing: DataFrame, new: DataFrame, scope: DataFrame) -> DataFrame
     return lookup_join(existing, scope.distinct(), keys, "left_anti", null_safe=True).unionByName(new)
 
 
-def _insert(spark: SparkSession, rows: DataFrame, table: str, database: str | None) -> int:
-    """Overwrite exactly the partitions that `rows` has; returns how many rows were written."""
+def _insert(spark: SparkSession, rows: DataFrame, table: str, database: str | None) -> None:
+    """Overwrite exactly the partitions that `rows` has."""
     by = list(schemas.PARTITIONS[table])
     body = [f.name for f in schemas.schema(table) if f.name not in by]
-    seen = Observation()
-    # Partition columns come last in a partitioned table.
-    ready = conform(rows, table).select(*body, *by).observe(seen, F.count(F.lit(1)).alias("n"))
-    # One shuffle by partition keeps a partition's rows together; adaptive execution splits the
-    # large ones, so a vendor with a third of all rows is written by many tasks.
-    ready.hint("rebalance", *by).write.option("partitionOverwriteMode", "dynamic").insertInto(
-        _name(table, database), overwrite=True
-    )
-    return seen.get["n"]
+    # Partition columns come last in a partitioned table. One shuffle by partition keeps a
+    # partition's rows together; adaptive execution splits the large ones, so a vendor with a third
+    # of all rows is written by many tasks.
+    ready = conform(rows, table).select(*body, *by).hint("rebalance", *by)
+    with _dynamic_overwrite(spark):
+        ready.write.insertInto(_name(table, database), overwrite=True)
+
+
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Overwrite only partitions that get rows. `insertInto` takes this from the session alone;
+    without it an overwrite would empty the whole table."""
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def replace_scope(
@@ -63,18 +74,27 @@ def replace_scope(
 ) -> None:
     """Replace one scope, given as a value for each of the table's partition columns.
 
-    A dynamic overwrite with no rows would leave the old partition in place; here it is dropped.
+    A dynamic overwrite with no rows would leave the old partition in place, so an empty frame
+    drops it instead. The test for emptiness looks for one row; hand in a stored frame where
+    that would set off long work.
     """
     by = schemas.PARTITIONS[table]
     if set(scope) != set(by):
         raise ValueError(f"scope of {table} needs exactly {', '.join(by)}")
-    if _insert(spark, rows, table, database) == 0:
+    if rows.isEmpty():
         _drop_partition(spark, table, scope, database)
+    else:
+        _insert(spark, rows, table, database)
 
 
 def _drop_partition(spark: SparkSession, table: str, scope: Mapping[str, str], database: str | None) -> None:
-    spec = ", ".join(f"{column} = :{column}" for column in scope)
-    spark.sql(f"ALTER TABLE {_name(table, database)} DROP IF EXISTS PARTITION ({spec})", args=dict(scope))
+    spec = ", ".join(f"{column} = '{_escaped(value)}'" for column, value in scope.items())
+    spark.sql(f"ALTER TABLE {_name(table, database)} DROP IF EXISTS PARTITION ({spec})")
+
+
+def _escaped(value: str) -> str:
+    """A partition value as the inside of a SQL string; the partition clause takes no parameters."""
+    return value.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def replace_statements(

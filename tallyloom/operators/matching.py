@@ -55,108 +55,107 @@ def attach_work_orders(statement: DataFrame, ledger: DataFrame) -> DataFrame:
     return lookup_join(statement, numbers, ["vendor_id", "work_order_number"])
 
 
-def decision(rules: MatchRules) -> Column:
-    """The decision for a row that carries its candidate group: the first rule that applies."""
-    c = {name: F.col(f"candidate.{name}") for name in _CANDIDATE}
-    count = F.col("candidate_count")
+# What each verdict means; its position is the code that `verdict` yields.
+_VERDICTS = ("duplicate", "missing", "pending", "level 1", "level 2", "level 3", "mismatch", "credit", "mismatch with credit")
+_LEVELS = {"level 1": (1, K.LEVEL_1), "level 2": (2, K.LEVEL_2), "level 3": (3, K.LEVEL_3)}
+_CATEGORIES = {
+    "duplicate": K.DUPLICATE_INVOICE,
+    "missing": K.INVOICE_MISSING,
+    "pending": K.PENDING_POSTING,
+    "mismatch": K.AMOUNT_MISMATCH,
+    "credit": K.MISSING_CREDIT,
+    "mismatch with credit": K.AMOUNT_MISMATCH,
+}
+
+
+def verdict(rules: MatchRules) -> Column:
+    """Which rule decides a row that carries its candidate group: the first that applies."""
+    count, candidate = F.col("candidate_count"), F.col("candidate")
     outstanding, ro = F.col("outstanding_amount"), F.col("ro_number")
-    text = {
-        "number": quoted(F.col("invoice_number")),
-        "statement_outstanding": shown(outstanding),
-        "ledger_outstanding": shown(c["outstanding_amount"]),
-        "ledger_amount": shown(c["amount"]),
-        "credit": shown(c["credit"]),
-    }
+    agree = amount_equal(outstanding, candidate["outstanding_amount"], rules.amount_tolerance)
+    explained = amount_equal(outstanding, candidate["amount"], rules.amount_tolerance)
+    same_ro = ro == candidate["ro_number"]
+    steps = (
+        ("duplicate", count > 1),
+        ("missing", count == 0),
+        ("pending", ~candidate["status"].eqNullSafe(F.lit(K.POSTED))),
+        ("level 1", agree & same_ro),
+        ("level 2", agree & same_ro.isNull()),
+        ("level 3", agree),
+        ("mismatch", candidate["credit"].isNull()),
+        ("credit", explained),
+    )
+    result = F
+    for name, applies in steps:
+        result = result.when(applies, _VERDICTS.index(name))
+    return result.otherwise(_VERDICTS.index("mismatch with credit"))
 
-    def matched(level: int, rule: str, reason: Column) -> Column:
-        return _outcome(K.MATCHED, level=F.lit(level), rule=F.lit(rule), match_reason=reason, reference=c["record_id"])
 
-    def failed(category: str, reason: Column, reference: Column | None = None) -> Column:
-        return _outcome(K.EXCEPTION, category=F.lit(category), exception_reason=reason, reference=reference)
+def decision(code: Column) -> Column:
+    """The decision struct for a row's verdict. Everything but the reason texts is a look-up."""
+    candidate = F.col("candidate")
 
-    duplicate = render(
-        K.REASON_DUPLICATE,
-        count=count.cast("string"),
-        normalized=quoted(F.col("invoice_number_normalized")),
-        note=F.when(F.col("copies_agree"), K.NOTE_COPIES_AGREE).otherwise(K.NOTE_COPIES_DIFFER),
-    )
-    work_order = F.col("work_order_match")
-    missing = F.concat(
-        render(K.REASON_MISSING, number=text["number"]),
-        F.when(
-            work_order.isNotNull() & (work_order != ""),
-            render(
-                K.REASON_MISSING_WORK_ORDER,
-                ledger_number=quoted(work_order),
-                work_order=quoted(F.col("work_order_number")),
-            ),
-        ).otherwise(""),
-    )
-    agree = amount_equal(outstanding, c["outstanding_amount"], rules.amount_tolerance)
-    explained = amount_equal(outstanding, c["amount"], rules.amount_tolerance)
-    ro_known = ro.isNotNull() & c["ro_number"].isNotNull()
-    return (
-        F.when(count > 1, failed(K.DUPLICATE_INVOICE, duplicate))
-        .when(count == 0, failed(K.INVOICE_MISSING, missing))
-        .when(
-            ~c["status"].eqNullSafe(F.lit(K.POSTED)),
-            failed(
-                K.PENDING_POSTING,
-                render(K.REASON_PENDING, number=text["number"], status=quoted(c["status"])),
-                c["record_id"],
-            ),
-        )
-        .when(agree & ~ro_known, matched(2, K.LEVEL_2, F.lit(K.REASON_LEVEL_2)))
-        .when(agree & (ro == c["ro_number"]), matched(1, K.LEVEL_1, F.lit(K.REASON_LEVEL_1)))
-        .when(
-            agree,
-            matched(
-                3,
-                K.LEVEL_3,
-                render(K.REASON_LEVEL_3, statement_ro=quoted(ro), ledger_ro=quoted(c["ro_number"])),
-            ),
-        )
-        .when(c["credit"].isNull(), failed(K.AMOUNT_MISMATCH, _reason(K.REASON_MISMATCH, text), c["record_id"]))
-        .when(explained, failed(K.MISSING_CREDIT, _reason(K.REASON_MISSING_CREDIT, text), c["record_id"]))
-        .otherwise(failed(K.AMOUNT_MISMATCH, _reason(K.REASON_MISMATCH_CREDIT, text), c["record_id"]))
-    )
+    def looked_up(values: dict[str, object], kind: str) -> Column:
+        return F.get(F.array(*[F.lit(values.get(name)).cast(kind) for name in _VERDICTS]), code)
 
+    text = {
+        "number": quoted(F.col("invoice_number")),
+        "normalized": quoted(F.col("invoice_number_normalized")),
+        "count": F.col("candidate_count").cast("string"),
+        "note": F.when(F.col("copies_agree"), K.NOTE_COPIES_AGREE).otherwise(K.NOTE_COPIES_DIFFER),
+        "status": quoted(candidate["status"]),
+        "ledger_number": quoted(F.col("work_order_match")),
+        "work_order": quoted(F.col("work_order_number")),
+        "statement_ro": quoted(F.col("ro_number")),
+        "ledger_ro": quoted(candidate["ro_number"]),
+        "statement_outstanding": shown(F.col("outstanding_amount")),
+        "ledger_outstanding": shown(candidate["outstanding_amount"]),
+        "ledger_amount": shown(candidate["amount"]),
+        "credit": shown(candidate["credit"]),
+    }
 
-def _reason(template: str, text: dict[str, Column]) -> Column:
-    return render(template, **{name: column for name, column in text.items() if f"{{{name}}}" in template})
-
-
-def _outcome(
-    status: str,
-    level: Column | None = None,
-    rule: Column | None = None,
-    match_reason: Column | None = None,
-    category: Column | None = None,
-    exception_reason: Column | None = None,
-    reference: Column | None = None,
-) -> Column:
-    parts = {
-        "match_status": F.lit(status),
-        "match_level": level,
-        "matched_rule": rule,
-        "match_reason": match_reason,
-        "exception_category": category,
-        "deterministic_reason": exception_reason,
-        "reference_record_id": reference,
+    def said(template: str) -> Column:
+        return render(template, **{name: column for name, column in text.items() if f"{{{name}}}" in template})
+
+    def reason(texts: dict[str, Column]) -> Column:
+        result = F
+        for name, column in texts.items():
+            result = result.when(code == _VERDICTS.index(name), column)
+        return result
+
+    work_order_known = F.coalesce(F.col("work_order_match") != "", F.lit(False))
+    failed = {
+        "missing": F.concat(
+            said(K.REASON_MISSING), F.when(work_order_known, said(K.REASON_MISSING_WORK_ORDER)).otherwise("")
+        ),
+        "mismatch": said(K.REASON_MISMATCH),
+        "duplicate": said(K.REASON_DUPLICATE),
+        "pending": said(K.REASON_PENDING),
+        "credit": said(K.REASON_MISSING_CREDIT),
+        "mismatch with credit": said(K.REASON_MISMATCH_CREDIT),
+    }
+    matched = {
+        "level 1": F.lit(K.REASON_LEVEL_1),
+        "level 2": F.lit(K.REASON_LEVEL_2),
+        "level 3": said(K.REASON_LEVEL_3),
     }
+    statuses = {name: K.MATCHED if name in _LEVELS else K.EXCEPTION for name in _VERDICTS}
+    one_candidate = ~code.isin(_VERDICTS.index("duplicate"), _VERDICTS.index("missing"))
     return F.struct(
-        *[
-            (F.lit(None) if column is None else column)
-            .cast("int" if name == "match_level" else "string")
-            .alias(name)
-            for name, column in parts.items()
-        ]
+        looked_up(statuses, "string").alias("match_status"),
+        looked_up({name: level for name, (level, _) in _LEVELS.items()}, "int").alias("match_level"),
+        looked_up({name: rule for name, (_, rule) in _LEVELS.items()}, "string").alias("matched_rule"),
+        reason(matched).alias("match_reason"),
+        looked_up(_CATEGORIES, "string").alias("exception_category"),
+        reason(failed).alias("deterministic_reason"),
+        F.when(one_candidate, candidate["record_id"]).alias("reference_record_id"),
     )
 
 
 def classify(statement: DataFrame, ledger: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """Statement rows plus a `decision` struct. One row in, one row out."""
     joined = attach_work_orders(attach_candidates(statement, ledger), ledger)
-    return joined.withColumn("decision", decision(rules)).drop(
-        "candidate_count", "copies_agree", "candidate", "work_order_match"
+    judged = joined.withColumn("_verdict", verdict(rules))
+    return judged.withColumn("decision", decision(F.col("_verdict"))).drop(
+        "candidate_count", "copies_agree", "candidate", "work_order_match", "_verdict"
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import packing, token_counts
+from tallyloom.llm import license_scan, packing, token_counts
 from tallyloom.llm.common import Workspace, table
 
 
@@ -34,8 +34,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op6_packing, op9_token_counts, op10_license_scan)}
 
 
 def statements() -> dict[str, str]:

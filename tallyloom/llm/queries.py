@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, packing, token_counts
+from tallyloom.llm import license_scan, packing, pii, token_counts
 from tallyloom.llm.common import Workspace, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_pii, op6_packing, op9_token_counts, op10_license_scan)}
 
 
 def statements() -> dict[str, str]:

@@ -87,3 +87,24 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     last[borders - 1] = inside[borders - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """One batch per run of equal key columns, from batches sorted by them; runs may cross batches.
+    Key columns hold integers without NULLs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+        edge = np.zeros(joined.num_rows, bool)
+        for k in keys:
+            values = joined.column(k).to_numpy(zero_copy_only=False)
+            edge[1:] |= values[1:] != values[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(edge)])
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield joined.slice(a, b - a)
+        held = [joined.slice(int(starts[-1]))]
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, neardup, packing, pii, token_counts, topk, toxicity
+from tallyloom.llm import license_scan, neardup, packing, pii, suffix, token_counts, topk, toxicity
 from tallyloom.llm.common import Workspace, table
 
 
@@ -45,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in; all but the first of equal texts go; the rest gain an end token.
 
@@ -69,7 +73,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_toxicity, op4_topk, op5_neardup, op6_packing, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_pii, op3_toxicity, op4_topk, op5_neardup, op6_packing, op7_suffix, op9_token_counts, op10_license_scan)}
 
 
 def statements() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, neardup, packing, pii, suffix, token_counts, topk, toxicity
+from tallyloom.llm import license_scan, neardup, ngram_join, packing, pii, suffix, token_counts, topk, toxicity
 from tallyloom.llm.common import Workspace, table
 
 
@@ -28,6 +28,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -73,7 +77,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_toxicity, op4_topk, op5_neardup, op6_packing, op7_suffix, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_toxicity, op4_topk, op5_neardup, op6_packing, op7_suffix, op9_token_counts, op10_license_scan)}
 
 
 def statements() -> dict[str, str]:

@@ -16,13 +16,12 @@ import numpy as np
 import pyarrow as pa
 
 from tallyloom.llm import bytescan
+from tallyloom.llm.wordcache import WordCache
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _LATER = 0, 1, 2, 3, 4
 _NONE = np.int32(2**31 - 1)
 #: Longer pre-tokens are left to the library, whose cost does not grow with the square of the length.
 LONGEST = 256
-#: A worker keeps the ids of about so many pre-tokens between slices, then starts anew.
-KNOWN = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-class WordBpe:
+class WordBpe(WordCache):
     """Encodes with the vocabulary file at `path`, as encode(text, add_special_tokens=False) would."""
 
     def __init__(self, path: str):
@@ -58,10 +57,6 @@ class WordBpe:
         self._forget()
         self._special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]).encode() or b"(?!)")
 
-    def _forget(self) -> None:
-        self._known: dict[int, int] = {}
-        self._pool, self._from = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * 65536 + b
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
@@ -122,20 +117,6 @@ class WordBpe:
             pool[offsets[rows][:, None] + np.arange(ids.shape[1])[None, :]] = ids
         return pool, counts
 
-    def _places(self, hashes: list[int], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where each pre-token's ids are kept; those met for the first time are encoded."""
-        if len(self._known) > KNOWN:
-            self._forget()
-        place = np.array([self._known.get(h, -1) for h in hashes], np.int64)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            pool, counts = self._distinct(data, starts[new], ends[new])
-            place[new] = len(self._known) + np.arange(len(new))
-            self._known.update(zip([hashes[k] for k in new], place[new].tolist(), strict=True))
-            self._from = np.concatenate([self._from, len(self._pool) + np.cumsum(counts)])
-            self._pool = np.concatenate([self._pool, pool])
-        return place
-
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yield (first row, ids of the rows that follow, one after the other, row offsets into them)."""
         for at, _, data, offsets in bytescan.slices(texts):
@@ -163,12 +144,8 @@ class WordBpe:
         starts, ends = starts[kept], ends[kept]
         if len(starts):
             hashes = bytescan.Substrings(data).hashes(starts, ends)
-            values, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-            place = self._places(values.tolist(), data, starts[first], ends[first])[which]
-            sizes = self._from[place + 1] - self._from[place]
-            run = np.cumsum(sizes)
-            ids = self._pool[np.repeat(self._from[place] - (run - sizes), sizes) + np.arange(int(run[-1]))]
-            at = np.concatenate([[0], run])[np.searchsorted(starts, offsets)]
+            ids, run = self._ids(hashes, data, starts, ends)
+            at = run[np.searchsorted(starts, offsets)]
         else:
             ids, at = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
         if not slow.any():

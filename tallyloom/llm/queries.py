@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, neardup, ngram_join, packing, pii, suffix, token_counts, topk, toxicity
+import corpus_pipeline
+from tallyloom.llm import license_scan, neardup, ngram_join, packing, pii, sentencepieces, suffix, token_counts, topk, toxicity
 from tallyloom.llm.common import Workspace, table
 
 
@@ -53,6 +54,10 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removed(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in; all but the first of equal texts go; the rest gain an end token.
 
@@ -76,8 +81,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_toxicity, op4_topk, op5_neardup, op6_packing, op7_suffix, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (pipeline, op1_pii, op2_ngram_join, op3_toxicity, op4_topk, op5_neardup, op6_packing, op7_suffix, op8_sentencepiece, op9_token_counts, op10_license_scan)}
 
 
 def statements() -> dict[str, str]:

@@ -37,6 +37,9 @@ class Workspace:
 
     def keep(self, rows: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         rows.write.partitionBy(*partition_by).parquet(self.path(name))
+        # Spark deletes a finished job's shuffle files once the driver's collector has found its plan
+        # unreachable, which can take long on an idle heap; the copy just written makes them useless.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(rows.schema).parquet(self.path(name)).select(*rows.columns)
 
     def exists(self, name: str) -> bool:
@@ -63,3 +66,15 @@ def spread_group(rows: DataFrame, size: int, name: str) -> DataFrame:
     """
     groups = max(1, -(-rows.count() // size))
     return rows.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+
+
+def rows_with(rows: DataFrame, key: str, wanted: DataFrame, marks: int = 1 << 18) -> DataFrame:
+    """Rows whose key is in `wanted`, a frame of distinct keys under the same name.
+
+    Wide rows are sieved before the join shuffles them: `marks` bounds how many values of a short hash of the
+    wanted keys are broadcast, whatever the number of keys; what passes the sieve by chance fails the join.
+    """
+    mark = F.pmod(F.xxhash64(key), F.lit(marks))
+    sieve = wanted.select(mark.alias("_mark")).distinct()
+    some = rows.withColumn("_mark", mark).join(F.broadcast(sieve), "_mark", "left_semi").drop("_mark")
+    return some.join(wanted, key)

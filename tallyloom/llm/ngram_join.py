@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bytescan
-from tallyloom.llm.common import Workspace
+from tallyloom.llm.common import Workspace, rows_with
 from tallyloom.llm.components import components
-from tallyloom.operators.joins import lookup_join
 
 SHINGLE, PERCENT = 5, 75
-WORDS, FAN, TILE = 32, 16, 512  # bitmap words of 64 bits, children per node, sets per tile
+WORDS, FAN, TILE = 64, 16, 512  # bitmap words of 64 bits, children per node, sets per tile
 SAMPLE_DOCS, FREQUENT_SHARE, FREQUENT_MOST = 4000, 0.004, 20_000
 
 _WORD = np.ones(256, bool)
@@ -182,7 +181,7 @@ def _pair_batch(out: list[np.ndarray]) -> pa.RecordBatch:
 def _verified(pairs: DataFrame, docs: DataFrame, work: Workspace, percent: int, name: str) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
+    texts = rows_with(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", work.keep(wanted, f"wanted-{name}"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +203,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, work: Workspace, percent: int,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda key: sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(f"set_{key}"))
-    rows = lookup_join(lookup_join(pairs, side("a"), ["a"], "inner"), side("b"), ["b"], "inner").select("a", "b", "set_a", "set_b")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     links = work.keep(rows.mapInArrow(measure, "a long, b long"), f"links-{name}")
     work.drop(f"sets-{name}")
     return links
@@ -218,13 +217,16 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = work.keep(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "reps")
     first = some.join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
     first = work.keep(first.dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rep"), "n", "bits", "prefix"), "first")
-    members = work.keep(lookup_join(all_.select("doc_id", "n", "f1", "f2"), reps, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
+    members = work.keep(all_.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
     work.drop("described")
 
     tokens = first.select("rep", F.explode("prefix").alias("block"))
-    counted = tokens.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFFFF)).alias("mark")).where("size > 1")
-    blocks = work.keep(counted.groupBy("size", "mark").agg(F.min("block").alias("block")).select("block", "size"), "blocks")
-    shared = work.keep(lookup_join(tokens, blocks, ["block"], "inner").select("block", "rep", "size"), "shared")
+    counted = work.keep(tokens.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counted")
+    found = work.keep(tokens.join(counted, "block").select("block", "rep", "size"), "found")
+    marks = found.groupBy("block", "size").agg(F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFFFF)).alias("mark"))
+    blocks = work.keep(marks.groupBy("size", "mark").agg(F.min("block").alias("block")).select("block"), "blocks")
+    shared = work.keep(found.join(blocks, "block", "left_semi"), "shared")
+    work.drop("counted", "found", "blocks")
     tiles = lambda size: F.ceil(F.col(size) / TILE).cast("int")
     signs = first.select("rep", "n", "bits")
 
@@ -238,17 +240,17 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = _verified(tried, docs, work, percent, "1")
     known = components(links, "ngram-components-1")
 
-    labelled = lookup_join(shared, known.withColumnRenamed("v", "rep"), ["rep"], "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = shared.join(known.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = work.keep(labelled.select("block", "rep", "size", "component"), "labelled")
     parts = labelled.groupBy("block", "component").agg(F.count(F.lit(1)).alias("rows"))
     open_ = parts.groupBy("block").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("largest")).where("parts > 1")
-    still = lookup_join(labelled, work.keep(open_, "open"), ["block"], "inner")
+    still = labelled.join(work.keep(open_, "open"), "block")
     own = F.pmod(F.xxhash64("rep", "block"), tiles("size")).cast("int")
     where = F.when(F.col("component") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), tiles("size") - 1))
     rest = traverse(still.select("block", F.explode(where).alias("tile"), "rep", "component"), True, "pairs-2")
     rest = work.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, docs, work, percent, "2")
     final = components(links.unionByName(more), "ngram-components-2")
-    by_rep = lookup_join(members, final.withColumnRenamed("v", "rep"), ["rep"], "left")
+    by_rep = members.join(final.withColumnRenamed("v", "rep"), "rep", "left")
     own_id = F.coalesce("component", "rep", "doc_id")
     return by_rep.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))

@@ -71,7 +71,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = rows.where(F.size("v") == (size["n"] if size else 0))
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(PIVOTS, 8 * k)).select("vec_id", "v").collect()
     sample_ids = np.array([r["vec_id"] for r in picked], np.int64)
-    sample = np.array([r["v"] for r in picked], float).reshape(len(picked), -1)
+    sample = np.array([r["v"] for r in picked], float).reshape(len(picked), len(picked[0]["v"]) if picked else 1)
     pivots = sample[:PIVOTS]
 
     def describe(parts):

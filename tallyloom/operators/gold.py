@@ -83,11 +83,11 @@ def statement_exceptions(classified: DataFrame, run_at: str | None = None) -> Da
 
 
 def orphans(statement: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger rows without a statement row: neither their normalised number nor, so that one
+    """Ledger rows without a statement row of their vendor and period: neither their normalised number nor, so that one
     discrepancy is not reported twice, their own number as some statement row's work order."""
-    numbers = statement.select("vendor_id", "invoice_number_normalized").dropna().distinct()
+    numbers = statement.select("vendor_id", "statement_period", "invoice_number_normalized").dropna().distinct()
     work_orders = (
-        statement.select("vendor_id", F.col("work_order_number").alias("invoice_number")).dropna().distinct()
+        statement.select("vendor_id", "statement_period", F.col("work_order_number").alias("invoice_number")).dropna().distinct()
     )
     unmatched = lookup_join(ledger, numbers, numbers.columns, "left_anti")
     return lookup_join(unmatched, work_orders, work_orders.columns, "left_anti")

@@ -11,12 +11,13 @@ from tallyloom.functions.money import amount_equal
 from tallyloom.functions.text import quoted, render, shown
 from tallyloom.operators.joins import lookup_join
 
-_KEY = ["vendor_id", "invoice_number_normalized"]
+_SCOPE = ["vendor_id", "statement_period"]
+_KEY = [*_SCOPE, "invoice_number_normalized"]
 _CANDIDATE = ("record_id", "outstanding_amount", "amount", "ro_number", "status", "credit")
 
 
 def candidate_groups(ledger: DataFrame) -> DataFrame:
-    """One row per (vendor, normalised number): how many ledger records share it, whether their
+    """One row per (vendor, period, normalised number): how many ledger records share it, whether their
     outstanding amounts agree (NULL counts as a value), and the record itself.
 
     The decision reads the record only where there is exactly one, so no list of candidates is
@@ -25,7 +26,7 @@ def candidate_groups(ledger: DataFrame) -> DataFrame:
     outstanding = F.col("outstanding_amount")
     known = F.count(outstanding)
     return (
-        ledger.where(F.col("invoice_number_normalized").isNotNull() & F.col("vendor_id").isNotNull())
+        ledger.dropna(subset=_KEY)
         .groupBy(*_KEY)
         .agg(
             F.count("*").alias("candidate_count"),
@@ -45,70 +46,33 @@ def attach_candidates(statement: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def attach_work_orders(statement: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Add the ledger number that equals the row's work order, if the vendor's ledger has one."""
+    """Add the ledger number that equals the row's work order, if the ledger of its vendor and period has one."""
     numbers = (
-        ledger.select("vendor_id", F.col("invoice_number").alias("work_order_number"))
-        .where(F.col("work_order_number").isNotNull() & F.col("vendor_id").isNotNull())
+        ledger.select(*_SCOPE, F.col("invoice_number").alias("work_order_number"))
+        .dropna()
         .distinct()
         .withColumn("work_order_match", F.col("work_order_number"))
     )
-    return lookup_join(statement, numbers, ["vendor_id", "work_order_number"])
+    return lookup_join(statement, numbers, [*_SCOPE, "work_order_number"])
 
 
-# What each verdict means; its position is the code that `verdict` yields.
-_VERDICTS = ("duplicate", "missing", "pending", "level 1", "level 2", "level 3", "mismatch", "credit", "mismatch with credit")
-_LEVELS = {"level 1": (1, K.LEVEL_1), "level 2": (2, K.LEVEL_2), "level 3": (3, K.LEVEL_3)}
-_CATEGORIES = {
-    "duplicate": K.DUPLICATE_INVOICE,
-    "missing": K.INVOICE_MISSING,
-    "pending": K.PENDING_POSTING,
-    "mismatch": K.AMOUNT_MISMATCH,
-    "credit": K.MISSING_CREDIT,
-    "mismatch with credit": K.AMOUNT_MISMATCH,
-}
-
-
-def verdict(rules: MatchRules) -> Column:
-    """Which rule decides a row that carries its candidate group: the first that applies."""
+def decision(rules: MatchRules) -> Column:
+    """The decision struct of a row that carries its candidate group: the first rule that applies."""
     count, candidate = F.col("candidate_count"), F.col("candidate")
     outstanding, ro = F.col("outstanding_amount"), F.col("ro_number")
     agree = amount_equal(outstanding, candidate["outstanding_amount"], rules.amount_tolerance)
     explained = amount_equal(outstanding, candidate["amount"], rules.amount_tolerance)
-    same_ro = ro == candidate["ro_number"]
-    steps = (
-        ("duplicate", count > 1),
-        ("missing", count == 0),
-        ("pending", ~candidate["status"].eqNullSafe(F.lit(K.POSTED))),
-        ("level 1", agree & same_ro),
-        ("level 2", agree & same_ro.isNull()),
-        ("level 3", agree),
-        ("mismatch", candidate["credit"].isNull()),
-        ("credit", explained),
-    )
-    result = F
-    for name, applies in steps:
-        result = result.when(applies, _VERDICTS.index(name))
-    return result.otherwise(_VERDICTS.index("mismatch with credit"))
-
-
-def decision(code: Column) -> Column:
-    """The decision struct for a row's verdict. Everything but the reason texts is a look-up."""
-    candidate = F.col("candidate")
-
-    def looked_up(values: dict[str, object], kind: str) -> Column:
-        return F.get(F.array(*[F.lit(values.get(name)).cast(kind) for name in _VERDICTS]), code)
-
     text = {
         "number": quoted(F.col("invoice_number")),
         "normalized": quoted(F.col("invoice_number_normalized")),
-        "count": F.col("candidate_count").cast("string"),
+        "count": count.cast("string"),
         "note": F.when(F.col("copies_agree"), K.NOTE_COPIES_AGREE).otherwise(K.NOTE_COPIES_DIFFER),
         "status": quoted(candidate["status"]),
         "ledger_number": quoted(F.col("work_order_match")),
         "work_order": quoted(F.col("work_order_number")),
-        "statement_ro": quoted(F.col("ro_number")),
+        "statement_ro": quoted(ro),
         "ledger_ro": quoted(candidate["ro_number"]),
-        "statement_outstanding": shown(F.col("outstanding_amount")),
+        "statement_outstanding": shown(outstanding),
         "ledger_outstanding": shown(candidate["outstanding_amount"]),
         "ledger_amount": shown(candidate["amount"]),
         "credit": shown(candidate["credit"]),
@@ -117,45 +81,42 @@ def decision(code: Column) -> Column:
     def said(template: str) -> Column:
         return render(template, **{name: column for name, column in text.items() if f"{{{name}}}" in template})
 
-    def reason(texts: dict[str, Column]) -> Column:
-        result = F
-        for name, column in texts.items():
-            result = result.when(code == _VERDICTS.index(name), column)
-        return result
+    def outcome(status: str, level: int | None, rule: str | None, category: str | None, reason: Column, reference: Column) -> Column:
+        matched = status == K.MATCHED
+        nothing = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(status).alias("match_status"),
+            F.lit(level).cast("int").alias("match_level"),
+            F.lit(rule).cast("string").alias("matched_rule"),
+            (reason if matched else nothing).alias("match_reason"),
+            F.lit(category).cast("string").alias("exception_category"),
+            (nothing if matched else reason).alias("deterministic_reason"),
+            reference.cast("string").alias("reference_record_id"),
+        )
+
+    def match(level: int, rule: str, reason: Column) -> Column:
+        return outcome(K.MATCHED, level, rule, None, reason, candidate["record_id"])
+
+    def fault(category: str, reason: Column, reference: Column = candidate["record_id"]) -> Column:
+        return outcome(K.EXCEPTION, None, None, category, reason, reference)
 
     work_order_known = F.coalesce(F.col("work_order_match") != "", F.lit(False))
-    failed = {
-        "missing": F.concat(
-            said(K.REASON_MISSING), F.when(work_order_known, said(K.REASON_MISSING_WORK_ORDER)).otherwise("")
-        ),
-        "mismatch": said(K.REASON_MISMATCH),
-        "duplicate": said(K.REASON_DUPLICATE),
-        "pending": said(K.REASON_PENDING),
-        "credit": said(K.REASON_MISSING_CREDIT),
-        "mismatch with credit": said(K.REASON_MISMATCH_CREDIT),
-    }
-    matched = {
-        "level 1": F.lit(K.REASON_LEVEL_1),
-        "level 2": F.lit(K.REASON_LEVEL_2),
-        "level 3": said(K.REASON_LEVEL_3),
-    }
-    statuses = {name: K.MATCHED if name in _LEVELS else K.EXCEPTION for name in _VERDICTS}
-    one_candidate = ~code.isin(_VERDICTS.index("duplicate"), _VERDICTS.index("missing"))
-    return F.struct(
-        looked_up(statuses, "string").alias("match_status"),
-        looked_up({name: level for name, (level, _) in _LEVELS.items()}, "int").alias("match_level"),
-        looked_up({name: rule for name, (_, rule) in _LEVELS.items()}, "string").alias("matched_rule"),
-        reason(matched).alias("match_reason"),
-        looked_up(_CATEGORIES, "string").alias("exception_category"),
-        reason(failed).alias("deterministic_reason"),
-        F.when(one_candidate, candidate["record_id"]).alias("reference_record_id"),
+    missing = F.concat(said(K.REASON_MISSING), F.when(work_order_known, said(K.REASON_MISSING_WORK_ORDER)).otherwise(""))
+    same_ro = ro == candidate["ro_number"]
+    return (
+        F.when(count > 1, fault(K.DUPLICATE_INVOICE, said(K.REASON_DUPLICATE), F.lit(None)))
+        .when(count == 0, fault(K.INVOICE_MISSING, missing, F.lit(None)))
+        .when(~candidate["status"].eqNullSafe(F.lit(K.POSTED)), fault(K.PENDING_POSTING, said(K.REASON_PENDING)))
+        .when(agree & same_ro, match(1, K.LEVEL_1, F.lit(K.REASON_LEVEL_1)))
+        .when(agree & same_ro.isNull(), match(2, K.LEVEL_2, F.lit(K.REASON_LEVEL_2)))
+        .when(agree, match(3, K.LEVEL_3, said(K.REASON_LEVEL_3)))
+        .when(candidate["credit"].isNull(), fault(K.AMOUNT_MISMATCH, said(K.REASON_MISMATCH)))
+        .when(explained, fault(K.MISSING_CREDIT, said(K.REASON_MISSING_CREDIT)))
+        .otherwise(fault(K.AMOUNT_MISMATCH, said(K.REASON_MISMATCH_CREDIT)))
     )
 
 
 def classify(statement: DataFrame, ledger: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """Statement rows plus a `decision` struct. One row in, one row out."""
     joined = attach_work_orders(attach_candidates(statement, ledger), ledger)
-    judged = joined.withColumn("_verdict", verdict(rules))
-    return judged.withColumn("decision", decision(F.col("_verdict"))).drop(
-        "candidate_count", "copies_agree", "candidate", "work_order_match", "_verdict"
-    )
+    return joined.withColumn("decision", decision(rules)).drop("candidate_count", "copies_agree", "candidate", "work_order_match")

@@ -149,15 +149,15 @@ SELECT sha256(concat_ws('|', 'INTERNAL_ERP', vendor_id, number, outstanding_text
 FROM ledger""",
     # --- matching
     "cand": """
-SELECT vendor_id, invoice_number_normalized, count(*) AS n, count(DISTINCT outstanding_amount) = 1 AS agree,
+SELECT vendor_id, statement_period, invoice_number_normalized, count(*) AS n, count(DISTINCT outstanding_amount) = 1 AS agree,
   min(record_id) AS c_id, min(outstanding_amount) AS c_out, min(amount) AS c_amount, min(ro_number) AS c_ro,
   min(status) AS c_status, min(credit) AS c_credit
-FROM silver_l GROUP BY 1, 2""",
+FROM silver_l GROUP BY 1, 2, 3""",
     "joined": """
 SELECT s.*, coalesce(c.n, 0) AS n, c.agree, c.c_id, c.c_out, c.c_amount, c.c_ro, c.c_status, c.c_credit,
   (SELECT min(l.invoice_number) FROM silver_l l
-   WHERE l.vendor_id = s.vendor_id AND l.invoice_number = s.work_order_number) AS wo_match
-FROM silver_s s LEFT JOIN cand c USING (vendor_id, invoice_number_normalized)""",
+   WHERE l.vendor_id = s.vendor_id AND l.statement_period = s.statement_period AND l.invoice_number = s.work_order_number) AS wo_match
+FROM silver_s s LEFT JOIN cand c USING (vendor_id, statement_period, invoice_number_normalized)""",
     "verdict": """
 SELECT *, CASE WHEN n > 1 THEN 'duplicate' WHEN n = 0 THEN 'missing' WHEN c_status IS DISTINCT FROM 'POSTED' THEN 'pending'
   WHEN abs(outstanding_amount::DOUBLE - c_out::DOUBLE) <= 0.01 THEN
@@ -199,9 +199,10 @@ SELECT *, CASE WHEN verdict LIKE 'level%' THEN 'MATCHED' ELSE 'EXCEPTION' END AS
 FROM verdict""",
     "orphan": """
 SELECT l.* FROM silver_l l
-WHERE NOT EXISTS (SELECT 1 FROM silver_s s WHERE s.vendor_id = l.vendor_id
+WHERE NOT EXISTS (SELECT 1 FROM silver_s s WHERE s.vendor_id = l.vendor_id AND s.statement_period = l.statement_period
     AND s.invoice_number_normalized = l.invoice_number_normalized)
-  AND NOT EXISTS (SELECT 1 FROM silver_s s WHERE s.vendor_id = l.vendor_id AND s.work_order_number = l.invoice_number)""",
+  AND NOT EXISTS (SELECT 1 FROM silver_s s WHERE s.vendor_id = l.vendor_id AND s.statement_period = l.statement_period
+    AND s.work_order_number = l.invoice_number)""",
     "matched_out": """
 SELECT sha256(concat_ws('|', 'match', vendor_id, statement_period, record_id)) AS match_id, vendor_id, shop, invoice_number,
   ro_number, outstanding_amount AS amount, match_level, matched_rule, match_reason, match_status,

@@ -45,16 +45,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Give a table that is too small to split, such as one file with one row group, one task per
-    core. A large table has more input splits than that and is left as it is, without a shuffle."""
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with the fields a statement line needs."""
-    orders = _spread(spark, _table(spark, sf_dir, "orders"))
+    orders = _table(spark, sf_dir, "orders")
     customer = _table(spark, sf_dir, "customer")
     nation = _table(spark, sf_dir, "nation")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(

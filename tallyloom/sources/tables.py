@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
+
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ def _name(table: str, database: str | None) -> str:
 
 
 def create_tables(spark: SparkSession, database: str | None = None) -> None:
-    """Create the eleven tables where they are missing, partitioned by their replace scope."""
+    """Create the eleven tables where they are missing, partitioned by their replace scope. Overwriting
+    them replaces the partitions that get rows and no others; this is a property of each table, so
+    that writers in one session cannot disturb each other."""
     for table in schemas.TABLES:
         by = ", ".join(schemas.PARTITIONS[table])
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {_name(table, database)} ({schemas.ddl(table)}) USING parquet PARTITIONED BY ({by})"
+            f"CREATE TABLE IF NOT EXISTS {_name(table, database)} ({schemas.ddl(table)}) USING parquet "
+            f"OPTIONS ('partitionOverwriteMode' 'dynamic') PARTITIONED BY ({by})"
         )
 
 
@@ -52,27 +56,14 @@ def _insert(spark: SparkSession, rows: DataFrame, table: str, database: str | No
     # partition's rows together; adaptive execution splits the large ones, so a vendor with a third
     # of all rows is written by many tasks.
     ready = conform(rows, table).select(*body, *by).hint("rebalance", *by)
-    with _dynamic_overwrite(spark):
-        ready.write.insertInto(_name(table, database), overwrite=True)
-
-
-@contextmanager
-def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
-    """Overwrite only partitions that get rows. `insertInto` takes this from the session alone;
-    without it an overwrite would empty the whole table."""
-    name = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    ready.write.insertInto(_name(table, database), overwrite=True)
 
 
 def replace_scope(
     spark: SparkSession, table: str, rows: DataFrame, scope: Mapping[str, str], database: str | None = None
 ) -> None:
-    """Replace one scope, given as a value for each of the table's partition columns.
+    """Replace one scope, given as a value for each of the table's partition columns. Rows of other
+    scopes play no part, so a table of many scopes can be handed in whole.
 
     A dynamic overwrite with no rows would leave the old partition in place, so an empty frame
     drops it instead. The test for emptiness looks for one row; hand in a stored frame where
@@ -81,6 +72,7 @@ def replace_scope(
     by = schemas.PARTITIONS[table]
     if set(scope) != set(by):
         raise ValueError(f"scope of {table} needs exactly {', '.join(by)}")
+    rows = reduce(lambda r, kv: r.where(F.col(kv[0]) == kv[1]), scope.items(), rows)
     if rows.isEmpty():
         _drop_partition(spark, table, scope, database)
     else:
@@ -113,12 +105,12 @@ def replace_statements(
     affected = existing.join(touched, by, "left_semi")
     scope = statements.select(*by, "statement_id")
     state = replaced(conform(affected, table), conform(rows, table), scope)
+    # A touched partition that keeps nothing gets no rows, so its old files would stay. Which ones do is
+    # found before the write, while `rows` may still read the table's old content. The list has at most
+    # one entry per partition, the size of the catalog's own listing.
+    emptied = touched.join(state.select(*by).distinct(), by, "left_anti").collect()
     _insert(spark, state, table, database)
-    # A touched partition that kept nothing got no rows, so its old files are still there. The list
-    # has at most one entry per partition, the size of the catalog's own listing.
-    others = spark.table(_name(table, database)).join(touched, by, "left_semi").join(scope, [*by, "statement_id"], "left_anti")
-    kept = rows.select(*by).unionByName(others.select(*by)).distinct()
-    for spec in touched.join(kept, by, "left_anti").collect():
+    for spec in emptied:
         _drop_partition(spark, table, spec.asDict(), database)
 
 

@@ -168,3 +168,23 @@ def test_hot_candidate_group_stays_one_row(spark):
     copies = ledger(spark, {}).crossJoin(spark.range(5000)).drop("id")
     group = matching.candidate_groups(copies).collect()
     assert [(g.candidate_count, g.copies_agree) for g in group] == [(5000, True)]
+
+
+def test_periods_stay_apart(spark):
+    """Numbers repeat between periods; each period is matched by itself."""
+    may, april, june = "2026-05", "2026-04", "2026-06"
+
+    def own(number, period, record):
+        return {"invoice_number": number, "invoice_number_normalized": number, "statement_period": period, "record_id": record}
+
+    rows = statement(
+        spark, own("A1", april, "s1"), own("A1", may, "s2"), own("B1", may, "s3"),
+        own("C1", june, "s4"), {**own("D1", june, "s5"), "work_order_number": "W1"},
+    )
+    booked = ledger(spark, own("A1", april, "l1"), own("A1", may, "l2"), own("B1", april, "l3"), own("C1", may, "l4"), own("W1", may, "l5"))
+    got = {r["record_id"]: r["decision"] for r in matching.classify(rows, booked, MatchRules()).collect()}
+    assert (got["s1"].match_level, got["s1"].reference_record_id) == (1, "l1")
+    assert (got["s2"].match_level, got["s2"].reference_record_id) == (1, "l2")
+    assert got["s3"].exception_category == got["s4"].exception_category == K.INVOICE_MISSING
+    assert "W1" not in got["s5"].deterministic_reason
+    assert {r["record_id"] for r in gold.orphans(rows, booked).collect()} == {"l3", "l4", "l5"}

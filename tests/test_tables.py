@@ -155,3 +155,16 @@ def test_rules_load_from_files(tmp_path):
     assert loaded.period == "2026-05" and loaded.extraction_method == "pdfplumber_tabular"
     validation = config.ValidationRules.from_mapping({"required_fields": ["a"], "confidence_threshold": None})
     assert validation.required == ("a",) and validation.duplicate_key == ("vendor", "invoice_number", "amount")
+
+
+def test_replace_scope_leaves_other_scopes(spark, database):
+    """Rows of a foreign scope neither enter nor overwrite anything; no row of the scope empties it."""
+    name = "validation_mutation_manifest"
+    scope = lambda p: {"vendor_id": "Q", "statement_period": p}
+    both = manifest_rows(spark, ("Q", "2026-05", "1"), ("Q", "2026-06", "2"))
+    tables.replace_scope(spark, name, both, scope("2026-05"), database)
+    tables.replace_scope(spark, name, both, scope("2026-06"), database)
+    tables.replace_scope(spark, name, manifest_rows(spark, ("Q", "2026-05", "9")), scope("2026-06"), database)
+    left = spark.table(f"{database}.{name}").where("vendor_id = 'Q'")
+    assert [r["statement_period"] for r in left.collect()] == ["2026-05"]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"

@@ -10,7 +10,10 @@ same members become one.
 Within a block (hot ones in tiles) a signature tree is built: a leaf holds a set's bitmap, an inner node the OR of
 its children's, the range of their sizes and the largest number of shingles that share bits. A dual traversal
 descends into a pair of nodes only if popcount(a & b) plus those extras reaches the overlap that the smallest
-sizes would need, and if the size ranges are compatible. Pairs of leaves that remain are verified on whole sets.
+sizes would need, and if the size ranges are compatible. Bitmaps of long texts are full, so pairs of leaves that
+remain are sieved once more by parity sketches, two to four bits a shingle: each says for every stretch of the hash
+range whether it holds an odd number of shingles, and where two sketches differ the sets differ too. More
+differences than the threshold allows rule a pair out. What is left is verified on whole sets.
 
 Two rounds avoid all pairs of a block. The first verifies at most two partners per set and tile, which joins nearly
 all that belongs together. The second traverses only blocks that still hold different components and yields
@@ -65,10 +68,28 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield at + k, np.zeros(0, np.uint64)
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """For each of m equal stretches of the hash range, whether it holds an odd number of the sorted hashes; m is
+    the smallest power of two that is at least twice their number."""
+    depth = max(3, (2 * len(s) - 1).bit_length())
+    stretch = (s >> np.uint64(64 - depth)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(stretch, prepend=-1))
+    odd = np.diff(np.append(starts, len(s))) % 2 == 1
+    bits = np.zeros(1 << depth, bool)
+    bits[stretch[starts[odd]]] = True
+    return np.packbits(bits).tobytes()
+
+
+def _differences(x: pa.Scalar, y: pa.Scalar) -> int:
+    """Stretches that two sketches do not agree on, the finer one folded to the other's stretches."""
+    x, y = sorted((np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8)) for v in (x, y)), key=len)
+    return int((x != np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1)).sum())
+
+
 def _described(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "f1", "f2", "bits", "prefix"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        names = ["doc_id", "n", "f1", "f2", "bits", "parity", "prefix"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             keys, rows = batch.column(0).to_pylist(), []
             for k, s in shingle_sets(batch.column(1)):
@@ -82,11 +103,11 @@ def _described(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
                     ordered = s
                 prefix = ordered[: n - -(-percent * n // 100) + 1] if n else ordered
                 f1, f2 = s.sum(dtype=np.uint64), bytescan.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                rows.append((keys[k], n, f1.astype(np.int64), f2.astype(np.int64), np.packbits(bits).tobytes(), prefix.view(np.int64)))
+                rows.append((keys[k], n, f1.astype(np.int64), f2.astype(np.int64), np.packbits(bits).tobytes(), _parity(s), prefix.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n int, f1 long, f2 long, bits binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n int, f1 long, f2 long, bits binary, parity binary, prefix array<long>")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -178,8 +199,23 @@ def _pair_batch(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, work: Workspace, percent: int, name: str) -> DataFrame:
+def _sieved(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parity sketches differ no more than two sets at the threshold can."""
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.add(batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy())
+            apart = np.array([_differences(x, y) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
+
+    side = lambda key: signs.select(F.col("rep").alias(key), F.col("n").alias(f"n_{key}"), F.col("parity").alias(f"parity_{key}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    return rows.mapInArrow(sieve, "a long, b long")
+
+
+def _verified(tried: DataFrame, signs: DataFrame, docs: DataFrame, work: Workspace, percent: int, name: str) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
+    pairs = work.keep(_sieved(tried, signs, percent), f"sieved-{name}")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = rows_with(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", work.keep(wanted, f"wanted-{name}"))
 
@@ -216,7 +252,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     some = all_.where("n > 0 AND doc_id IS NOT NULL")
     reps = work.keep(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "reps")
     first = some.join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
-    first = work.keep(first.dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rep"), "n", "bits", "prefix"), "first")
+    first = work.keep(first.dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rep"), "n", "bits", "parity", "prefix"), "first")
     members = work.keep(all_.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
     work.drop("described")
 
@@ -237,7 +273,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     diagonal = shared.select("block", F.pmod(F.xxhash64("rep", "block"), tiles("size")).cast("int").alias("tile"), "rep", F.col("rep").alias("component"))
     tried = traverse(diagonal, False, "pairs-1")
-    links = _verified(tried, docs, work, percent, "1")
+    links = _verified(tried, first, docs, work, percent, "1")
     known = components(links, "ngram-components-1")
 
     labelled = shared.join(known.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -249,7 +285,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     where = F.when(F.col("component") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), tiles("size") - 1))
     rest = traverse(still.select("block", F.explode(where).alias("tile"), "rep", "component"), True, "pairs-2")
     rest = work.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, docs, work, percent, "2")
+    more = _verified(rest, first, docs, work, percent, "2")
     final = components(links.unionByName(more), "ngram-components-2")
     by_rep = members.join(final.withColumnRenamed("v", "rep"), "rep", "left")
     own_id = F.coalesce("component", "rep", "doc_id")

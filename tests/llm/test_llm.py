@@ -303,6 +303,18 @@ def test_signature_tree_loses_nothing():
     assert pairs >= {(k, 80 + k) for k in range(40)} and len(pairs) < 200
 
 
+def test_parity_sketch_never_overstates_differences():
+    rng = np.random.default_rng(4)
+    whole = np.unique(rng.integers(0, 1 << 64, 900, np.uint64, endpoint=False))
+    for left, right in ((0, 0), (0, 1), (300, 310), (0, 400), (899, 899), (5, 890)):
+        a, b = whole[: len(whole) - left], whole[right:]
+        apart = ngram_join._differences(*(pa.scalar(ngram_join._parity(s), pa.binary()) for s in (a, b)))
+        assert apart <= len(np.setxor1d(a, b))
+    other = np.unique(rng.integers(0, 1 << 64, 900, np.uint64, endpoint=False))
+    unlike = ngram_join._differences(*(pa.scalar(ngram_join._parity(s), pa.binary()) for s in (whole, other)))
+    assert (100 + 75) * unlike > (100 - 75) * (len(whole) + len(other))
+
+
 @pytest.mark.parametrize("limit", [4096, 1])
 def test_suffix(docs, none, texts, limit, monkeypatch):
     monkeypatch.setattr(suffix, "OPEN_LIMIT", limit)

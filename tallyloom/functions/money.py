@@ -20,8 +20,8 @@ def parse_money(c: Column) -> Column:
 
 
 def loose_money(c: Column) -> Column:
-    """The looser reading used for control totals: drop `$`, `,` and blanks, read as double."""
-    return F.regexp_replace(c, K.LOOSE_MONEY_NOISE, "").try_cast("double")
+    """The looser reading used for control totals: drop `$`, `,` and blanks; exact, so that sums are."""
+    return F.regexp_replace(c, K.LOOSE_MONEY_NOISE, "").try_cast("decimal(28,6)")
 
 
 def canonical_amount(c: Column) -> Column:

@@ -52,6 +52,21 @@ def shown(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
+def number_shown(c: Column) -> Column:
+    """A number's text as Python's str() shows the number: whole numbers as they are, others shortest."""
+    double = c.try_cast("double").cast("string")
+    small = r"^(-?)(\d)\.(\d+)E-(\d+)$"
+    part = lambda i: F.regexp_extract(double, small, i)
+    rest = F.when(part(3) == "0", "").otherwise(part(3))
+    exponent = F.concat(part(1), part(2), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e-"), F.lpad(part(4), F.greatest(F.length(part(4)), F.lit(2)), F.lit("0")))
+    return (
+        F.when(c.rlike(r"^-?\d+$"), c)
+        .when(double.rlike(r"E-4$"), F.concat(part(1), F.lit("0.000"), part(2), rest))
+        .when(double.rlike(small), exponent)
+        .otherwise(double)
+    )
+
+
 def normalize_number(raw: Column, patterns: Sequence[str], passes: int = K.MAX_STRIP_PASSES) -> Column:
     """Strip revision suffixes; a suffix goes only when something stays in front of it.
 

@@ -30,6 +30,8 @@ def attach_shop(pages: DataFrame, rules: VendorRules) -> DataFrame:
     first = pages.where(F.col("page_number") == 1).select(
         *DOCUMENT, text.header_value(F.col("page_text"), rules.shop_pattern).alias("shop")
     )
+    # A first page that was delivered twice must not multiply the document's pages.
+    first = first.groupBy(*DOCUMENT).agg(F.min("shop").alias("shop"))
     return lookup_join(pages, first, DOCUMENT, null_safe=True)
 
 
@@ -183,7 +185,7 @@ def validate(records: DataFrame, rules: ValidationRules) -> DataFrame:
                 confidence < F.lit(float(threshold)),
                 K.LOW_CONFIDENCE,
                 text.render(
-                    K.DETAIL_LOW_CONFIDENCE, confidence=confidence.cast("string"), threshold=F.lit(str(threshold))
+                    K.DETAIL_LOW_CONFIDENCE, confidence=text.number_shown(F.col("confidence")), threshold=F.lit(str(threshold))
                 ),
             )
         )
@@ -253,7 +255,7 @@ def page_audit(records: DataFrame, provider: str, run_at: str | None = None) ->
         .agg(
             F.count_if(is_valid()).alias("valid"),
             F.count("item").alias("total"),
-            F.avg(F.col("confidence").try_cast("decimal(10,6)")).alias("mean_confidence"),
+            F.avg(F.col("confidence").try_cast("decimal(28,6)")).alias("mean_confidence"),
         )
         .select(
             "audit_id",

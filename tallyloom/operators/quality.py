@@ -131,12 +131,11 @@ def control_totals(bronze: DataFrame, silver: DataFrame) -> DataFrame:
 
 
 def _side_by_side(*one_row_frames: DataFrame) -> DataFrame:
-    """Put one-row aggregates next to each other; each is exactly one row by construction."""
-    tagged = [f.withColumn("_one", F.lit(1)) for f in one_row_frames]
-    joined = tagged[0]
-    for other in tagged[1:]:
-        joined = joined.join(F.broadcast(other), "_one")
-    return joined.drop("_one")
+    """Put one-row aggregates next to each other: stacked, then one aggregate instead of a join without a key."""
+    stacked = one_row_frames[0]
+    for other in one_row_frames[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def _parity(totals: DataFrame, side: str, ledger: bool) -> DataFrame:

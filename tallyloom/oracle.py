@@ -372,7 +372,14 @@ SELECT 'bronze_vendor_statement_raw' AS table_name, count(*) AS row_count FROM d
 UNION ALL SELECT 'bronze_internal_erp_raw', count(*) FROM ledger
 UNION ALL SELECT 'silver_reconciliation_standard', (SELECT count(*) FROM doc) + (SELECT count(*) FROM ledger)
 UNION ALL SELECT 'validation_mutation_manifest', count(*) FROM planned
-UNION ALL SELECT 'gold_matched_invoices', NULL""",
+UNION ALL SELECT 'validation_document_review_queue',
+  (SELECT count(*) FROM rejects) + (SELECT count(*) FROM broken) + (SELECT count(*) FROM doubles)
+UNION ALL SELECT 'ai_audit_log', count(*) FROM audit
+UNION ALL SELECT 'gold_matched_invoices', count(*) FROM matched_out
+UNION ALL SELECT 'gold_exceptions', count(*) FROM exception_out
+UNION ALL SELECT 'gold_vendor_summary', count(*) FROM vendors
+UNION ALL SELECT 'gold_shop_summary', count(*) FROM recon
+UNION ALL SELECT 'gold_reconciliation_summary', count(*) FROM recon""",
 }
 
 
@@ -392,7 +399,8 @@ _CHECKS = "\nUNION ALL ".join(
         _check(3, "Bronze Internal ERP", "ledger"),
         _check(4, "Silver Internal ERP", "silver_l", "invoice_date IS NULL", "with unparsed invoice_date"),
         _check(
-            5, "Review Queue", "(SELECT review_id FROM rejects UNION ALL SELECT review_id FROM broken)",
+            5, "Review Queue",
+            "(SELECT review_id FROM rejects UNION ALL SELECT review_id FROM broken UNION ALL SELECT review_id FROM doubles)",
             shown="row(s) flagged for review (informational)", empty=None,
         ),
         _check(6, "AI Audit Log", "audit", shown="AI call(s) logged (informational)", empty=None),
@@ -400,7 +408,7 @@ _CHECKS = "\nUNION ALL ".join(
         _check(8, "Gold Matched Invoices", "matched_out", "matched_rule IS NULL OR match_reason IS NULL", "missing"),
         _check(9, "Gold Exceptions", "exception_out", "exception_category IS NULL OR deterministic_reason IS NULL", "missing"),
         _check(10, "Gold Vendor Summary", "vendors"),
-        "SELECT 11, 'Gold Shop Summary', false, 'query failed: table not found', NULL",
+        _check(11, "Gold Shop Summary", "recon"),
         _check(
             12, "Gold Reconciliation Summary", "recon",
             "overall_status IS NULL OR overall_status NOT IN ('RECONCILED', 'MINOR_VARIANCE', 'EXCEPTIONS_PRESENT')", "unrecognized",
@@ -530,6 +538,7 @@ WHERE invoice_number <> invoice_number_normalized ORDER BY invoice_number LIMIT
     "mix_report": """SELECT t.label AS scenario_type, t.rows_wanted AS target, count(l.k) AS achieved
 FROM target t LEFT JOIN labelled l ON l.label = t.label GROUP BY t.label, t.rows_wanted""",
     "grading": "SELECT * FROM graded",
+    "grading_mismatches": "SELECT * FROM graded WHERE NOT graded_correct",
     "grading_breakdown": """SELECT scenario_type, count(*) AS total, count(*) FILTER (graded_correct) AS correct
 FROM graded GROUP BY scenario_type""",
     "quality_checks": _CHECKS,

@@ -65,8 +65,10 @@ EXTRACTION_METHODS: Mapping[str, Callable[..., dict[str, DataFrame]]] = {
 
 
 def to_bronze(pages: DataFrame, vendor: VendorRules, **options) -> dict[str, DataFrame]:
-    """Bronze by the vendor's own extraction method; any method but the first reads table cells."""
-    return EXTRACTION_METHODS.get(vendor.extraction_method, from_cells)(pages, vendor, **options)
+    """Bronze by the vendor's own extraction method; a method nobody knows is an error."""
+    if vendor.extraction_method not in EXTRACTION_METHODS:
+        raise ValueError(f"unknown extraction method: {vendor.extraction_method!r}")
+    return EXTRACTION_METHODS[vendor.extraction_method](pages, vendor, **options)
 
 
 def to_silver(

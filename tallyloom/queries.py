@@ -144,21 +144,42 @@ def scoped_replace(spark, sf):
     return tables.replaced(silver.select(*columns), reissued, scope)
 
 
-@query
-def table_counts(spark, sf):
+def _all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """All eleven tables, what several of them read written once."""
     given = _Inputs(spark, sf)
-    return tables.inventory(
-        spark,
-        {
-            "bronze_vendor_statement_raw": given.statement_bronze,
-            "bronze_internal_erp_raw": given.ledger_bronze,
-            "silver_reconciliation_standard": given.statement.unionByName(given.ledger),
-            "validation_mutation_manifest": given.manifest,
-            "gold_matched_invoices": None,
-        },
+    given.classified = given.classified_table
+    given.shops = stored(given.shops)
+    pages = _pages(spark, sf)
+    records = stored(_records_of(pages))
+    flagged = ingest.flag_duplicates(_candidates(pages, records), _DUPLICATE_KEY)
+    return {
+        "bronze_vendor_statement_raw": given.statement_bronze,
+        "bronze_internal_erp_raw": given.ledger_bronze,
+        "silver_reconciliation_standard": given.silver[0].unionByName(given.silver[1]),
+        "validation_document_review_queue": _queue(records, flagged),
+        "ai_audit_log": ingest.page_audit(records, PROVIDER),
+        "validation_mutation_manifest": given.manifest,
+        "gold_matched_invoices": gold.matched_invoices(given.classified),
+        "gold_exceptions": gold.exceptions(given.classified, given.orphans),
+        "gold_vendor_summary": gold.vendor_summary(given.shops),
+        "gold_shop_summary": gold.shop_summary(given.shops),
+        "gold_reconciliation_summary": gold.reconciliation_summary(given.shops, MatchRules()),
+    }
+
+
+def _queue(records: DataFrame, flagged: DataFrame) -> DataFrame:
+    return (
+        ingest.rejected_rows(records)
+        .unionByName(ingest.failed_pages(records))
+        .unionByName(ingest.duplicate_rows(flagged, _DUPLICATE_KEY))
     )
 
 
+@query
+def table_counts(spark, sf):
+    return tables.inventory(spark, _all_tables(spark, sf))
+
+
 # --- reading pages ---------------------------------------------------------------------------
 @query
 def cells_to_records(spark, sf):
@@ -244,12 +265,7 @@ def review_queue(spark, sf):
     records = _records_of(pages)
     records = stored(records)
     flagged = ingest.flag_duplicates(_candidates(pages, records), _DUPLICATE_KEY)
-    rows = (
-        ingest.rejected_rows(records)
-        .unionByName(ingest.failed_pages(records))
-        .unionByName(ingest.duplicate_rows(flagged, _DUPLICATE_KEY))
-    )
-    return _timeless(rows, "validation_document_review_queue")
+    return _timeless(_queue(records, flagged), "validation_document_review_queue")
 
 
 @query
@@ -470,6 +486,11 @@ def grading(spark, sf):
     return _Inputs(spark, sf).graded
 
 
+@query
+def grading_mismatches(spark, sf):
+    return groundtruth.grade_mismatches(_Inputs(spark, sf).graded)
+
+
 @query
 def grading_breakdown(spark, sf):
     return groundtruth.grade_breakdown(_Inputs(spark, sf).graded)
@@ -478,24 +499,7 @@ def grading_breakdown(spark, sf):
 # --- quality ------------------------------------------------------------------------------------------
 @query
 def quality_checks(spark, sf):
-    given = _Inputs(spark, sf)
-    given.classified = given.classified_table
-    records = stored(_records(spark, sf))
-    return quality.run_checks(
-        spark,
-        {
-            "bronze_vendor_statement_raw": given.statement_bronze,
-            "bronze_internal_erp_raw": given.ledger_bronze,
-            "silver_reconciliation_standard": given.silver[0].unionByName(given.silver[1]),
-            "validation_document_review_queue": ingest.rejected_rows(records).unionByName(ingest.failed_pages(records)),
-            "ai_audit_log": ingest.page_audit(records, PROVIDER),
-            "validation_mutation_manifest": given.manifest,
-            "gold_matched_invoices": gold.matched_invoices(given.classified_table),
-            "gold_exceptions": gold.exceptions(given.classified_table, given.orphans),
-            "gold_vendor_summary": gold.vendor_summary(given.shops),
-            "gold_reconciliation_summary": gold.reconciliation_summary(given.shops),
-        },
-    )
+    return quality.run_checks(spark, _all_tables(spark, sf))
 
 
 @query

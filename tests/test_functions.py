@@ -167,3 +167,9 @@ def test_ids_are_stable_and_mark_nulls(spark):
     numbers = column(spark, [str(i) for i in range(500)], keys.hash_number(42, "salt", F.col("c")))
     assert min(numbers) >= 0 and max(numbers) < 2**32 and len(set(numbers)) == 500
     assert math.isclose(sum(numbers) / 500 / 2**31, 1, abs_tol=0.1)
+
+
+def test_number_shown(spark):
+    given = ["0", "0.5", "0.90", "0.00001", "0.0005", "-0.000123", "1.5e-7", "12", None, "high"]
+    expected = ["0", "0.5", "0.9", "1e-05", "0.0005", "-0.000123", "1.5e-07", "12", None, None]
+    assert column(spark, given, text.number_shown(F.col("c"))) == expected

@@ -181,3 +181,14 @@ def test_duplicates_against_brute_force(spark):
         value = tuple(r[k] for k in key)
         assert r.is_duplicate == (value in seen)
         seen.add(value)
+
+
+def test_first_page_delivered_twice(spark):
+    rows = [("V1", "f", "d", "2026-05", p, "no header") for p in (1, 1, 2)]
+    given = spark.createDataFrame(rows, "vendor_id string, source_file string, statement_id string, statement_period string, page_number int, page_text string")
+    assert ingest.attach_shop(given, VENDOR).count() == len(rows)
+
+
+def test_unknown_extraction_method(spark):
+    with pytest.raises(ValueError, match="unknown extraction method"):
+        reconcile.to_bronze(spark.range(0), replace(VENDOR, extraction_method="guess"))

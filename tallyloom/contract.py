@@ -108,7 +108,6 @@ HEADER_CELL = "Invoice Date"
 FOOTER_PREFIX = "Total"
 VOUCHER_DATE = r"\d{1,2}/\d{1,2}/\d{4}"
 VOUCHER_MONEY = r"[\d,.\-]+"
-MAX_STRIP_PASSES = 5
 SYNTHETIC_WORK_ORDER_PREFIX = "WO-SYNTH-"
 
 # --- texts of the ground-truth manifest ---------------------------------------------

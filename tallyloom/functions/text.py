@@ -67,33 +67,45 @@ def number_shown(c: Column) -> Column:
     )
 
 
-def normalize_number(raw: Column, patterns: Sequence[str], passes: int = K.MAX_STRIP_PASSES) -> Column:
-    """Strip revision suffixes; a suffix goes only when something stays in front of it.
+def normalize_number(raw: Column, patterns: Sequence[str]) -> Column:
+    """Strip revision suffixes until none is left; a suffix goes only when something stays in front of it.
 
-    The look-ahead leaves a value alone when its leftmost hit starts at position 0. Most
-    numbers carry no suffix at all, so one combined test guards the chain of replacements.
+    The look-ahead leaves a value alone when its leftmost hit starts at position 0. Every round that
+    changes a value shortens it, so as many rounds as it has characters reach the end. Most numbers
+    carry no suffix at all: one combined test guards the rounds, and each of them.
     """
     base = strip(raw)
     if not patterns:
         return base
-    result = base
-    for _ in range(passes):
+    revised = "|".join(f"(?:{p})" for p in patterns)
+
+    def shortened(value: Column, _: Column) -> Column:
+        result = value
         for p in patterns:
             result = F.regexp_replace(result, f"(?s)^(?!(?:{p}))(?<kept>.+?)(?:{p}).*$", "${kept}")
-    return F.when(base.rlike("|".join(f"(?:{p})" for p in patterns)), result).otherwise(base)
+        return F.when(value.rlike(revised), result).otherwise(value)
+
+    rounds = F.sequence(F.lit(1), F.length(base))
+    return F.when(base.rlike(revised), F.aggregate(rounds, base, shortened)).otherwise(base)
+
 
+def normalize_number_by(raw: Column, patterns: Column) -> Column:
+    """Same as `normalize_number`, with the patterns held in an array column (many vendors in one job).
 
-def normalize_number_by(raw: Column, patterns: Column, passes: int = K.MAX_STRIP_PASSES) -> Column:
-    """Same as `normalize_number`, with the patterns held in an array column (many vendors in one job)."""
-    return F.aggregate(
-        F.flatten(F.array_repeat(F.coalesce(patterns, F.array().cast("array<string>")), passes)),
-        strip(raw),
+    An empty or NULL array leaves the stripped text as it is.
+    """
+    base = strip(raw)
+    known = F.coalesce(patterns, F.array().cast("array<string>"))
+    reduced = F.aggregate(
+        F.flatten(F.array_repeat(known, F.length(base))),
+        base,
         lambda text, p: F.regexp_replace(
             text,
             F.concat(F.lit("(?s)^(?!(?:"), p, F.lit("))(?<kept>.+?)(?:"), p, F.lit(").*$")),
             F.lit("${kept}"),
         ),
     )
+    return F.when(F.exists(known, lambda p: F.rlike(base, p)), reduced).otherwise(base)
 
 
 def looks_like_date(c: Column) -> Column:

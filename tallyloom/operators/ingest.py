@@ -210,22 +210,41 @@ def validate(records: DataFrame, rules: ValidationRules) -> DataFrame:
 # --- a whole response ----------------------------------------------------------------------------
 def page_records(pages: DataFrame, rules: VendorRules, validation: ValidationRules) -> DataFrame:
     """Every item of every page, standardised and validated; a page without items keeps one row
-    whose `item` is NULL, so page-level results need no join back."""
+    whose `item` is NULL, so page-level results need no join back.
+
+    A response is as long as its page, so no record carries it: records name it by `response_key`, and
+    `text` stays only where a page has no items."""
     fields = [*rules.fields, *[f for f in _OPTIONAL if f not in rules.fields]]
-    parsed = parse_responses(pages)
+    parsed = parse_responses(pages).withColumn("response_key", response_key())
     rows = parsed.select(
-        *PAGE, "shop", "success", "error", "text", "latency_ms", "attempt_count", "model", "contract_error",
+        *PAGE, "shop", "success", "error", "text", "response_key", "latency_ms", "attempt_count", "model", "contract_error",
         F.posexplode_outer("items").alias("pos", "item"),
     )
     item_type = ", ".join(f"{f} string" for f in fields)
     read = computed_once(rows, _item=F.from_json("item", item_type))
-    flat = read.select(*rows.columns, *[F.col(f"_item.{f}").alias(f) for f in fields]).withColumn(
-        "row_number", (F.col("pos") + 1).cast("int")
+    flat = read.select(*rows.columns, *[F.col(f"_item.{f}").alias(f) for f in fields]).withColumns(
+        {"row_number": (F.col("pos") + 1).cast("int"), "text": F.when(F.col("item").isNull(), F.col("text"))}
     )
     checked = validate(standardize(flat, rules.derive_amount), validation)
     return checked.withColumn("audit_id", page_audit_id())
 
 
+def response_key() -> Column:
+    return F.md5("text")
+
+
+def attach_responses(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fill `text` with the response a record came from; NULL where it came from none.
+
+    The last step before Bronze: only here a response meets its records again, and nothing shuffles
+    the result. A page delivered twice with the same response counts once.
+    """
+    key = [*PAGE, "response_key"]
+    responses = pages.where(F.col("text").isNotNull()).select(*PAGE, response_key().alias("response_key"), "text")
+    unique = responses.groupBy(*key).agg(F.first("text").alias("text"))
+    return lookup_join(records.drop("text"), unique, key, null_safe=True)
+
+
 def page_audit_id() -> Column:
     return keys.stable_id("audit", *[F.col(c) for c in PAGE])
 
@@ -424,7 +443,7 @@ def candidate_records(
 
 def with_blank_extraction(cells: DataFrame) -> DataFrame:
     """Table-cell records with the fields only a response can fill, all NULL."""
-    blank = [f for f in (*_OPTIONAL, "model", "text") if f not in cells.columns]
+    blank = [f for f in (*_OPTIONAL, "model", "response_key", "text") if f not in cells.columns]
     return cells.withColumns({f: F.lit(None).cast("string") for f in blank})
 
 

@@ -493,10 +493,19 @@ FROM (SELECT * FROM rejects UNION ALL SELECT * FROM broken UNION ALL SELECT * FR
     "error_buckets": "SELECT statement_id, page_number, response_status FROM page_error",
     "pattern_flags": r"""SELECT statement_id, count(*) AS records,
   count(*) FILTER (NOT regexp_matches(number, '(?i)^SIN\d+$')) AS malformed FROM ledger GROUP BY statement_id""",
-    "normalize_number": """SELECT k, CASE k % 9 WHEN 0 THEN number WHEN 1 THEN number || '-1' WHEN 2 THEN number || 'X12'
+    "statement_pattern_flags": """SELECT statement_id, count(*) AS records, count(*) FILTER (k % 67 = 0) AS malformed
+FROM doc GROUP BY statement_id""",
+    "statement_pattern_sample": """SELECT '#' || number AS raw_invoice_number FROM doc WHERE k % 67 = 0 ORDER BY k LIMIT 5""",
+    "normalize_number": """SELECT k, CASE k % 10 WHEN 0 THEN number WHEN 1 THEN number || '-1' WHEN 2 THEN number || 'X12'
     WHEN 3 THEN number || 'R' WHEN 4 THEN number || '-1R' WHEN 5 THEN '  ' || number || 'X1-2R ' WHEN 6 THEN 'X' || k
-    WHEN 7 THEN '' END AS raw_number,
-  CASE WHEN k % 9 = 6 THEN 'X' || k WHEN k % 9 = 7 THEN '' WHEN k % 9 < 6 THEN number END AS normalized FROM line""",
+    WHEN 7 THEN '' WHEN 8 THEN number || '-1-2-3-4-5-6-7-8' END AS raw_number,
+  CASE WHEN k % 10 = 6 THEN 'X' || k WHEN k % 10 = 7 THEN '' WHEN k % 10 < 9 THEN number END AS normalized FROM line""",
+    # V0 strips '-n' only, V1 'Xn' and 'R', V2 and V3 nothing.
+    "normalize_by_vendor": """SELECT k, vendor_id, CASE k % 5 WHEN 0 THEN number WHEN 1 THEN number || '-1-2-3-4-5-6-7'
+    WHEN 2 THEN number || 'X12R' WHEN 3 THEN number || 'RX1-2' END AS raw_number,
+  CASE k % 5 WHEN 0 THEN number WHEN 1 THEN number || CASE v WHEN 0 THEN '' ELSE '-1-2-3-4-5-6-7' END
+    WHEN 2 THEN number || CASE v WHEN 1 THEN '' ELSE 'X12R' END
+    WHEN 3 THEN number || CASE v WHEN 0 THEN 'RX1' ELSE 'RX1-2' END END AS normalized FROM line""",
     "parse_money": """SELECT k, CASE k % 8 WHEN 0 THEN amount_printed WHEN 1 THEN amount_text
     WHEN 2 THEN '(' || amount_printed || ')' WHEN 3 THEN '-' || amount_text WHEN 4 THEN '1-' || k WHEN 5 THEN 'N/A'
     WHEN 6 THEN 'USD ' || amount_text END AS raw_amount,
@@ -542,10 +551,33 @@ FROM target t LEFT JOIN labelled l ON l.label = t.label GROUP BY t.label, t.rows
     "grading_breakdown": """SELECT scenario_type, count(*) AS total, count(*) FILTER (graded_correct) AS correct
 FROM graded GROUP BY scenario_type""",
     "quality_checks": _CHECKS,
+    "pipeline_gold": """SELECT vendor_id, statement_period, shop, invoice_number, amount, match_status, reference_record_id,
+  statement_record_id, matched_rule AS outcome, match_reason AS reason FROM paged_matched_out
+UNION ALL SELECT vendor_id, statement_period, shop, invoice_number, amount, match_status, reference_record_id,
+  statement_record_id, exception_category, deterministic_reason FROM paged_exception_out""",
+    "pipeline_intake": """SELECT statement_id, coalesce(parsed, 0) AS parsed, coalesce(accepted, 0) AS accepted,
+  coalesce(rejected, 0) AS rejected, coalesce(duplicates, 0) AS duplicates, coalesce(fallback, 0) AS fallback, true AS balanced
+FROM (SELECT DISTINCT statement_id FROM page)
+LEFT JOIN (SELECT statement_id, count(*) AS parsed, count(*) FILTER (rejection_category IS NOT NULL) AS rejected
+  FROM checked GROUP BY ALL) USING (statement_id)
+LEFT JOIN (SELECT statement_id, count(*) FILTER (NOT is_fallback AND NOT is_duplicate) AS accepted,
+    count(*) FILTER (is_duplicate) AS duplicates, count(*) FILTER (is_fallback AND NOT is_duplicate) AS fallback
+  FROM placed GROUP BY ALL) USING (statement_id)""",
     "parity_checks": _PARITY,
 }
 
 
+# The run from pages to Gold applies the same rules to what ingestion kept, where other queries take all lines as read.
+_CTES["paged_silver_s"] = """
+SELECT sha256(concat_ws('|', 'VENDOR_STATEMENT', vendor_id, number, outstanding, statement_id)) AS record_id,
+  vendor_id, period AS statement_period, source_file, statement_id, shop, number AS invoice_number,
+  number AS invoice_number_normalized, ro AS ro_number, work_order AS work_order_number,
+  CAST(replace(replace(outstanding, '$', ''), ',', '') AS DECIMAL(12,2)) AS outstanding_amount
+FROM placed WHERE NOT is_duplicate"""
+for _name in ("joined", "verdict", "decided", "orphan", "matched_out", "exception_out"):
+    _CTES[f"paged_{_name}"] = re.sub(r"\b(FROM|JOIN) (silver_s|joined|verdict|decided|orphan)\b", r"\1 paged_\2", _CTES[_name])
+
+
 def _needed(text: str) -> list[str]:
     """Names of the shared relations a statement uses, directly or not, in definition order."""
     found: set[str] = set()

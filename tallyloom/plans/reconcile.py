@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tallyloom.config import Adapter, MatchRules, ValidationRules, VendorRules
 from tallyloom.operators import gold, ingest, matching, normalize
@@ -38,7 +38,9 @@ def from_responses(
         .unionByName(ingest.duplicate_rows(flagged, validation.duplicate_key, run_at))
     )
     return {
-        "bronze_vendor_statement_raw": ingest.bronze_rows(flagged.where(~flagged.is_duplicate), run_at),
+        "bronze_vendor_statement_raw": ingest.bronze_rows(
+            ingest.attach_responses(flagged.where("NOT is_duplicate"), pages), run_at
+        ),
         "validation_document_review_queue": queue,
         "ai_audit_log": ingest.page_audit(records, provider, run_at),
     }
@@ -72,9 +74,13 @@ def to_bronze(pages: DataFrame, vendor: VendorRules, **options) -> dict[str, Dat
 
 
 def to_silver(
-    statement_bronze: DataFrame, ledger_bronze: DataFrame, vendor: VendorRules, adapter: Adapter = Adapter()
+    statement_bronze: DataFrame,
+    ledger_bronze: DataFrame,
+    vendor: VendorRules,
+    adapter: Adapter = Adapter(),
+    vendor_name: Column | None = None,
 ) -> DataFrame:
-    return normalize.statement_to_silver(statement_bronze, vendor).unionByName(
+    return normalize.statement_to_silver(statement_bronze, vendor, vendor_name).unionByName(
         normalize.ledger_to_silver(ledger_bronze, vendor, adapter)
     )
 
@@ -101,3 +107,27 @@ def to_gold(
         "gold_shop_summary": gold.shop_summary(shops),
         "gold_reconciliation_summary": gold.reconciliation_summary(shops, rules),
     }
+
+
+def pages_to_gold(
+    pages: DataFrame,
+    ledger_bronze: DataFrame,
+    vendor: VendorRules,
+    adapter: Adapter = Adapter(),
+    rules: MatchRules = MatchRules(),
+    vendor_name: Column | None = None,
+    run_at: str | None = None,
+    keep: Keep = lazily,
+) -> dict[str, DataFrame]:
+    """One run for any number of vendors and periods: what ingestion wrote to Bronze feeds Silver, then matching.
+
+    Each layer is handed to `keep` before the next one reads it."""
+    read = to_bronze(pages, vendor, run_at=run_at, keep=keep)
+    read["bronze_vendor_statement_raw"] = keep(read["bronze_vendor_statement_raw"])
+    silver = keep(to_silver(read["bronze_vendor_statement_raw"], ledger_bronze, vendor, adapter, vendor_name))
+    return {
+        **read,
+        "bronze_internal_erp_raw": ledger_bronze,
+        "silver_reconciliation_standard": silver,
+        **to_gold(silver, rules, run_at, keep),
+    }

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import contract as K
 from tallyloom.config import MatchRules, ValidationRules
 from tallyloom.functions import dates, keys, money, text
 from tallyloom.operators import gold, groundtruth, ingest, matching, normalize, quality
+from tallyloom.plans import reconcile
 from tallyloom.sources import orders as source
 from tallyloom.sources import tables
 from tallyloom.sources.staging import stored
@@ -252,7 +253,9 @@ def dedup_first(spark, sf):
 
 @query
 def bronze_rows(spark, sf):
-    rows = ingest.bronze_rows(_flagged(spark, sf).where(~F.col("is_duplicate")))
+    pages = _pages(spark, sf)
+    flagged = ingest.flag_duplicates(_candidates(pages, _records_of(pages)), _DUPLICATE_KEY)
+    rows = ingest.bronze_rows(ingest.attach_responses(flagged.where("NOT is_duplicate"), pages))
     table = "bronze_vendor_statement_raw"
     return _timeless(tables.conform(rows, table), table).withColumn(
         "raw_gemini_response", F.md5("raw_gemini_response")
@@ -288,12 +291,34 @@ def pattern_flags(spark, sf):
     )
 
 
+def _statement_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Statement lines with every 67th number printed in another form."""
+    odd = F.substring("raw_invoice_number", 4, 12).cast("bigint") % 67 == 0
+    printed = F.when(odd, F.concat(F.lit("#"), "raw_invoice_number")).otherwise(F.col("raw_invoice_number"))
+    rows = _Inputs(spark, sf).statement_bronze.withColumn("raw_invoice_number", printed)
+    return ingest.pattern_flags(rows, source.VENDOR.invoice_pattern)
+
+
+@query
+def statement_pattern_flags(spark, sf):
+    return _statement_flags(spark, sf).groupBy("statement_id").agg(
+        F.count("*").alias("records"), F.count_if(~F.col("conforms")).alias("malformed")
+    )
+
+
+@query
+def statement_pattern_sample(spark, sf):
+    """Up to five malformed numbers for the report, the smallest ones so that reruns agree."""
+    return _statement_flags(spark, sf).where("NOT conforms").select("raw_invoice_number").orderBy("raw_invoice_number").limit(5)
+
+
 # --- column functions ------------------------------------------------------------------------------
 @query
 def normalize_number(spark, sf):
     raw = F.expr(
-        "CASE k % 9 WHEN 0 THEN number WHEN 1 THEN number || '-1' WHEN 2 THEN number || 'X12' WHEN 3 THEN number || 'R'"
-        " WHEN 4 THEN number || '-1R' WHEN 5 THEN '  ' || number || 'X1-2R ' WHEN 6 THEN 'X' || k WHEN 7 THEN '' END"
+        "CASE k % 10 WHEN 0 THEN number WHEN 1 THEN number || '-1' WHEN 2 THEN number || 'X12' WHEN 3 THEN number || 'R'"
+        " WHEN 4 THEN number || '-1R' WHEN 5 THEN '  ' || number || 'X1-2R ' WHEN 6 THEN 'X' || k WHEN 7 THEN ''"
+        " WHEN 8 THEN number || '-1-2-3-4-5-6-7-8' END"
     )
     rows = source.lines(spark, sf).select("k", raw.alias("raw_number"))
     return rows.withColumn(
@@ -301,6 +326,23 @@ def normalize_number(spark, sf):
     )
 
 
+@query
+def normalize_by_vendor(spark, sf):
+    """Each vendor's own suffixes, joined in; one vendor has an empty list and one no rules at all."""
+    rules = spark.sql(
+        "SELECT * FROM VALUES ('V0', array('-[0-9]+$')), ('V1', array('X[0-9]+$', 'R$')),"
+        " ('V2', cast(array() AS array<string>)) AS rules(vendor_id, suffixes)"
+    )
+    raw = F.expr(
+        "CASE k % 5 WHEN 0 THEN number WHEN 1 THEN number || '-1-2-3-4-5-6-7' WHEN 2 THEN number || 'X12R'"
+        " WHEN 3 THEN number || 'RX1-2' END"
+    )
+    rows = source.lines(spark, sf).select("k", "vendor_id", raw.alias("raw_number")).join(rules, "vendor_id", "left")
+    return rows.select(
+        "k", "vendor_id", "raw_number", text.normalize_number_by(F.col("raw_number"), F.col("suffixes")).alias("normalized")
+    )
+
+
 @query
 def parse_money(spark, sf):
     raw = F.expr(
@@ -505,9 +547,70 @@ def quality_checks(spark, sf):
 @query
 def parity_checks(spark, sf):
     given = _Inputs(spark, sf)
+    given.statement_bronze = stored(given.statement_bronze)
+    given.statement = source.statement_silver(given.statement_bronze)
+    given.plan = stored(source.planted(given.statement))
     return quality.parity_checks(
         (given.statement_bronze, given.statement),
         (given.ledger_bronze, given.ledger),
         given.manifest,
         given.plan.agg(F.sum("copies").alias("expected")),
     )
+
+
+# --- one run, pages to Gold ------------------------------------------------------------------------------
+def _run(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    pages = stored(source.pages(spark, sf))
+    return pages, reconcile.pages_to_gold(
+        pages,
+        _Inputs(spark, sf).ledger_bronze,
+        source.VENDOR,
+        source.ADAPTER,
+        vendor_name=F.concat(F.lit("Vendor "), F.col("vendor_id")),
+        keep=stored,
+    )
+
+
+@query
+def pipeline_gold(spark, sf):
+    """Every outcome of one run from pages to Gold, matched lines and exceptions together."""
+    _, made = _run(spark, sf)
+    shared = [
+        "vendor_id", "statement_period", "shop", "invoice_number", "amount", "match_status", "reference_record_id",
+        "statement_record_id",
+    ]
+    outcomes = {
+        "gold_matched_invoices": ("matched_rule", "match_reason"),
+        "gold_exceptions": ("exception_category", "deterministic_reason"),
+    }
+    matched, failed = (
+        made[table].select(*shared, F.col(outcome).alias("outcome"), F.col(reason).alias("reason"))
+        for table, (outcome, reason) in outcomes.items()
+    )
+    return matched.unionByName(failed)
+
+
+@query
+def pipeline_intake(spark, sf):
+    """Per document: every parsed record was accepted, rejected or a duplicate, and none went missing."""
+    pages, made = _run(spark, sf)
+    bronze, queue = made["bronze_vendor_statement_raw"], made["validation_document_review_queue"]
+    category = F.col("rejection_category")
+
+    def counted(rows: DataFrame, kind: str, n: Column) -> DataFrame:
+        return rows.select("statement_id", F.lit(kind).alias("kind"), n.cast("bigint").alias("n"))
+
+    one = F.lit(1)
+    stacked = (
+        counted(ingest.parse_responses(pages), "parsed", F.coalesce(F.size("items"), F.lit(0)))
+        .unionByName(counted(bronze.where("extraction_model IS NOT NULL"), "accepted", one))
+        .unionByName(counted(bronze.where("extraction_model IS NULL"), "fallback", one))
+        .unionByName(counted(queue.where(category == K.DUPLICATE_RECORD), "duplicates", one))
+        .unionByName(
+            counted(queue.where(~category.isin(K.DUPLICATE_RECORD, K.AI_CALL_FAILED, K.MALFORMED_JSON)), "rejected", one)
+        )
+    )
+    kinds = ("parsed", "accepted", "rejected", "duplicates", "fallback")
+    totals = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0).cast("bigint")).alias(k) for k in kinds]
+    sums = stacked.groupBy("statement_id").agg(*totals)
+    return sums.withColumn("balanced", F.expr("accepted + rejected + duplicates = parsed"))

@@ -9,12 +9,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staging_folder(spark: SparkSession) -> str | None:
+def staging_folder(spark: SparkSession) -> str:
     """The shared folder the session names in spark.checkpoint.dir. Only a local session without
-    one gets a temporary folder; on a cluster the answer is then None."""
+    one gets a temporary folder; on a cluster a missing folder is an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named is None and context.master.startswith("local"):
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tallyloom-")
         context.setCheckpointDir(named)
     return named
@@ -25,12 +27,8 @@ def stored(rows: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
 
     This cuts lineage, so a lost executor re-reads files instead of recomputing the input, and what
     follows reads only the columns and partitions it needs, with real sizes to choose joins by.
-    Without a staging folder the frame stays lazy.
     """
     spark = rows.sparkSession
-    folder = staging_folder(spark)
-    if folder is None:
-        return rows
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/stored-{uuid.uuid4().hex}"
     rows.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)

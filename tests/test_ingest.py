@@ -142,6 +142,8 @@ def test_whole_document(spark):
     assert [(r.page_number, r.raw_invoice_number, r.extraction_model) for r in bronze] == [
         (1, "SIN1", "m"), (2, "SIN3", "m"), (3, "SIN9", None),
     ]
+    texts = {r.page_number: r.text for r in given.collect()}
+    assert [r.raw_gemini_response for r in bronze] == [texts[1], texts[2], None]
     queue = {(r.rejection_category, r.pipeline_stage): r for r in out["validation_document_review_queue"].collect()}
     assert out["validation_document_review_queue"].count() == 5
     assert set(queue) == {
@@ -189,6 +191,16 @@ def test_first_page_delivered_twice(spark):
     assert ingest.attach_shop(given, VENDOR).count() == len(rows)
 
 
+def test_responses_are_attached_last(spark):
+    """A page delivered twice with different responses: no record carries its response, each gets its own at the end."""
+    one, two = answer(RECORD), answer({**RECORD, "invoice_number": "SIN2"}, {**RECORD, "invoice_number": "SIN3"})
+    given = pages(spark, {"text": one}, {"text": two})
+    records = ingest.page_records(ingest.attach_shop(given, VENDOR), VENDOR, ValidationRules())
+    assert {r.text for r in records.collect()} == {None}
+    got = {r.invoice_number: r.text for r in ingest.attach_responses(records, given).collect()}
+    assert got == {"SIN1": one, "SIN2": two, "SIN3": two}
+
+
 def test_unknown_extraction_method(spark):
     with pytest.raises(ValueError, match="unknown extraction method"):
         reconcile.to_bronze(spark.range(0), replace(VENDOR, extraction_method="guess"))

@@ -181,12 +181,12 @@ SELECT *, CASE WHEN verdict LIKE 'level%' THEN 'MATCHED' ELSE 'EXCEPTION' END AS
     WHEN 'duplicate' THEN n || ' ERP records share invoice number ''' || invoice_number_normalized || ''' (expected exactly 1); '
       || CASE WHEN agree THEN 'all copies have the same outstanding_amount'
          ELSE 'the copies do NOT all agree on outstanding_amount -- review individually' END || '.'
-    WHEN 'missing' THEN 'No ERP record found for invoice ''' || invoice_number || '''.' || CASE WHEN wo_match IS NULL THEN '' ELSE
+    WHEN 'missing' THEN 'No ERP record found for invoice ' || coalesce('''' || invoice_number || '''', 'None') || '.' || CASE WHEN wo_match IS NULL THEN '' ELSE
       ' An ERP record with invoice_number=''' || wo_match || ''' matches this statement invoice''s work_order_number ('''
       || work_order_number || ''') -- likely a vendor reference issue (the ERP recorded the work order instead of the invoice '
       || 'number), but this is reported as Invoice Missing since Levels 1-3 cannot confirm it.' END
-    WHEN 'pending' THEN 'ERP record for invoice ''' || invoice_number || ''' has status=''' || c_status
-      || ''', not POSTED -- not yet finished posting.'
+    WHEN 'pending' THEN 'ERP record for invoice ''' || invoice_number || ''' has status='
+      || coalesce('''' || c_status || '''', 'None') || ', not POSTED -- not yet finished posting.'
     WHEN 'credit' THEN 'ERP''s original amount (' || c_amount || ') matches the statement (' || outstanding_amount
       || '), but a credit of ' || c_credit || ' was applied on the ERP side that isn''t on the statement, reducing '
       || 'outstanding_amount to ' || c_out || '.'
@@ -551,6 +551,10 @@ FROM target t LEFT JOIN labelled l ON l.label = t.label GROUP BY t.label, t.rows
     "grading_breakdown": """SELECT scenario_type, count(*) AS total, count(*) FILTER (graded_correct) AS correct
 FROM graded GROUP BY scenario_type""",
     "quality_checks": _CHECKS,
+    "rare_classify": """SELECT record_id, invoice_number, match_status, match_level, matched_rule, match_reason, exception_category,
+  deterministic_reason, reference_record_id FROM rare_decided""",
+    "rare_exceptions": "SELECT * FROM rare_exception_out",
+    "rare_summary": "SELECT * FROM rare_recon",
     "pipeline_gold": """SELECT vendor_id, statement_period, shop, invoice_number, amount, match_status, reference_record_id,
   statement_record_id, matched_rule AS outcome, match_reason AS reason FROM paged_matched_out
 UNION ALL SELECT vendor_id, statement_period, shop, invoice_number, amount, match_status, reference_record_id,
@@ -567,6 +571,29 @@ LEFT JOIN (SELECT statement_id, count(*) FILTER (NOT is_fallback AND NOT is_dupl
 }
 
 
+_SERIAL = "CASE WHEN invoice_number_normalized LIKE 'SIN%' THEN CAST(substr(invoice_number_normalized, 4, 12) AS BIGINT) END AS m"
+_CTES["rare_silver_s"] = f"""
+SELECT * EXCLUDE (m) REPLACE (CASE WHEN m % 13 = 0 THEN NULL ELSE shop END AS shop,
+  CASE WHEN m % 17 = 0 THEN NULL ELSE invoice_number END AS invoice_number,
+  CASE WHEN m % 17 = 0 THEN NULL ELSE invoice_number_normalized END AS invoice_number_normalized)
+FROM (SELECT *, {_SERIAL} FROM silver_s)"""
+_CTES["rare_silver_l"] = f"""
+SELECT * EXCLUDE (m) REPLACE (CASE WHEN m % 19 = 0 THEN NULL ELSE status END AS status,
+  CAST(outstanding_amount - CASE WHEN m % 23 = 0 THEN 5 ELSE 0 END AS DECIMAL(12,2)) AS outstanding_amount,
+  CAST(amount + CASE WHEN m % 23 = 0 THEN 3 ELSE 0 END AS DECIMAL(12,2)) AS amount,
+  CAST(CASE WHEN m % 23 = 0 THEN 8 ELSE credit END AS DECIMAL(12,2)) AS credit,
+  CASE WHEN m % 43 = 0 THEN 'ELSEWHERE' ELSE shop END AS shop,
+  CASE WHEN m % 37 = 0 THEN '1990-01' ELSE statement_period END AS statement_period)
+FROM (SELECT *, {_SERIAL} FROM silver_l)
+UNION ALL SELECT * EXCLUDE (m) REPLACE (record_id || '+' AS record_id,
+  CAST(outstanding_amount + 1 AS DECIMAL(12,2)) AS outstanding_amount)
+FROM (SELECT *, {_SERIAL} FROM silver_l) WHERE m % 29 = 0
+UNION ALL SELECT * EXCLUDE (m) REPLACE (record_id || '*' AS record_id, '1991-01' AS statement_period)
+FROM (SELECT *, {_SERIAL} FROM silver_l) WHERE m % 41 = 0"""
+_SILVER_ON = ("silver_s", "silver_l", "cand", "joined", "verdict", "decided", "orphan", "matched_out", "exception_out", "shops", "recon")
+for _name in _SILVER_ON[2:]:
+    _CTES[f"rare_{_name}"] = re.sub(rf"\b(FROM|JOIN) ({'|'.join(_SILVER_ON)})\b", r"\1 rare_\2", _CTES[_name])
+
 # The run from pages to Gold applies the same rules to what ingestion kept, where other queries take all lines as read.
 _CTES["paged_silver_s"] = """
 SELECT sha256(concat_ws('|', 'VENDOR_STATEMENT', vendor_id, number, outstanding, statement_id)) AS record_id,

@@ -501,6 +501,28 @@ def vendor_summary(spark, sf):
     return gold.vendor_summary(_Inputs(spark, sf).shops)
 
 
+def _rare(spark: SparkSession, sf: str) -> _Inputs:
+    given = _Inputs(spark, sf)
+    given.silver = tuple(stored(side) for side in source.with_rare_cases(*given.sides))
+    return given
+
+
+@query
+def rare_classify(spark, sf):
+    return _rare(spark, sf).classified.select("record_id", "invoice_number", "decision.*")
+
+
+@query
+def rare_exceptions(spark, sf):
+    given = _rare(spark, sf)
+    return _timeless(gold.exceptions(given.classified, given.orphans), "gold_exceptions")
+
+
+@query
+def rare_summary(spark, sf):
+    return gold.reconciliation_summary(_rare(spark, sf).shops, MatchRules())
+
+
 # --- ground truth ------------------------------------------------------------------------------------
 @query
 def proportional_split(spark, sf):

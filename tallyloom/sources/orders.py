@@ -135,6 +135,45 @@ def ledger_silver(bronze: DataFrame) -> DataFrame:
     return normalize.ledger_to_silver(bronze, VENDOR, ADAPTER)
 
 
+def with_rare_cases(statement: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both Silver sides with what the standard mix never plants: lines without a shop or a number, ledger rows without a
+    status, credits that do not explain a difference, copies whose amounts differ, shops only the ledger knows, and
+    numbers that another period has as well or instead."""
+    number = F.col("invoice_number_normalized")
+    digits = F.when(number.startswith("SIN"), F.substring(number, 4, 12)).try_cast("bigint")
+
+    def every(n: int) -> Column:
+        return F.coalesce(digits % n == 0, F.lit(False))
+
+    def put(n: int, value, column: str) -> Column:
+        return F.when(every(n), value).otherwise(F.col(column))
+
+    def money_put(n: int, value: Column, column: str) -> Column:
+        return put(n, value, column).cast("decimal(12,2)")
+
+    outstanding = F.col("outstanding_amount")
+    lines_ = statement.withColumns(
+        {name: put(n, None, name) for name, n in (("shop", 13), ("invoice_number", 17), ("invoice_number_normalized", 17))}
+    )
+    records = ledger.withColumns(
+        {
+            "status": put(19, None, "status"),
+            "outstanding_amount": money_put(23, outstanding - 5, "outstanding_amount"),
+            "amount": money_put(23, F.col("amount") + 3, "amount"),
+            "credit": money_put(23, F.lit(8), "credit"),
+            "shop": put(43, "ELSEWHERE", "shop"),
+            "statement_period": put(37, "1990-01", "statement_period"),
+        }
+    )
+    differing = ledger.where(every(29)).withColumns(
+        {"record_id": F.concat("record_id", F.lit("+")), "outstanding_amount": (outstanding + 1).cast("decimal(12,2)")}
+    )
+    earlier = ledger.where(every(41)).withColumns(
+        {"record_id": F.concat("record_id", F.lit("*")), "statement_period": F.lit("1991-01")}
+    )
+    return lines_, records.unionByName(differing).unionByName(earlier)
+
+
 def manifest(plan: DataFrame) -> DataFrame:
     return groundtruth.manifest(plan, SCENARIOS)
 

@@ -416,6 +416,33 @@ _CHECKS = "\nUNION ALL ".join(
     ]
 )
 
+def _unreadable(position: int, name: str) -> str:
+    return (
+        f"SELECT {position} AS position, '{name}' AS name, false AS passed, 'query failed: table not found' AS details, "
+        "CAST(NULL AS BIGINT) AS row_count"
+    )
+
+
+_FAILING = "\nUNION ALL ".join(
+    [
+        _check(1, "Bronze Vendor Statement", "doc WHERE false"),
+        _check(2, "Silver Vendor Statement", "silver_s", "invoice_number LIKE '%7'", "with unparsed invoice_date"),
+        _unreadable(3, "Bronze Internal ERP"),
+        _check(4, "Silver Internal ERP", "silver_s WHERE false", empty="no INTERNAL_ERP rows found"),
+        _unreadable(5, "Review Queue"),
+        _unreadable(6, "AI Audit Log"),
+        _check(7, "Mutation Manifest", "manifest_rows WHERE false"),
+        _check(8, "Gold Matched Invoices", "matched_out", "invoice_number LIKE '%7'", "missing matched_rule/match_reason"),
+        _check(
+            9, "Gold Exceptions", "exception_out", "invoice_number LIKE '%7'",
+            "missing exception_category/deterministic_reason",
+        ),
+        _check(10, "Gold Vendor Summary", "vendors WHERE false"),
+        _unreadable(11, "Gold Shop Summary"),
+        _check(12, "Gold Reconciliation Summary", "recon", "shop LIKE '%A'", "with an unrecognized overall_status"),
+    ]
+)
+
 _PARITY_TESTS = {
     "rows present": "bronze_rows > 0",
     "row count kept": "bronze_rows = silver_rows",
@@ -551,6 +578,7 @@ FROM target t LEFT JOIN labelled l ON l.label = t.label GROUP BY t.label, t.rows
     "grading_breakdown": """SELECT scenario_type, count(*) AS total, count(*) FILTER (graded_correct) AS correct
 FROM graded GROUP BY scenario_type""",
     "quality_checks": _CHECKS,
+    "failing_checks": _FAILING,
     "rare_classify": """SELECT record_id, invoice_number, match_status, match_level, matched_rule, match_reason, exception_category,
   deterministic_reason, reference_record_id FROM rare_decided""",
     "rare_exceptions": "SELECT * FROM rare_exception_out",

@@ -566,6 +566,27 @@ def quality_checks(spark, sf):
     return quality.run_checks(spark, _all_tables(spark, sf))
 
 
+@query
+def failing_checks(spark, sf):
+    """The same checks over tables with faults: some empty, some missing, some with bad rows. None passes."""
+    made = dict(_all_tables(spark, sf))
+
+    def spoiled(table: str, column: str, where: Column) -> DataFrame:
+        return made[table].withColumn(column, F.when(~where, F.col(column)))
+
+    seventh = F.col("invoice_number").endswith("7")
+    silver = spoiled("silver_reconciliation_standard", "invoice_date", seventh)
+    made["silver_reconciliation_standard"] = silver.where(F.col("record_source") == K.STATEMENT_SOURCE)
+    made["gold_matched_invoices"] = spoiled("gold_matched_invoices", "match_reason", seventh)
+    made["gold_exceptions"] = spoiled("gold_exceptions", "exception_category", seventh)
+    made["gold_reconciliation_summary"] = spoiled("gold_reconciliation_summary", "overall_status", F.col("shop").endswith("A"))
+    for table in ("bronze_vendor_statement_raw", "validation_mutation_manifest", "gold_vendor_summary"):
+        made[table] = made[table].where(F.lit(False))
+    for table in ("bronze_internal_erp_raw", "validation_document_review_queue", "ai_audit_log", "gold_shop_summary"):
+        del made[table]
+    return quality.run_checks(spark, made)
+
+
 @query
 def parity_checks(spark, sf):
     given = _Inputs(spark, sf)

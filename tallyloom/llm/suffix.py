@@ -17,8 +17,8 @@ only. Strings never cross documents; text is taken as UTF-8 bytes.
 Nulls: a NULL text is empty; a NULL doc_id is kept. Repeated rows are places of their own, so all of a long
 repeated row goes. Texts shorter than LENGTH keep everything. An empty table gives no rows. `dedup` passes all other
 columns through and refreshes n_chars. Cuts inside a character drop what is left of it from the rebuilt text
-(`dedup`); the digests (`removed`) are of the bytes. The documents must be a stored table: rows are told apart by their
-place in it.
+(`dedup`); the digests (`removed`) are of the bytes. Rows are numbered once and written with their numbers; all jobs
+read that copy, since a later plan may cut the input into other partitions and would number the rows anew.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def _listed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def repeats(rows: DataFrame, work: Workspace, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(rid, spans: array of (a, b)): byte intervals, overlaps included, of rows (rid, text) that repeat."""
+    """(rid, spans: array of (a, b)): byte intervals, overlaps included, of stored rows (rid, text) that repeat."""
     parsed = work.keep(_parsed(rows, length, gram), "parsed")
     book = parsed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("rid").alias("rid"), F.max("head").alias("head"), F.max("tail").alias("tail"))
     book = work.keep(book, "book")
@@ -200,14 +200,15 @@ def _without(data: np.ndarray, spans: list) -> tuple[np.ndarray, int, int]:
     return ~gone, int(gone.sum()), runs
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rid", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame, work: Workspace, name: str = "rid") -> DataFrame:
+    """A stored copy of the rows with their numbers. Numbers hold the partition, so they must never be worked out twice."""
+    return work.keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left, one row per document row."""
     work = Workspace(docs.sparkSession, "suffix")
-    rows = _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), work)
     found = repeats(rows, work, length)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same rows and columns with repeated stretches cut out of their texts."""
     work = Workspace(docs.sparkSession, "suffix")
     number, spans = "_suffix_rid", "_suffix_spans"
-    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    rows = _numbered(docs, work, number)
     found = repeats(rows.select(F.col(number).alias("rid"), F.coalesce("text", F.lit("")).alias("text")), work, length)
     joined = rows.join(found.withColumnsRenamed({"rid": number, "spans": spans}), number, "left").select(*docs.columns, spans)
     at, last = docs.columns.index("text"), len(docs.columns)

@@ -157,6 +157,43 @@ def test_pii_base_and_redaction(docs, none, texts):
     assert pii.redact(docs).columns == docs.columns and pii.find(none).count() == 0
 
 
+def test_pii_adds_what_base_formats_lack(spark):
+    rng = random.Random(11)
+    n = lambda k: "".join(rng.choices("0123456789", k=k))
+    key = lambda: "".join(rng.choices("ghjkmnpqrstuvwxyzGHJKMNPQRSTUVWXYZ23456789", k=31)) + "7"
+    rows, personal, plain = [], [], []
+    for k in range(900):
+        cue = rng.random() < 0.5
+        local = f"0{1 + k % 9}{n(2)} {1 + k % 9}{n(6)}"
+        wanted = [
+            ("number", "", f"({2 + k % 8}{n(2)}) {n(3)}-{n(4)}"), ("number", "", f"{n(3)}-{n(2)}-{n(4)}"), ("number", "tel " if cue else "", local),
+            ("address", "", f"jo{k} [at] host{k % 7} [dot] org"), ("secret", "token = " if cue else "", key()),
+        ]
+        kind, before, value = wanted[k % 5]
+        other = [f"20{n(2)}-0{1 + k % 9}-1{k % 10} 1{k % 10}:3{k % 10}", f"{1 + k % 9}.{n(3)}.{n(3)}.{n(3)}", "-".join(["part", "of", "a", "long", "name", n(1), "here"])][k % 3]
+        text = f"{prose(rng, 6)} {before}{value} {prose(rng, 5)} x {other} y"
+        at = text.index(value)
+        personal.append((k, f"{kind}:{at}:{at + len(value)}", k % 5, bool(before)))
+        at = text.index(other)
+        plain.append((k, at, at + len(other)))
+        rows.append((k, text, "en", "s", len(text), 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find(docs).collect()}
+    found = Counter((form, cue) for k, span, form, cue in personal if span in got[k])
+    of = Counter((form, cue) for _, _, form, cue in personal)
+    assert all(found[x] == of[x] for x in of if x[0] in (0, 1, 3) or x[1]), (found, of)
+    assert all(found[x] >= 0.8 * of[x] for x in of), (found, of)
+    wrong = sum(any(int(a) < end and start < int(b) for _, a, b in (x.split(":") for x in got[k] if x)) for k, start, end in plain)
+    assert wrong <= 0.02 * len(plain), wrong
+
+
+def test_pii_unlabelled_shapes_are_not_personal():
+    score = np.array([2.0] * 300 + [1.0] * 300)
+    y = np.array([1.0, 0.0] * 150 + [0.0] * 290 + [1.0] * 10)
+    chance = pii.chances(score, y)
+    assert (chance[:300] > 0.98).all() and (chance[300:] < 0.1).all()
+
+
 def test_boosted_trees_learn_a_rule():
     x = np.random.default_rng(0).random((600, 3))
     y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.7)).astype(float)

@@ -245,6 +245,12 @@ def _verified(tried: DataFrame, signs: DataFrame, docs: DataFrame, work: Workspa
     return links
 
 
+def _unlike(found: DataFrame) -> DataFrame:
+    """Of blocks with the same members the smallest. Members are told by their number and two 64-bit fingerprints."""
+    marks = found.groupBy("block", "size").agg(F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2"))
+    return marks.groupBy("size", "m1", "m2").agg(F.min("block").alias("block")).select("block")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per document row."""
     work = Workspace(docs.sparkSession, "ngram-join")
@@ -259,8 +265,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tokens = first.select("rep", F.explode("prefix").alias("block"))
     counted = work.keep(tokens.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counted")
     found = work.keep(tokens.join(counted, "block").select("block", "rep", "size"), "found")
-    marks = found.groupBy("block", "size").agg(F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFFFF)).alias("mark"))
-    blocks = work.keep(marks.groupBy("size", "mark").agg(F.min("block").alias("block")).select("block"), "blocks")
+    blocks = work.keep(_unlike(found), "blocks")
     shared = work.keep(found.join(blocks, "block", "left_semi"), "shared")
     work.drop("counted", "found", "blocks")
     tiles = lambda size: F.ceil(F.col(size) / TILE).cast("int")

@@ -328,6 +328,17 @@ def test_ngram_join(docs, none, texts, spark):
     assert ngram_join.classes(none).count() == 0
 
 
+def test_unlike_blocks_stay(spark):
+    """Sums of 48-bit hashes are equal for the first two pairs; the third has the members of the first."""
+    from pyspark.sql import functions as F
+
+    pairs = {1: (4718, 10781), 2: (5994, 10595), 3: (10781, 4718)}
+    found = spark.createDataFrame([(b, r, 2) for b, pair in pairs.items() for r in pair], "block long, rep long, size long")
+    masks = found.groupBy("block").agg(F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFFFF)).alias("mark"))
+    assert masks.select("mark").distinct().count() == 1
+    assert {r["block"] for r in ngram_join._unlike(found).collect()} == {1, 2}
+
+
 def test_signature_tree_loses_nothing():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 2**62, 40, dtype=np.uint64)) for _ in range(80)]

@@ -143,7 +143,7 @@ class WordBpe(WordCache):
         kept = kinds[starts] != _SPACE
         starts, ends = starts[kept], ends[kept]
         if len(starts):
-            hashes = bytescan.Substrings(data).hashes(starts, ends)
+            hashes = bytescan.span_hashes(data, starts, ends)
             ids, run = self._ids(hashes, data, starts, ends)
             at = run[np.searchsorted(starts, offsets)]
         else:

@@ -1,7 +1,7 @@
 """Whole texts as byte arrays inside Arrow tasks: slices of a batch, and hashes of any substring.
 
-Everything here works on the rows of one Arrow batch at a time; memory follows the slice size, or the
-longest single text where that is longer.
+Everything here works on the rows of one Arrow batch at a time; memory follows the slice size. Of a longer text
+the bytes themselves are one array, as they came; `span_hashes` takes its words a slice at a time.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text a task looks at together. A longer text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+#: Bytes of text a task looks at together; some twenty arrays of 8 bytes a byte may stand at once. A longer text makes a
+#: slice of its own.
+SLICE_BYTES = 1 << 19
 
 # Fixed odd multipliers of the two substring hashes (inverses below), and of the finaliser.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -74,6 +75,19 @@ class Substrings:
         return mixed(raw + (end - start).astype(np.uint64) * _MIX_2)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans that follow each other without overlap, from sums over a slice's worth of bytes at a time."""
+    if len(data) <= 2 * SLICE_BYTES:
+        return Substrings(data).hashes(starts, ends)
+    out, a = np.zeros(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")), a + 1)
+        low = int(starts[a])
+        out[a:b] = Substrings(data[low : int(ends[b - 1])]).hashes(starts[a:b] - low, ends[a:b] - low)
+        a = b
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of word bytes that end at row borders: starts, ends, and runs before each row."""
     inside = is_word[data]

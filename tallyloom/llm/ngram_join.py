@@ -54,7 +54,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     for at, _, raw, offsets in bytescan.slices(texts):
         data = _LOWER[raw]
         starts, ends, before = bytescan.words(data, offsets, _WORD)
-        words = bytescan.Substrings(data).hashes(starts, ends)
+        words = bytescan.span_hashes(data, starts, ends)
         n = len(words) - SHINGLE + 1
         whole = bytescan.mixed(sum(words[k : k + n] * _PLACE[k] for k in range(SHINGLE))) if n > 0 else np.zeros(0, np.uint64)
         for k in range(len(offsets) - 1):

@@ -146,7 +146,7 @@ def _examined(texts: pa.Array, least: int) -> Iterator[tuple[pa.Array, pa.Array,
     for _, _, data, offsets in bytescan.slices(texts):
         first, last, before = bytescan.words(data, offsets, _IS_WORD)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
-        keys = bytescan.mixed(bytescan.Substrings(data).hashes(first, last) + row.astype(np.uint64) * np.uint64(bytescan.BASES[0]))
+        keys = bytescan.mixed(bytescan.span_hashes(data, first, last) + row.astype(np.uint64) * np.uint64(bytescan.BASES[0]))
         start, length, period = runs_of(keys, before, least)
         cuts = np.searchsorted(start, before)
         start = start - before[row[start]] if len(start) else start

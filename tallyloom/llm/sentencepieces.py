@@ -130,7 +130,7 @@ class PieceViterbi(WordCache):
             begin[offsets[:-1][full]] = True
             starts = np.flatnonzero(begin)
             ends = np.append(starts[1:], len(data))
-            ids, run = self._ids(bytescan.Substrings(data).hashes(starts, ends), data, starts, ends)
+            ids, run = self._ids(bytescan.span_hashes(data, starts, ends), data, starts, ends)
             yield at, ids, run[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray) -> bytes:

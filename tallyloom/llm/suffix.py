@@ -35,7 +35,9 @@ from tallyloom.llm import bytescan
 from tallyloom.llm.common import Workspace
 from tallyloom.operators.joins import lookup_join
 
-LENGTH, GRAM, OPEN_LIMIT = 400, 32, 4096
+LENGTH, GRAM, OPEN_LIMIT = 400, 32, 256
+# Bits of a place in what is parsed together; the same for all slices, so that equal hashes are told apart alike everywhere.
+_PLACE_BITS = np.uint64(21)
 
 
 def _first_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -48,18 +50,32 @@ def _first_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
-    """Of all rows of a slice: row, first string's place, number of strings, trigger's place, and hashes."""
+def _windows(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int]]:
+    """Bytes, row offsets, where the bytes begin in the slice, and the range of starts that count: a slice as it is, and one
+    long row by windows that overlap so far that every string has its phrase's contexts in the window it starts in."""
+    n, step = len(data), bytescan.SLICE_BYTES
+    if len(offsets) > 2 or n <= 2 * step:
+        yield data, offsets, 0, 0, n
+        return
+    for a in range(0, n, step):
+        low, high = max(a - length, 0), min(a + step + 2 * length, n)
+        yield data[low:high], np.array([0, high - low]), low, a - low, min(a + step, n) - low
+
+
+def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, since: int, until: int) -> dict[str, np.ndarray]:
+    """Of the strings that start in [since, until): row, first string's place, number of strings, trigger's place, and hashes of
+    each phrase. A phrase that the range cuts becomes two, which share its contexts."""
     n = len(data) - length + 1
     if n <= 0:
         return {}
     one, two = bytescan.Substrings(data), bytescan.Substrings(data, bytescan.BASES[1])
     places = np.arange(len(data) - gram + 1)
-    bits = np.uint64(int(len(data)).bit_length())
-    keys = (one.hashes(places, places + gram) >> bits << bits) | places.astype(np.uint64)
-    trigger = (_first_least(keys, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    keys = (one.hashes(places, places + gram) >> _PLACE_BITS << _PLACE_BITS) | places.astype(np.uint64)
+    trigger = (_first_least(keys, length - gram + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    inside = np.arange(n) + length <= offsets[1:][row]
+    inside = places[:n] + length <= offsets[1:][row]
+    inside[:since] = False
+    inside[until:] = False
     begin = np.ones(n, bool)
     begin[1:] = (trigger[1:] != trigger[:-1]) | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1])
     first = np.flatnonzero(begin)
@@ -86,12 +102,13 @@ def _parsed(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
-            for at, _, data, offsets in bytescan.slices(batch.column(1)):
-                p = phrases(data, offsets, length, gram)
-                if p:
-                    columns = [pa.array(rid[at + p["row"]]), pa.array(p["lo"]), pa.array(p["n"].astype(np.int32))]
-                    columns += [pa.array(p[k].view(np.int64)) for k in ("h1", "h2", "head", "tail")]
-                    yield pa.RecordBatch.from_arrays(columns, names=["rid", "lo", "n", "h1", "h2", "head", "tail"])
+            for at, _, whole, borders in bytescan.slices(batch.column(1)):
+                for data, offsets, low, since, until in _windows(whole, borders, length):
+                    p = phrases(data, offsets, length, gram, since, until)
+                    if p:
+                        columns = [pa.array(rid[at + p["row"]]), pa.array(low + p["lo"]), pa.array(p["n"].astype(np.int32))]
+                        columns += [pa.array(p[k].view(np.int64)) for k in ("h1", "h2", "head", "tail")]
+                        yield pa.RecordBatch.from_arrays(columns, names=["rid", "lo", "n", "h1", "h2", "head", "tail"])
 
     return rows.select("rid", "text").mapInArrow(parse, _PHRASES)
 
@@ -142,8 +159,10 @@ def _opened(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     for run in bytescan.runs(batches, ["context"]):
         if run.num_rows > 1:
             phrase, place, one, two = _strings(run.column("bytes"), length)
-            _, which, count = np.unique(one, return_inverse=True, return_counts=True)
-            twice = count[which] > 1
+            order = np.lexsort((two, one))
+            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+            twice = np.zeros(len(one), bool)
+            twice[order[1:][same]] = twice[order[:-1][same]] = True
             if twice.any():
                 phrase, place = phrase[twice], place[twice]
                 yield _spans(run.column("rid").to_numpy()[phrase], run.column("lo").to_numpy()[phrase] + place, length)
@@ -190,14 +209,17 @@ def repeats(rows: DataFrame, work: Workspace, length: int = LENGTH, gram: int =
     return work.keep(spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
-def _without(data: np.ndarray, spans: list) -> tuple[np.ndarray, int, int]:
-    """Which bytes stay, how many go, and in how many runs."""
-    change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, [s["a"] for s in spans], 1)
-    np.add.at(change, [s["b"] for s in spans], -1)
-    gone = np.cumsum(change[:-1]) > 0
-    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return ~gone, int(gone.sum()), runs
+def _without(data: bytes, spans: list) -> tuple[bytes, int, int]:
+    """What stays, how many bytes go, and in how many runs; overlapping and touching spans are one run."""
+    kept, at, runs = [], 0, 0
+    for a, b in sorted((s["a"], s["b"]) for s in spans):
+        if a > at or not runs:
+            kept.append(data[at:a])
+            runs += 1
+        at = max(at, b)
+    kept.append(data[at:])
+    rest = b"".join(kept)
+    return rest, len(data) - len(rest), runs
 
 
 def _numbered(docs: DataFrame, work: Workspace, name: str = "rid") -> DataFrame:
@@ -215,9 +237,8 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             out = []
             for rid, text, spans in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                stays, gone, n = _without(data, spans)
-                out.append((rid.as_py(), gone, n, hashlib.sha256(data[stays].tobytes()).hexdigest()))
+                kept, gone, n = _without(text.as_py().encode(), spans)
+                out.append((rid.as_py(), gone, n, hashlib.sha256(kept).hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["rid", "n_removed", "n_spans", "kept_sha256"])
 
@@ -246,8 +267,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             sizes = columns[chars].to_pylist() if chars is not None else None
             for k, these in enumerate(found_):
                 if these:
-                    data = np.frombuffer(texts[k].encode(), np.uint8)
-                    texts[k] = data[_without(data, these)[0]].tobytes().decode(errors="ignore")
+                    texts[k] = _without(texts[k].encode(), these)[0].decode(errors="ignore")
                     if sizes is not None:
                         sizes[k] = len(texts[k])
             columns[at] = pa.array(texts, columns[at].type)

@@ -45,7 +45,7 @@ def word_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         data = _LOWER[raw]
         starts, ends, before = bytescan.words(data, offsets, _WORD)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
-        hashes = bytescan.Substrings(data).hashes(starts, ends)
+        hashes = bytescan.span_hashes(data, starts, ends)
         order = np.lexsort((hashes, row))
         row, hashes = row[order], hashes[order]
         first = np.ones(len(row), bool)

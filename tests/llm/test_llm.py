@@ -363,9 +363,11 @@ def test_parity_sketch_never_overstates_differences():
     assert (100 + 75) * unlike > (100 - 75) * (len(whole) + len(other))
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-def test_suffix(docs, none, texts, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "slice_bytes"), [(256, 1 << 19), (1, 1 << 19), (256, 700)])
+def test_suffix(docs, none, texts, limit, slice_bytes, monkeypatch):
+    """A small limit counts all strings of shared contexts as rows; small slices cut long texts into windows."""
     monkeypatch.setattr(suffix, "OPEN_LIMIT", limit)
+    monkeypatch.setattr(bytescan, "SLICE_BYTES", slice_bytes)
     stored = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     seen = Counter(t[i : i + 400] for _, t in stored for i in range(len(t) - 399))
     expected = Counter()
@@ -384,6 +386,46 @@ def test_suffix(docs, none, texts, limit, monkeypatch):
         assert suffix.removed(none).count() == 0
 
 
+def test_windows_of_a_long_text_and_whole_slices_agree():
+    """Strings of a text cut into windows are those of the same text in one piece, and every string is in one phrase."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 100, 9000, np.uint8)
+    text[5000:8000] = text[1000:4000]
+    whole = suffix.phrases(text, np.array([0, 9000]), 400, 32, 0, 9000)
+    before = bytescan.SLICE_BYTES
+    bytescan.SLICE_BYTES = 1000
+    try:
+        parts = [(low, suffix.phrases(d, o, 400, 32, a, b)) for d, o, low, a, b in suffix._windows(text, np.array([0, 9000]), 400)]
+    finally:
+        bytescan.SLICE_BYTES = before
+    listed = lambda low, p: [(int(low + lo + k), int(low + lo + at), int(h), int(t)) for lo, n, at, h, t in zip(p["lo"], p["n"], p["at"], p["head"], p["tail"], strict=True) for k in range(n)]
+    strings = sorted(x for low, p in parts for x in listed(low, p))
+    assert strings == sorted(listed(0, whole)) and [s[0] for s in strings] == list(range(8601)) and len(parts) == 9
+
+
+def test_suffix_of_a_text_of_twenty_megabytes(spark):
+    """Two long texts that share their middle: it goes from both, nothing else does."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    middle = letters(3_000_000)
+    texts = [letters(9_000_000) + middle + letters(8_000_000), letters(1000) + middle]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix.removed(docs).collect()}
+    for k, t in enumerate(texts):
+        kept = hashlib.sha256(t.replace(middle, "").encode()).hexdigest()
+        assert (got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (3_000_000, 1, kept)
+
+
+def test_span_hashes_do_not_depend_on_slices(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 3, 5000, np.uint8)
+    starts = np.arange(0, 4990, 7)
+    ends = starts + np.arange(len(starts)) % 7
+    ends[100] = starts[100] + 6
+    whole = bytescan.Substrings(data).hashes(starts, ends)
+    monkeypatch.setattr(bytescan, "SLICE_BYTES", 64)
+    assert (bytescan.span_hashes(data, starts, ends) == whole).all()
+
+
 def test_suffix_numbers_rows_once(spark, docs, monkeypatch):
     """Every job after a stored frame cuts its scan otherwise, as when an executor was lost or has joined."""
     order = lambda rows: sorted(map(str, rows))

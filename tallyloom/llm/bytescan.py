@@ -39,6 +39,12 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         to = min(max(to, at + 1), n)
         yield at, to, whole[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    release()
+
+
+def release() -> None:
+    """Give what earlier batches took back to the system: workers are used again for other stages, and Arrow's pool keeps it."""
+    pa.default_memory_pool().release_unused()
 
 
 def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
@@ -122,3 +128,4 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Reco
         held = [joined.slice(int(starts[-1]))]
     if held:
         yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    release()

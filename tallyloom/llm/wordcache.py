@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: A worker keeps the ids of about so many words between slices, then starts anew.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 class WordCache:

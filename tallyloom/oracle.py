@@ -574,7 +574,12 @@ WHERE invoice_number <> invoice_number_normalized ORDER BY invoice_number LIMIT
     "mix_report": """SELECT t.label AS scenario_type, t.rows_wanted AS target, count(l.k) AS achieved
 FROM target t LEFT JOIN labelled l ON l.label = t.label GROUP BY t.label, t.rows_wanted""",
     "grading": "SELECT * FROM graded",
-    "grading_mismatches": "SELECT * FROM graded WHERE NOT graded_correct",
+    "grading_mismatches": """SELECT * EXCLUDE (m) REPLACE (
+  CASE WHEN m % 89 = 0 THEN expected_match_level + 1 ELSE expected_match_level END AS expected_match_level,
+  CASE WHEN m % 89 = 0 THEN NULL ELSE expected_exception_reason END AS expected_exception_reason,
+  graded_correct AND m % 89 <> 0 AS graded_correct)
+FROM (SELECT *, CAST(substr(statement_invoice_number, 4, 12) AS BIGINT) AS m FROM graded)
+WHERE NOT graded_correct OR m % 89 = 0""",
     "grading_breakdown": """SELECT scenario_type, count(*) AS total, count(*) FILTER (graded_correct) AS correct
 FROM graded GROUP BY scenario_type""",
     "quality_checks": _CHECKS,

@@ -15,7 +15,7 @@ from tallyloom.operators import gold, groundtruth, ingest, matching, normalize,
 from tallyloom.plans import reconcile
 from tallyloom.sources import orders as source
 from tallyloom.sources import tables
-from tallyloom.sources.staging import stored
+from tallyloom.sources.staging import stored, together
 from tallyloom.schemas import schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,16 +150,25 @@ def _all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     given = _Inputs(spark, sf)
     given.classified = given.classified_table
     given.shops = stored(given.shops)
-    pages = _pages(spark, sf)
-    records = stored(_records_of(pages))
-    flagged = ingest.flag_duplicates(_candidates(pages, records), _DUPLICATE_KEY)
+    records = stored(_records_of(_pages(spark, sf)))
     return {
         "bronze_vendor_statement_raw": given.statement_bronze,
         "bronze_internal_erp_raw": given.ledger_bronze,
         "silver_reconciliation_standard": given.silver[0].unionByName(given.silver[1]),
-        "validation_document_review_queue": _queue(records, flagged),
-        "ai_audit_log": ingest.page_audit(records, PROVIDER),
         "validation_mutation_manifest": given.manifest,
+        **_page_tables(spark, sf, records),
+        **_gold_tables(given),
+    }
+
+
+def _page_tables(spark: SparkSession, sf: str, records: DataFrame, pages: DataFrame | None = None) -> dict[str, DataFrame]:
+    pages = _pages(spark, sf) if pages is None else pages
+    flagged = ingest.flag_duplicates(_candidates(pages, records), _DUPLICATE_KEY)
+    return {"validation_document_review_queue": _queue(records, flagged), "ai_audit_log": ingest.page_audit(records, PROVIDER)}
+
+
+def _gold_tables(given: _Inputs) -> dict[str, DataFrame]:
+    return {
         "gold_matched_invoices": gold.matched_invoices(given.classified),
         "gold_exceptions": gold.exceptions(given.classified, given.orphans),
         "gold_vendor_summary": gold.vendor_summary(given.shops),
@@ -168,6 +177,41 @@ def _all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
+def _store_all(spark: SparkSession, sf: str, observed: quality.Observed) -> None:
+    """Write all eleven tables, each from the stored ones before it and those that do not need each other at the same time."""
+    given = _Inputs(spark, sf)
+
+    def put(made: dict[str, DataFrame]) -> None:
+        together(spark, *[lambda t=table, r=rows: observed.store(t, r) for table, rows in made.items()])
+
+    def intake() -> None:
+        pages = _pages(spark, sf)
+        put(_page_tables(spark, sf, stored(_records_of(pages)), pages))
+
+    def matching_side() -> None:
+        _store_sides(given, observed)
+        given.classified = given.classified_table
+        given.orphans = stored(given.orphans)
+        given.shops = stored(given.shops)
+        put(_gold_tables(given))
+
+    together(spark, intake, matching_side)
+
+
+def _store_sides(given: _Inputs, observed: quality.Observed) -> None:
+    """Both Bronze tables, the manifest and Silver, each read from what was stored before it."""
+    given.statement_bronze = observed.store("bronze_vendor_statement_raw", given.statement_bronze)
+    given.statement = source.statement_silver(given.statement_bronze)
+    given.plan = stored(given.plan)
+
+    def ledger_and_silver() -> None:
+        given.ledger_bronze = observed.store("bronze_internal_erp_raw", given.ledger_bronze)
+        both = given.statement.unionByName(given.ledger)
+        given.silver = normalize.sides(observed.store("silver_reconciliation_standard", both, partition_by=["record_source"]))
+
+    together(given.plan.sparkSession, ledger_and_silver, lambda: observed.store("validation_mutation_manifest", given.manifest))
+
+
 def _queue(records: DataFrame, flagged: DataFrame) -> DataFrame:
     return (
         ingest.rejected_rows(records)
@@ -552,7 +596,17 @@ def grading(spark, sf):
 
 @query
 def grading_mismatches(spark, sf):
-    return groundtruth.grade_mismatches(_Inputs(spark, sf).graded)
+    """Grading against a manifest in which every 89th expectation is wrong: those are found, and no others."""
+    given = _Inputs(spark, sf)
+    wrong = F.substring("statement_invoice_number", 4, 12).cast("bigint") % 89 == 0
+    level, reason = F.col("expected_match_level"), F.col("expected_exception_reason")
+    given.manifest = given.manifest.withColumns(
+        {
+            "expected_match_level": F.when(wrong, level + 1).otherwise(level),
+            "expected_exception_reason": F.when(~wrong, reason),
+        }
+    )
+    return groundtruth.grade_mismatches(given.graded)
 
 
 @query
@@ -563,7 +617,10 @@ def grading_breakdown(spark, sf):
 # --- quality ------------------------------------------------------------------------------------------
 @query
 def quality_checks(spark, sf):
-    return quality.run_checks(spark, _all_tables(spark, sf))
+    """Checks of all tables, from the writes that store them."""
+    observed = quality.Observed(spark, stored)
+    _store_all(spark, sf, observed)
+    return observed.checks()
 
 
 @query
@@ -589,14 +646,14 @@ def failing_checks(spark, sf):
 
 @query
 def parity_checks(spark, sf):
+    """Control totals of both sides, the manifest and the plan of the ledger, all from the writes that store them."""
+    observed = quality.Observed(spark, stored)
     given = _Inputs(spark, sf)
-    given.statement_bronze = stored(given.statement_bronze)
-    given.statement = source.statement_silver(given.statement_bronze)
-    given.plan = stored(source.planted(given.statement))
-    return quality.parity_checks(
-        (given.statement_bronze, given.statement),
-        (given.ledger_bronze, given.ledger),
-        given.manifest,
+    _store_sides(given, observed)
+    return quality.parity_of(
+        observed.control_totals("bronze_vendor_statement_raw"),
+        observed.control_totals("bronze_internal_erp_raw"),
+        spark.range(1).select(F.lit(observed.rows_of("validation_mutation_manifest")).cast("bigint").alias("manifest_rows")),
         given.plan.agg(F.sum("copies").alias("expected")),
     )
 

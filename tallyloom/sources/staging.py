@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +34,14 @@ def stored(rows: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     path = f"{staging_folder(spark)}/stored-{uuid.uuid4().hex}"
     rows.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def together(spark: SparkSession, *steps: Callable[[], object]) -> list:
+    """Results of independent steps that write tables, run at the same time.
+
+    A small table's write leaves most of a cluster idle, and planning one leaves all of it idle. The first failure is raised
+    once all steps have ended.
+    """
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    return [r.result() for r in running]

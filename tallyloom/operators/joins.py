@@ -33,6 +33,18 @@ def lookup_join(
     return left.join(right, condition, how).drop("_mix", "_mix_r", *marks.values())
 
 
+def local_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join `rows` to `lookup`, which must be unique on `keys`, by these keys alone, so that frames stored by them meet without a
+    shuffle. Key columns come from `rows`. Which side is small plays no part: buckets meet buckets."""
+    marks = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    right = lookup.withColumnsRenamed(marks).hint("merge")
+    condition: Column | None = None
+    for k, mark in marks.items():
+        same = F.col(k) == F.col(mark)
+        condition = same if condition is None else condition & same
+    return rows.join(right, condition, how).drop(*marks.values())
+
+
 def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once per row, however often they are used afterwards.
 

@@ -9,10 +9,11 @@ from tallyloom import contract as K
 from tallyloom.config import MatchRules
 from tallyloom.functions.money import amount_equal
 from tallyloom.functions.text import quoted, render, shown
-from tallyloom.operators.joins import lookup_join
+from tallyloom.operators.joins import local_join, lookup_join
+from tallyloom.sources.colocated import Sides
 
 _SCOPE = ["vendor_id", "statement_period"]
-_KEY = [*_SCOPE, "invoice_number_normalized"]
+KEY = [*_SCOPE, "invoice_number_normalized"]
 _CANDIDATE = ("record_id", "outstanding_amount", "amount", "ro_number", "status", "credit")
 
 
@@ -26,8 +27,8 @@ def candidate_groups(ledger: DataFrame) -> DataFrame:
     outstanding = F.col("outstanding_amount")
     known = F.count(outstanding)
     return (
-        ledger.dropna(subset=_KEY)
-        .groupBy(*_KEY)
+        ledger.dropna(subset=KEY)
+        .groupBy(*KEY)
         .agg(
             F.count("*").alias("candidate_count"),
             (
@@ -39,9 +40,34 @@ def candidate_groups(ledger: DataFrame) -> DataFrame:
     )
 
 
-def attach_candidates(statement: DataFrame, ledger: DataFrame) -> DataFrame:
+def stored_candidate_groups(ledger: DataFrame) -> DataFrame:
+    """The same groups of a ledger that is stored by the key. Counting has buffers of fixed width, so it hashes and sorts
+    nothing; the record of a key that has only one is fetched by joining the ledger with itself, bucket by bucket. The key
+    of many copies is left out there, so none of its rows meets another."""
+    outstanding = F.col("outstanding_amount")
+    counted = (
+        ledger.dropna(subset=KEY)
+        .groupBy(*KEY)
+        .agg(
+            F.count("*").alias("candidate_count"),
+            F.count(outstanding).alias("_known"),
+            F.min(outstanding).alias("_least"),
+            F.max(outstanding).alias("_most"),
+        )
+    )
+    agree = (F.col("_known") == 0) | ((F.col("_known") == F.col("candidate_count")) & (F.col("_least") == F.col("_most")))
+    groups = counted.select(*KEY, "candidate_count", agree.alias("copies_agree"))
+    only = groups.where("candidate_count = 1").select(*KEY)
+    records = local_join(ledger.select(*KEY, F.struct(*_CANDIDATE).alias("candidate")), only, KEY, "left_semi")
+    return local_join(groups, records, KEY)
+
+
+def attach_candidates(statement: DataFrame, ledger: DataFrame, stored_by_key: bool = False) -> DataFrame:
     """Every statement row with its candidate group; no group gives a count of 0."""
-    joined = lookup_join(statement, candidate_groups(ledger), _KEY)
+    if stored_by_key:
+        joined = local_join(statement, stored_candidate_groups(ledger), KEY)
+    else:
+        joined = lookup_join(statement, candidate_groups(ledger), KEY)
     return joined.withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0).cast("bigint")))
 
 
@@ -56,6 +82,23 @@ def attach_work_orders(statement: DataFrame, ledger: DataFrame) -> DataFrame:
     return lookup_join(statement, numbers, [*_SCOPE, "work_order_number"])
 
 
+def shared_numbers(statement: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(vendor, period, number): numbers that a statement has as a work order and the ledger of its vendor and period as an
+    invoice number. Both sides are tagged, stacked and summed in one shuffle of one row per number, side and task.
+
+    The work-order lookup and the exclusion of orphans both ask for a number of this one, mostly small, set."""
+    tag = lambda rows, column, ours: rows.select(*_SCOPE, F.col(column).alias("number"), F.lit(ours).alias("ordered"))
+    both = tag(statement, "work_order_number", True).unionByName(tag(ledger, "invoice_number", False)).dropna()
+    sides = both.groupBy(*_SCOPE, "number").agg(F.max("ordered").alias("ordered"), F.min("ordered").alias("only_ordered"))
+    return sides.where("ordered AND NOT only_ordered").select(*_SCOPE, "number")
+
+
+def attach_shared(statement: DataFrame, shared: DataFrame) -> DataFrame:
+    """`attach_work_orders` from the numbers that both sides share."""
+    numbers = shared.withColumnRenamed("number", "work_order_number").withColumn("work_order_match", F.col("work_order_number"))
+    return lookup_join(statement, numbers, [*_SCOPE, "work_order_number"])
+
+
 def decision(rules: MatchRules) -> Column:
     """The decision struct of a row that carries its candidate group: the first rule that applies."""
     count, candidate = F.col("candidate_count"), F.col("candidate")
@@ -116,7 +159,25 @@ def decision(rules: MatchRules) -> Column:
     )
 
 
+_ATTACHED = ("candidate_count", "copies_agree", "candidate", "work_order_match")
+
+
 def classify(statement: DataFrame, ledger: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """Statement rows plus a `decision` struct. One row in, one row out."""
     joined = attach_work_orders(attach_candidates(statement, ledger), ledger)
-    return joined.withColumn("decision", decision(rules)).drop("candidate_count", "copies_agree", "candidate", "work_order_match")
+    return joined.withColumn("decision", decision(rules)).drop(*_ATTACHED)
+
+
+def classify_stored(sides: Sides, shared: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
+    """`classify` of sides stored by the matching key and the numbers they share: statement and ledger stay where they are, and
+    only the lookup of work orders may move rows. Sides with a hot bucket go the way that splits hot keys."""
+    joined = attach_shared(attach_candidates(sides.statement, sides.ledger, sides.even), shared)
+    return joined.withColumn("decision", decision(rules)).drop(*_ATTACHED)
+
+
+def orphans_stored(sides: Sides, shared: DataFrame) -> DataFrame:
+    """Ledger rows that no statement row of their vendor and period has, neither as its number nor as its work order."""
+    join = local_join if sides.even else lookup_join
+    numbers = sides.statement.select(*KEY).dropna().distinct()
+    unmatched = join(sides.ledger, numbers, KEY, "left_anti")
+    return lookup_join(unmatched, shared.withColumnRenamed("number", "invoice_number"), [*_SCOPE, "invoice_number"], "left_anti")

@@ -473,6 +473,11 @@ _BRONZE_LEDGER = """SELECT vendor_id, source_file, statement_id, period AS state
 _QUERIES = {
     "scan_scope": """SELECT vendor_id, statement_period, invoice_number, shop, outstanding_amount FROM silver_s
 WHERE vendor_id = 'V1' AND statement_period = '1997-05'""",
+    "scan_scopes": """SELECT vendor_id, statement_period, invoice_number, shop, outstanding_amount FROM silver_s
+WHERE EXISTS (SELECT 1 FROM line WHERE line.cents > 49900000 AND line.vendor_id = silver_s.vendor_id AND line.period = silver_s.statement_period)""",
+    "replaced_scopes": """SELECT vendor_id, statement_period, invoice_number, shop, CAST(CASE WHEN substr(statement_period, 6) = '05'
+  THEN outstanding_amount * 2 ELSE outstanding_amount END AS DECIMAL(12,2)) AS outstanding_amount
+FROM silver_s WHERE substr(statement_period, 6) <> '12'""",
     "conform_schema": _BRONZE_LEDGER.format(page=", CAST(NULL AS INTEGER) AS page_number"),
     "scoped_replace": """SELECT statement_id, invoice_number, CAST(CASE WHEN substr(statement_period, 6) = '05'
   THEN outstanding_amount * 2 ELSE outstanding_amount END AS DECIMAL(12,2)) AS outstanding_amount
@@ -561,6 +566,9 @@ WHERE invoice_number <> invoice_number_normalized ORDER BY invoice_number LIMIT
     "classify": """SELECT record_id, invoice_number, match_status, match_level, matched_rule, match_reason, exception_category,
   deterministic_reason, reference_record_id FROM decided""",
     "orphans": "SELECT record_id, vendor_id, invoice_number FROM orphan",
+    "classify_colocated": """SELECT record_id, invoice_number, match_status, match_level, matched_rule, match_reason, exception_category,
+  deterministic_reason, reference_record_id FROM decided""",
+    "orphans_colocated": "SELECT record_id, vendor_id, invoice_number FROM orphan",
     "gold_matched": "SELECT * FROM matched_out",
     "gold_exceptions": "SELECT * FROM exception_out",
     "shop_aggregates": "SELECT * FROM shops",

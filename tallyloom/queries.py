@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,9 +14,10 @@ from tallyloom.config import MatchRules, ValidationRules
 from tallyloom.functions import dates, keys, money, text
 from tallyloom.operators import gold, groundtruth, ingest, matching, normalize, quality
 from tallyloom.plans import reconcile
+from tallyloom.sources import colocated, tables
 from tallyloom.sources import orders as source
-from tallyloom.sources import tables
-from tallyloom.sources.staging import stored, together
+from tallyloom.sources.staging import staging_folder, stored, together
+from tallyloom.sources.versions import VersionedTable
 from tallyloom.schemas import schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,10 +122,38 @@ def _timeless(rows: DataFrame, table: str) -> DataFrame:
 
 
 # --- scans and writes ----------------------------------------------------------------------
+def _silver_table(spark: SparkSession, sf: str) -> VersionedTable:
+    """The statement side as a stored table of as many partitions as it has vendors and periods, written in one change."""
+    table = VersionedTable(spark, f"{staging_folder(spark)}/silver-{uuid.uuid4().hex}", "silver_reconciliation_standard")
+    rows = stored(_Inputs(spark, sf).statement)
+    table.replace(rows, rows.select(*table.by))
+    return table
+
+
+_SCANNED = ["vendor_id", "statement_period", "invoice_number", "shop", "outstanding_amount"]
+
+
 @query
 def scan_scope(spark, sf):
-    rows = tables.scoped(_Inputs(spark, sf).statement, "V1", "1997-05")
-    return rows.select("vendor_id", "statement_period", "invoice_number", "shop", "outstanding_amount")
+    return _silver_table(spark, sf).scan({"vendor_id": "V1", "statement_period": "1997-05"}).select(*_SCANNED)
+
+
+@query
+def scan_scopes(spark, sf):
+    """The scopes that a table lists: vendors and months of orders above a price."""
+    dear = source.lines(spark, sf).where("cents > 49900000").select("vendor_id", "statement_period")
+    return _silver_table(spark, sf).scan_scopes(dear).select(*_SCANNED)
+
+
+@query
+def replaced_scopes(spark, sf):
+    """The stored table after one change of many scopes: May comes again at twice the amount, December goes."""
+    table = _silver_table(spark, sf)
+    month = F.substring("statement_period", 6, 2)
+    now = table.read()
+    again = now.where(month == "05").withColumn("outstanding_amount", (F.col("outstanding_amount") * 2).cast(money.AMOUNT))
+    table.replace(again, now.where(month.isin("05", "12")).select(*table.by))
+    return table.read().select(*_SCANNED)
 
 
 @query
@@ -513,6 +543,22 @@ def orphans(spark, sf):
     return gold.orphans(*_Inputs(spark, sf).sides).select("record_id", "vendor_id", "invoice_number")
 
 
+def _colocated(spark: SparkSession, sf: str) -> tuple[colocated.Sides, DataFrame]:
+    """Both sides stored by the matching key, and the numbers they share, found once."""
+    sides = colocated.store(*_Inputs(spark, sf).silver, matching.KEY)
+    return sides, stored(matching.shared_numbers(sides.statement, sides.ledger))
+
+
+@query
+def classify_colocated(spark, sf):
+    return matching.classify_stored(*_colocated(spark, sf), MatchRules()).select("record_id", "invoice_number", "decision.*")
+
+
+@query
+def orphans_colocated(spark, sf):
+    return matching.orphans_stored(*_colocated(spark, sf)).select("record_id", "vendor_id", "invoice_number")
+
+
 @query
 def gold_matched(spark, sf):
     return _timeless(gold.matched_invoices(_Inputs(spark, sf).classified), "gold_matched_invoices")

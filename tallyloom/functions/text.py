@@ -67,10 +67,42 @@ def number_shown(c: Column) -> Column:
     )
 
 
+# A suffix that starts with a sign of its own: that character, then at most one class of others, to the end.
+_SIGNED = re.compile(r"(?P<sign>\\?[^\\\[\](){}.*+?^$|])(?:(?P<others>\[(?:[^\]\\^]|\\.)+\]|\\d)[+*]?)?\$")
+_LINE_ENDS = r"[\n\r\u0085\u2028\u2029]"
+
+
+def all_suffixes(patterns: Sequence[str]) -> str | None:
+    """One expression for all suffixes at a value's end, or None where the order in which they go may matter.
+
+    If each suffix starts with a sign that no suffix holds further on, a row of suffixes can be read in one way only: the signs
+    cut it. Then stripping one after the other ends where the longest such row starts, provided that something stays in front.
+    """
+    parts = [_SIGNED.fullmatch(p) for p in patterns]
+    if not parts or not all(parts):
+        return None
+    signs = [p["sign"].removeprefix("\\") for p in parts]
+    if any(p["others"] and re.fullmatch(p["others"], sign) for p in parts for sign in signs):
+        return None
+    # Possessive: a row that is read once is not read again in another way. The first place it fits is the longest row's.
+    return rf"(?s)(?<=.)(?:{'|'.join(f'(?:{p[:-1]})' for p in patterns)})++$"
+
+
 def normalize_number(raw: Column, patterns: Sequence[str]) -> Column:
     """Strip revision suffixes until none is left; a suffix goes only when something stays in front of it.
 
-    The look-ahead leaves a value alone when its leftmost hit starts at position 0. Every round that
+    Suffixes that can be told apart by their signs go all at once, with one expression. Others go in rounds, and so do values
+    with line ends in them, before which an end anchor would match as well.
+    """
+    one = all_suffixes(patterns)
+    if one is None:
+        return _in_rounds(raw, patterns)
+    base = strip(raw)
+    return F.when(base.rlike(_LINE_ENDS), _in_rounds(raw, patterns)).otherwise(F.regexp_replace(base, one, ""))
+
+
+def _in_rounds(raw: Column, patterns: Sequence[str]) -> Column:
+    """The look-ahead leaves a value alone when its leftmost hit starts at position 0. Every round that
     changes a value shortens it, so as many rounds as it has characters reach the end. Most numbers
     carry no suffix at all: one combined test guards the rounds, and each of them.
     """

@@ -8,6 +8,7 @@ document must meet: the header's shop, the per-page fallback and duplicates acro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,22 @@ _AMOUNTS = ("amount", "outstanding_amount")
 _OPTIONAL = ("amount", "document_section", "confidence")
 
 
+DELIVERY = "delivery"
+
+
+def _delivery(rows: DataFrame) -> list[str]:
+    """The delivery number travels with a page's records where pages have one."""
+    return [DELIVERY] if DELIVERY in rows.columns else []
+
+
+def file_delivery() -> Column:
+    """A delivery number for pages read from files: when the file came, in seconds, then a number of the file's row, the same in
+    every run. At most 18 digits, as `flag_duplicates` needs."""
+    came = F.unix_seconds(F.col("_metadata.file_modification_time"))
+    row = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(100_000_000))
+    return came * 100_000_000 + row
+
+
 # --- reading one page -------------------------------------------------------------------
 def attach_shop(pages: DataFrame, rules: VendorRules) -> DataFrame:
     """The shop printed on a document's first page, for all its pages; NULL if it is not found."""
@@ -43,11 +60,12 @@ def cells_to_records(pages: DataFrame, rules: VendorRules) -> DataFrame:
     row = F.col("row")
     first, number = F.get(row, F.lit(0)), F.get(row, F.lit(1))
     return (
-        pages.select(*PAGE, "shop", F.posexplode("cells").alias("pos", "row"))
+        pages.select(*PAGE, *_delivery(pages), "shop", F.posexplode("cells").alias("pos", "row"))
         .where(first.isNotNull() & ~first.isin("", K.HEADER_CELL) & ~first.startswith(K.FOOTER_PREFIX))
         .where(number.isNotNull() & (number != ""))
         .select(
             *PAGE,
+            *_delivery(pages),
             (F.col("pos") + 1).alias("row_number"),
             *[F.get(row, F.lit(i)).alias(name) for i, name in enumerate(rules.fields)],
             "shop",
@@ -217,7 +235,7 @@ def page_records(pages: DataFrame, rules: VendorRules, validation: ValidationRul
     fields = [*rules.fields, *[f for f in _OPTIONAL if f not in rules.fields]]
     parsed = parse_responses(pages).withColumn("response_key", response_key())
     rows = parsed.select(
-        *PAGE, "shop", "success", "error", "text", "response_key", "latency_ms", "attempt_count", "model", "contract_error",
+        *PAGE, *_delivery(pages), "shop", "success", "error", "text", "response_key", "latency_ms", "attempt_count", "model", "contract_error",
         F.posexplode_outer("items").alias("pos", "item"),
     )
     item_type = ", ".join(f"{f} string" for f in fields)
@@ -312,8 +330,16 @@ def flag_duplicates(records: DataFrame, key: Sequence[str]) -> DataFrame:
     NULLs in the key are equal to each other. The first position per key is an aggregate that
     combines on the map side, not a window, so a record copied a million times is no hot group;
     only keys that do repeat come back into the join.
+
+    Where records have a `delivery` (a number from 0 of at most 18 digits that grows with the arrival of pages and differs
+    between two deliveries of a page), an earlier delivery of a page comes before a later one, so a page that is delivered
+    again adds nothing but duplicates and what is new in it.
     """
     place = F.col("page_number").cast("bigint") * 4_294_967_296 + F.col("row_number")
+    if DELIVERY in records.columns:
+        # Page, delivery and row side by side in one number, whose minimum needs a buffer of fixed width.
+        page, row = F.col("page_number").cast("decimal(10,0)"), F.col("row_number").cast("decimal(10,0)")
+        place = page * F.lit(Decimal(10) ** 28) + F.col(DELIVERY).cast("decimal(18,0)") * F.lit(Decimal(10) ** 10) + row
     group = [*DOCUMENT, *[k for k in key if k not in DOCUMENT]]
     placed = records.withColumn("_place", place)
     repeated = (

@@ -510,6 +510,10 @@ FROM checked""",
 FROM page LEFT JOIN (SELECT statement_id, page_number, count(*) FILTER (rejection_category IS NULL) AS a,
     count(*) FILTER (rejection_category IS NOT NULL) AS r FROM checked GROUP BY ALL) USING (statement_id, page_number)
 GROUP BY statement_id""",
+    "redelivered_pages": """SELECT statement_id, page_number, CAST(0 AS BIGINT) AS delivery, row_number, number AS invoice_number, is_duplicate
+FROM placed
+UNION ALL SELECT statement_id, page_number, 1, row_number, number, true FROM placed JOIN page USING (statement_id, page_number)
+WHERE page_id % 5 = 0""",
     "dedup_first": "SELECT statement_id, page_number, row_number, number AS invoice_number, is_duplicate FROM placed",
     "bronze_rows": """SELECT vendor_id, source_file, statement_id, period AS statement_period, page_number, row_number,
   invoice_date AS raw_invoice_date, number AS raw_invoice_number, work_order AS raw_work_order_number, ro AS raw_ro_number,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from tallyloom.config import Adapter, MatchRules, ValidationRules, VendorRules
 from tallyloom.operators import gold, ingest, matching, normalize
+from tallyloom.sources import colocated
 
 
 Keep = Callable[[DataFrame], DataFrame]
@@ -90,15 +91,25 @@ def to_gold(
     rules: MatchRules = MatchRules(),
     run_at: str | None = None,
     keep: Keep = lazily,
+    colocate: bool = False,
 ) -> dict[str, DataFrame]:
     """The five Gold tables.
 
     The classified rows feed four of them. `keep` may write a frame and return it read back, as
     `sources.staging.stored` does, so that the joins behind it run once; by default all stays lazy.
+    With `colocate` both sides are first stored by the matching key, and matching shuffles neither; this pays where they are
+    matched more than once or where `silver` is a stored table of many rows.
     """
     statement, ledger = normalize.sides(silver)
-    classified = keep(matching.classify(statement, ledger, rules))
-    orphan_rows = keep(gold.orphans(statement, ledger))
+    if colocate:
+        sides = colocated.store(statement, ledger, matching.KEY)
+        ledger = sides.ledger
+        shared = keep(matching.shared_numbers(sides.statement, ledger))
+        classified = keep(matching.classify_stored(sides, shared, rules))
+        orphan_rows = keep(matching.orphans_stored(sides, shared))
+    else:
+        classified = keep(matching.classify(statement, ledger, rules))
+        orphan_rows = keep(gold.orphans(statement, ledger))
     shops = gold.shop_aggregates(classified, orphan_rows, ledger)
     return {
         "gold_matched_invoices": gold.matched_invoices(classified, run_at),
@@ -118,6 +129,7 @@ def pages_to_gold(
     vendor_name: Column | None = None,
     run_at: str | None = None,
     keep: Keep = lazily,
+    colocate: bool = False,
 ) -> dict[str, DataFrame]:
     """One run for any number of vendors and periods: what ingestion wrote to Bronze feeds Silver, then matching.
 
@@ -129,5 +141,5 @@ def pages_to_gold(
         **read,
         "bronze_internal_erp_raw": ledger_bronze,
         "silver_reconciliation_standard": silver,
-        **to_gold(silver, rules, run_at, keep),
+        **to_gold(silver, rules, run_at, keep, colocate),
     }

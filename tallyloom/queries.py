@@ -325,6 +325,16 @@ def dedup_first(spark, sf):
     return _flagged(spark, sf).select("statement_id", "page_number", "row_number", "invoice_number", "is_duplicate")
 
 
+@query
+def redelivered_pages(spark, sf):
+    """Every fifth page is delivered a second time: all of its records are later copies."""
+    pages = source.pages(spark, sf)
+    times = F.expr("if(page_id % 5 = 0, array(0L, 1L), array(0L))")
+    twice = ingest.attach_shop(stored(pages.withColumn("delivery", F.explode(times))), source.VENDOR)
+    flagged = ingest.flag_duplicates(_candidates(twice, _records_of(twice)), _DUPLICATE_KEY)
+    return flagged.select("statement_id", "page_number", "delivery", "row_number", "invoice_number", "is_duplicate")
+
+
 @query
 def bronze_rows(spark, sf):
     pages = _pages(spark, sf)

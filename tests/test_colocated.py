@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import MatchRules
 from tallyloom.operators import gold, matching
+from tallyloom.plans import reconcile
 from tallyloom.sources import colocated, orders
 from tallyloom.sources.staging import stored
 
@@ -102,6 +103,13 @@ def test_hot_bucket_goes_the_way_that_splits(spark, silver):
     assert local.count() == hot[0].count()
 
 
+def test_gold_tables_are_the_same(spark, silver):
+    both = stored(silver[0].unionByName(silver[1]))
+    plain, stored_by_key = (reconcile.to_gold(both, keep=stored, colocate=c) for c in (False, True))
+    for name, rows in plain.items():
+        assert order(stored_by_key[name]) == order(rows) and stored_by_key[name].schema == rows.schema, name
+
+
 def test_bucket_counts():
     assert [colocated.bucket_count(n, 100) for n in (0, 1, 100, 101, 350, 10_000)] == [1, 1, 1, 2, 4, 128]
     assert colocated.bucket_count(10**11, 2_000_000) == 65_536

@@ -68,6 +68,20 @@ def brute_force(number, patterns):
     return value
 
 
+def test_suffixes_that_can_go_at_once():
+    assert text.all_suffixes(ALL) is not None and text.all_suffixes([r"-\d+$", "R$"]) is not None
+    for mixed in (["AB$", "B$"], ["-[0-9-]+$"], ["X[0-9R]*$", "R$"], ["[XY][0-9]$"], [r"-\d+"], [r"(-\d)+$"], []):
+        assert text.all_suffixes(mixed) is None
+
+
+def test_order_of_suffixes_matters_where_they_overlap(spark):
+    values = ["xAB", "xB", "B", "AB", "xABAB", "xA", "x-1\n", "A-2\n-1", "A \n-1R"]
+    for patterns in (["B$", "AB$"], ["AB$", "B$"]):
+        assert column(spark, values, text.normalize_number(F.col("c"), patterns)) == [brute_force(v, patterns) for v in values]
+    lines = ["A-2\n-1", "A \n-1R", "A-1", "A-1R\n"]
+    assert column(spark, lines, text.normalize_number(F.col("c"), ALL)) == [brute_force(v, ALL) for v in lines]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="X1-2RA9", max_size=9), min_size=50, max_size=120))
 def test_normalize_number_random(spark, values):

@@ -201,6 +201,27 @@ def test_responses_are_attached_last(spark):
     assert got == {"SIN1": one, "SIN2": two, "SIN3": two}
 
 
+def test_page_delivered_twice(spark):
+    """The later delivery of a page adds what is new in it; the rest are duplicates of the earlier one, whatever their rows."""
+    new = {**RECORD, "invoice_number": "SIN9"}
+    given = pages(spark, {"text": answer(RECORD)}, {"text": answer(new, RECORD)}, {"text": answer(RECORD), "page_number": 2})
+    given = given.withColumn("delivery", F.when(F.col("text") == answer(new, RECORD), 10**18 - 1).otherwise(F.lit(0)).cast("long"))
+    records = ingest.page_records(ingest.attach_shop(given, VENDOR), VENDOR, ValidationRules())
+    flagged = ingest.flag_duplicates(records, ValidationRules().duplicate_key)
+    got = sorted((r.invoice_number, r.page_number, r.delivery, r.is_duplicate) for r in flagged.collect())
+    late = 10**18 - 1
+    assert got == [("SIN1", 1, 0, False), ("SIN1", 1, late, True), ("SIN1", 2, 0, True), ("SIN9", 1, late, False)]
+    text = flagged._jdf.queryExecution().executedPlan().toString()
+    assert any("HashAggregate" in line and "min(_place" in line for line in text.split("\n"))
+
+
+def test_delivery_numbers_of_files(spark, tmp_path):
+    spark.range(50, numPartitions=2).write.parquet(str(tmp_path / "pages"))
+    read = lambda: [r[0] for r in spark.read.parquet(str(tmp_path / "pages")).select(ingest.file_delivery()).collect()]
+    numbers = read()
+    assert sorted(numbers) == sorted(read()) and len(set(numbers)) == 50 and all(0 < n < 10**18 for n in numbers)
+
+
 def test_unknown_extraction_method(spark):
     with pytest.raises(ValueError, match="unknown extraction method"):
         reconcile.to_bronze(spark.range(0), replace(VENDOR, extraction_method="guess"))

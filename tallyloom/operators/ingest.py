@@ -121,11 +121,10 @@ def parse_responses(pages: DataFrame) -> DataFrame:
         .when(body.rlike(r"^-?\d"), "float")
         .otherwise("NoneType")
     )
-    objects = F.filter("_invoices", lambda x: x.startswith("{"))
     ok = F.col("success")
     return (
         computed_once(pages, _invoices=F.when(ok, invoices))
-        .withColumn("items", objects)
+        .withColumn("items", _objects(F.col("_invoices"), F.col("text")))
         .withColumn(
             "contract_error",
             F.when(ok & F.col("_invoices").isNull(), _contract_error(kind)),
@@ -134,6 +133,20 @@ def parse_responses(pages: DataFrame) -> DataFrame:
     )
 
 
+def _objects(invoices: Column, response: Column) -> Column:
+    """The items that are JSON objects, as they were written.
+
+    An item's text starts with a brace if it is an object, or a string that starts with one. A response in which no string
+    does is settled by that; others are parsed as a variant, which knows the type of every item.
+    """
+    braced = lambda x: x.startswith("{")
+    doubtful = response.rlike(r'"(?:\{|\\u007[bB])')
+    typed = F.try_variant_get(F.try_parse_json(response), "$.invoices", "array<variant>")
+    is_object = F.transform(typed, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    sure = F.filter(invoices, lambda x, i: braced(x) & F.coalesce(F.get(is_object, i), F.lit(True)))
+    return F.when(doubtful, sure).otherwise(F.filter(invoices, braced))
+
+
 def _contract_error(kind: Column) -> Column:
     before, after = K.CONTRACT_ERROR.format(kind="\0").split("\0")
     return F.concat(F.lit(before), kind, F.lit(after))

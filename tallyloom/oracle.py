@@ -498,6 +498,9 @@ FROM doc JOIN (VALUES (0), (1)) AS t(kind) ON kind = 0 OR k % 29 = 0""",
   outstanding AS outstanding_amount, is_fallback FROM candidate""",
     "parse_responses": """SELECT statement_id, page_number, CASE WHEN fault IN (3, 7, 11) THEN NULL ELSE coalesce(n, 0) END
   AS item_count, contract_error FROM page_error LEFT JOIN (SELECT statement_id, page_number, count(*) AS n FROM item GROUP BY ALL)
+  USING (statement_id, page_number)""",
+    "quoted_objects": """SELECT statement_id, page_number, CASE WHEN fault IN (3, 7, 11) THEN NULL ELSE coalesce(n, 0) END
+  AS item_count, contract_error FROM page_error LEFT JOIN (SELECT statement_id, page_number, count(*) AS n FROM item GROUP BY ALL)
   USING (statement_id, page_number)""",
     "standardize": """SELECT statement_id, page_number, row_number, vendor_id AS vendor, shop, number AS invoice_number, amount,
   amount AS outstanding_amount, conf AS confidence FROM checked""",

@@ -290,6 +290,17 @@ def parse_responses(spark, sf):
     )
 
 
+@query
+def quoted_objects(spark, sf):
+    """The same responses with two strings that look like objects put in front of the items: neither is one."""
+    fakes = '{"invoices":["{\\"invoice_number\\":\\"X\\"}","\\u007bnot one","{",'
+    text_ = F.replace(F.col("text"), F.lit('{"invoices":['), F.lit(fakes))
+    pages = source.pages(spark, sf).withColumn("text", F.when(F.col("text").endswith("}]}"), text_).otherwise(F.col("text")))
+    return ingest.parse_responses(pages).select(
+        "statement_id", "page_number", F.size("items").cast("bigint").alias("item_count"), "contract_error"
+    )
+
+
 @query
 def standardize(spark, sf):
     rows = _records(spark, sf).where(ingest.is_record())

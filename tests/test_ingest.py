@@ -215,6 +215,18 @@ def test_page_delivered_twice(spark):
     assert any("HashAggregate" in line and "min(_place" in line for line in text.split("\n"))
 
 
+def test_a_string_that_looks_like_an_object_is_none(spark):
+    texts = {
+        '{"invoices":["{\\"a\\":1}",{"b":2}]}': ['{"b":2}'],
+        '{"invoices":["\\u007b","\\u007B}",{"b":"{"}, 7, null, ["{"]]}': ['{"b":"{"}'],
+        '{"invoices":[{"b":"\\"{"}]}': ['{"b":"\\"{"}'],
+        '{"invoices":["{"]}': [],
+        '{"invoices":[]}': [],
+    }
+    got = ingest.parse_responses(pages(spark, *[{"text": t} for t in texts])).select("text", "items").collect()
+    assert {r.text: r.items for r in got} == texts
+
+
 def test_delivery_numbers_of_files(spark, tmp_path):
     spark.range(50, numPartitions=2).write.parquet(str(tmp_path / "pages"))
     read = lambda: [r[0] for r in spark.read.parquet(str(tmp_path / "pages")).select(ingest.file_delivery()).collect()]

@@ -19,13 +19,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one with the smallest id. Rows without an id
-    stay; of rows that share an id one stays."""
-    known = Workspace(spark, "near-copies").keep(ngram_join.classes(docs), "classes")
-    first = known.where("doc_id = component_id").select("doc_id").distinct()
-    number = "_pipeline_copy"
-    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").withColumn(number, F.lit(1)).dropDuplicates(["doc_id"]).drop(number)
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each class of near copies stays, the one with the smallest doc_id (rows without one come last). Rows are told
+    apart by a number stored with them, so ids may repeat, with the same or with other texts."""
+    work, number = Workspace(spark, "near-copies"), "_pipeline_row"
+    rows = work.keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    known = ngram_join.classes(rows.select(F.col(number).alias("doc_id"), "text"))
+    joined = rows.select("doc_id", number).join(known.select(F.col("doc_id").alias(number), "component_id"), number)
+    order = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col(number).alias("row"))
+    first = work.keep(joined.groupBy("component_id").agg(F.min(order)["row"].alias(number)).select(number), "first")
+    return rows.join(first, number, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ every remaining pair across components, so no link between components is lost. T
 largest component meet the others only, never one another.
 
 Nulls: a NULL or empty text has an empty set, links with nothing and is its own component. A NULL doc_id is returned
-with its set size and a NULL component, and links with nothing. Repeated rows each give a row. An empty table gives
+with its set size and a NULL component, and links with nothing. Repeated rows each give a row. An id that repeats
+with another text is as many nodes as it has sets: each row gets the smallest id among the rows its own text reaches. An empty table gives
 none. Only doc_id and text are read.
 """
 
@@ -86,6 +87,11 @@ def _differences(x: pa.Scalar, y: pa.Scalar) -> int:
     return int((x != np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1)).sum())
 
 
+def fingerprints(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two 64-bit marks of a set of hashes."""
+    return s.sum(dtype=np.uint64), bytescan.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+
+
 def _described(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "f1", "f2", "bits", "parity", "prefix"]
@@ -102,7 +108,7 @@ def _described(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
                 else:
                     ordered = s
                 prefix = ordered[: n - -(-percent * n // 100) + 1] if n else ordered
-                f1, f2 = s.sum(dtype=np.uint64), bytescan.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                f1, f2 = fingerprints(s)
                 rows.append((keys[k], n, f1.astype(np.int64), f2.astype(np.int64), np.packbits(bits).tobytes(), _parity(s), prefix.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -213,20 +219,23 @@ def _sieved(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(sieve, "a long, b long")
 
 
-def _verified(tried: DataFrame, signs: DataFrame, docs: DataFrame, work: Workspace, percent: int, name: str) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
+def _verified(tried: DataFrame, signs: DataFrame, docs: DataFrame, reps: DataFrame, work: Workspace, percent: int, name: str) -> DataFrame:
+    """Pairs whose whole sets reach the threshold. A set is read from a row that has the id of its representative; other texts
+    under that id have other fingerprints and find no pair."""
     pairs = work.keep(_sieved(tried, signs, percent), f"sieved-{name}")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = rows_with(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", work.keep(wanted, f"wanted-{name}"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    known = work.keep(reps.join(used, "rep", "left_semi"), f"wanted-{name}")
+    texts = rows_with(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", known.select("doc_id").distinct())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(k, s) for k, s in shingle_sets(batch.column(1))]
+            sets = [s for _, s in shingle_sets(batch.column(1))]
+            marks = np.array([fingerprints(s) for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
             if sets:
-                ids = batch.column(0).take(pa.array([k for k, _ in sets]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f1", "f2", "shingles"])
 
-    sets = work.keep(texts.mapInArrow(gather, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), f"sets-{name}")
+    found = texts.mapInArrow(gather, "f1 long, f2 long, shingles binary").join(known.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2"])
+    sets = work.keep(found.select("doc_id", "shingles").dropDuplicates(["doc_id"]), f"sets-{name}")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,10 +265,12 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     work = Workspace(docs.sparkSession, "ngram-join")
     all_ = work.keep(_described(docs, _frequent(docs), percent), "described")
     some = all_.where("n > 0 AND doc_id IS NOT NULL")
-    reps = work.keep(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "reps")
-    first = some.join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
-    first = work.keep(first.dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rep"), "n", "bits", "parity", "prefix"), "first")
-    members = work.keep(all_.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
+    # A set stands for all rows that have it. It is numbered once, with the smallest id among them: ids may repeat with other texts.
+    reps = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
+    reps = work.keep(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    first = some.join(reps, ["doc_id", "f1", "f2"]).dropDuplicates(["rep"])
+    first = work.keep(first.select("rep", "n", "bits", "parity", "prefix"), "first")
+    members = work.keep(all_.select("doc_id", "n", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
     work.drop("described")
 
     tokens = first.select("rep", F.explode("prefix").alias("block"))
@@ -278,7 +289,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     diagonal = shared.select("block", F.pmod(F.xxhash64("rep", "block"), tiles("size")).cast("int").alias("tile"), "rep", F.col("rep").alias("component"))
     tried = traverse(diagonal, False, "pairs-1")
-    links = _verified(tried, first, docs, work, percent, "1")
+    links = _verified(tried, first, docs, reps, work, percent, "1")
     known = components(links, "ngram-components-1")
 
     labelled = shared.join(known.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -290,8 +301,10 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     where = F.when(F.col("component") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), tiles("size") - 1))
     rest = traverse(still.select("block", F.explode(where).alias("tile"), "rep", "component"), True, "pairs-2")
     rest = work.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, first, docs, work, percent, "2")
+    more = _verified(rest, first, docs, reps, work, percent, "2")
     final = components(links.unionByName(more), "ngram-components-2")
-    by_rep = members.join(final.withColumnRenamed("v", "rep"), "rep", "left")
-    own_id = F.coalesce("component", "rep", "doc_id")
+    labelled = reps.select("rep", "doc_id").join(final.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_rep = members.join(labelled.select("rep", "component").join(least, "component").select("rep", "component_id"), "rep", "left")
+    own_id = F.coalesce("component_id", "doc_id")
     return by_rep.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))

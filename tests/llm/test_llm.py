@@ -328,6 +328,18 @@ def test_ngram_join(docs, none, texts, spark):
     assert ngram_join.classes(none).count() == 0
 
 
+def test_ngram_join_of_ids_that_repeat_with_other_texts(spark):
+    """Classes are those of the rows' texts: a second text under an id neither hides nor joins the first one's links."""
+    rng = random.Random(9)
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, near(b)), (5, c), (3, near(c)), (5, near(a)), (5, ""), (7, "x"), (6, "x"), (1, a)]
+    got = Counter(tuple(r) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (5, 3), (3, 3), (5, 1), (5, 5), (7, 6), (6, 6), (1, 1)])
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, a), (1, b), (3, near(c)), (5, ""), (6, "x")])
+
+
 def test_unlike_blocks_stay(spark):
     """Sums of 48-bit hashes are equal for the first two pairs; the third has the members of the first."""
     from pyspark.sql import functions as F

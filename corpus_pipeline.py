@@ -19,15 +19,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies stays, the one with the smallest doc_id (rows without one come last). Rows are told
-    apart by a number stored with them, so ids may repeat, with the same or with other texts."""
-    work, number = Workspace(spark, "near-copies"), "_pipeline_row"
-    rows = work.keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-    known = ngram_join.classes(rows.select(F.col(number).alias("doc_id"), "text"))
-    joined = rows.select("doc_id", number).join(known.select(F.col("doc_id").alias(number), "component_id"), number)
-    order = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col(number).alias("row"))
-    first = work.keep(joined.groupBy("component_id").agg(F.min(order)["row"].alias(number)).select(number), "first")
-    return rows.join(first, number, "left_semi").select(*docs.columns)
+    """One row of each class of near copies stays, the one with the smallest doc_id. A row is known by its id and the fingerprints
+    of its text, so ids may repeat with other texts; rows that share both are one. Rows without an id stay."""
+    key = ["doc_id", *ngram_join.MARKS]
+    known = Workspace(spark, "near-copies").keep(ngram_join.marked_classes(docs), "classes")
+    first = known.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    # Texts without words link with nothing and have no class.
+    wordless = known.where("doc_id IS NOT NULL AND n_shingles = 0").select(*key)
+    chosen = first.unionByName(wordless).distinct()
+    rows = ngram_join.marked(docs.where("doc_id IS NOT NULL")).join(chosen, key, "left_semi").dropDuplicates(key)
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

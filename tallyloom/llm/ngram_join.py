@@ -262,6 +262,27 @@ def _unlike(found: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per document row."""
+    return marked_classes(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """All rows and columns, with the fingerprints of each row's set in the columns that `MARKS` names."""
+    at = docs.columns.index("text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([fingerprints(s) for _, s in shingle_sets(batch.column(at))], np.uint64).reshape(batch.num_rows, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=[*batch.schema.names, *MARKS])
+
+    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{m} long" for m in MARKS)])
+    return docs.mapInArrow(mark, columns)
+
+
+MARKS = ("_set_mark_1", "_set_mark_2")
+
+
+def marked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """`classes`, with the fingerprints of each row's set, and a number of its class: where ids repeat, classes may share an id."""
     work = Workspace(docs.sparkSession, "ngram-join")
     all_ = work.keep(_described(docs, _frequent(docs), percent), "described")
     some = all_.where("n > 0 AND doc_id IS NOT NULL")
@@ -270,7 +291,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = work.keep(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     first = some.join(reps, ["doc_id", "f1", "f2"]).dropDuplicates(["rep"])
     first = work.keep(first.select("rep", "n", "bits", "parity", "prefix"), "first")
-    members = work.keep(all_.select("doc_id", "n", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
+    members = work.keep(all_.select("doc_id", "n", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left").select("doc_id", "n", "f1", "f2", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
     work.drop("described")
 
     tokens = first.select("rep", F.explode("prefix").alias("block"))
@@ -305,6 +326,6 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     final = components(links.unionByName(more), "ngram-components-2")
     labelled = reps.select("rep", "doc_id").join(final.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_rep = members.join(labelled.select("rep", "component").join(least, "component").select("rep", "component_id"), "rep", "left")
+    by_rep = members.join(labelled.select("rep", "component").join(least, "component").select("rep", "component", "component_id"), "rep", "left")
     own_id = F.coalesce("component_id", "doc_id")
-    return by_rep.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))
+    return by_rep.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"), F.col("f1").alias(MARKS[0]), F.col("f2").alias(MARKS[1]), F.col("component").alias("class"))

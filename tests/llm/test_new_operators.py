@@ -274,3 +274,33 @@ def test_training_and_decoding(spark):
         errors.append(np.square(back - np.array(given[r["vec_id"]])).sum())
     spread = np.square(np.stack(list(given.values())) - np.stack(list(given.values())).mean(0)).sum(1).mean()
     assert np.mean(errors) < 0.8 * spread and len(done) == 7 and max(done[1:]) <= done[0]
+
+
+def test_topk_drops_pairs_of_blocks_and_chunks(spark, monkeypatch):
+    """Tight clusters: most pairs of a block and a chunk never meet, ties and repeated ids included; results equal brute force."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tallyloom.llm import topk
+
+    for name, value in (("CHUNK", 100), ("BLOCK", 16), ("GROUP", 3), ("STEP", 8), ("PIVOTS", 12), ("FIRST", 400), ("SUB", 7)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16)) * 3
+    v = np.float32(centres[np.arange(1200) % 12] + rng.standard_normal((1200, 16)) * 0.05)
+    v[300:600] = v[300]
+    ids = np.arange(1200)
+    ids[-1] = 7
+    rows = spark.createDataFrame([(int(k), [float(x) for x in row]) for k, row in zip(ids, v)], "vec_id long, embedding array<float>")
+    seen = []
+    monkeypatch.setattr(topk.Workspace, "keep", lambda self, frame, name, keep=topk.Workspace.keep: seen.append((name, keep(self, frame, name))) or seen[-1][1])
+    found = {tuple(r) for r in topk.search(rows, F.col("vec_id") % 20 == 0).collect()}
+    whole = np.floor(64 * v.astype(float))
+    expected = set()
+    for n in np.flatnonzero(ids % 20 == 0):
+        score = whole @ whole[n]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != ids[n]][:20]
+        expected |= {(int(ids[n]), k + 1, int(ids[j]), int(score[j])) for k, j in enumerate(order)}
+    assert found == expected
+    kept = dict(seen)
+    assert kept["pairs"].count() < 0.6 * kept["chunk_boxes"].count() * kept["block_boxes"].count()

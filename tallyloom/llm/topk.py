@@ -194,7 +194,10 @@ def search(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         """Rows in the order of the pivots, cut into groups of about `rows_each`; equal places are cut too."""
         groups = max(1, -(-some.count() // rows_each))
         ordered = some.repartitionByRange(groups, "cell", "near", F.xxhash64("rid")).withColumn("group", F.spark_partition_id())
-        return work.keep(ordered.drop("cell", "near", "is_query"), name)
+        stored = work.keep(ordered.drop("cell", "near", "is_query"), name)
+        # A session may cut finer than asked; neighbours are joined again, since every block reads the chunks it meets.
+        made = (stored.agg(F.max("group")).first()[0] or 0) + 1
+        return stored.withColumn("group", F.floor(F.col("group") * min(groups, made) / made).cast("int"))
 
     chunks, blocks = grouped(known, CHUNK, "chunks"), grouped(known.where("is_query"), BLOCK, "blocks")
     chunk_boxes, block_boxes = work.keep(_boxes(chunks), "chunk_boxes"), work.keep(_boxes(blocks), "block_boxes")

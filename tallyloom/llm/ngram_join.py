@@ -18,7 +18,8 @@ differences than the threshold allows rule a pair out. What is left is verified
 Two rounds avoid all pairs of a block. The first verifies at most two partners per set and tile, which joins nearly
 all that belongs together. The second traverses only blocks that still hold different components and yields
 every remaining pair across components, so no link between components is lost. There the rows of a block's
-largest component meet the others only, never one another.
+largest component meet the others only, never one another. Both kinds are dealt into parts of about MEET sets, and a
+task takes one part against another: two trees are traversed together, and each pair of sets meets once.
 
 Nulls: a NULL or empty text has an empty set, links with nothing and is its own component. A NULL doc_id is returned
 with its set size and a NULL component, and links with nothing. Repeated rows each give a row. An id that repeats
@@ -32,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bytescan
@@ -41,6 +43,7 @@ from tallyloom.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 WORDS, FAN, TILE = 64, 16, 512  # bitmap words of 64 bits, children per node, sets per tile
+MEET, NODE_PAIRS = 2048, 2048  # sets per part of the second round, node pairs a traversal looks at together
 SAMPLE_DOCS, FREQUENT_SHARE, FREQUENT_MOST = 4000, 0.004, 20_000
 
 _WORD = np.ones(256, bool)
@@ -135,67 +138,96 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 class _Tree:
     """Levels of nodes over sets in the given order; level 0 is the sets themselves."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, height: int = 1):
         extra = sizes - np.bitwise_count(bits).sum(1)
         self.levels = [(bits, sizes, sizes, extra)]
-        while len(self.levels[-1][0]) > 1:
+        while len(self.levels[-1][0]) > 1 or len(self.levels) < height:
             b, low, high, extra = self.levels[-1]
             cuts = np.arange(0, len(b), FAN)
             self.levels.append((np.bitwise_or.reduceat(b, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(extra, cuts)))
 
-    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of sets a < b that the bounds do not rule out."""
-        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    def pairs(self, percent: int, other: _Tree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of sets that the bounds do not rule out: a < b of this tree, or a of this one and b of another as high."""
+        ours, theirs = self.levels, (other or self).levels
+        todo = [(len(ours) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, a, b = todo.pop()
-            if len(a) > 20_000:
-                todo += [(level, a[:20_000], b[:20_000]), (level, a[20_000:], b[20_000:])]
+            if len(a) > NODE_PAIRS:
+                todo += [(level, a[NODE_PAIRS:], b[NODE_PAIRS:]), (level, a[:NODE_PAIRS], b[:NODE_PAIRS])]
                 continue
-            bits, low, high, extra = self.levels[level]
-            shared = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b])
-            need = -(-percent * (low[a] + low[b]) // (100 + percent))
-            fine = (shared >= need) & (100 * high[b] >= percent * low[a]) & (100 * high[a] >= percent * low[b])
+            (bits_a, low_a, high_a, extra_a), (bits_b, low_b, high_b, extra_b) = ours[level], theirs[level]
+            shared = np.bitwise_count(bits_a[a] & bits_b[b]).sum(1, dtype=np.int64) + np.minimum(extra_a[a], extra_b[b])
+            need = -(-percent * (low_a[a] + low_b[b]) // (100 + percent))
+            fine = (shared >= need) & (100 * high_b[b] >= percent * low_a[a]) & (100 * high_a[a] >= percent * low_b[b])
             a, b = a[fine], b[fine]
             if level == 0:
-                yield a[a < b], b[a < b]
+                yield (a, b) if other else (a[a < b], b[a < b])
             elif len(a):
                 step = np.arange(FAN)
-                below = len(self.levels[level - 1][0])
                 x = (a[:, None, None] * FAN + step[None, :, None] + np.zeros((1, 1, FAN), np.int64)).ravel()
                 y = (b[:, None, None] * FAN + step[None, None, :] + np.zeros((1, FAN, 1), np.int64)).ravel()
-                inside = (x < below) & (y < below) & (x <= y)
+                inside = (x < len(ours[level - 1][0])) & (y < len(theirs[level - 1][0]))
+                if not other:
+                    inside &= x <= y
                 todo.append((level - 1, x[inside], y[inside]))
 
 
+class _Part:
+    """Sets of one part of a block, in the order of their sizes, with their tree."""
+
+    def __init__(self, run: pa.RecordBatch):
+        rep, sizes, comp = (run.column(c).to_numpy() for c in ("rep", "n", "component"))
+        bits = np.frombuffer(b"".join(run.column("bits").to_pylist()), np.uint64).reshape(len(rep), WORDS)
+        order = np.lexsort((rep, comp, sizes))
+        self.rep, self.sizes, self.comp, self.bits = rep[order], sizes[order].astype(np.int64), comp[order], bits[order]
+        self.tree = _Tree(self.bits, self.sizes)
+
+    def links(self, percent: int, other: _Part | None = None) -> Iterator[np.ndarray]:
+        """Places of sets of different components that may link, a slice of the traversal at a time."""
+        mine, theirs = self.tree, None
+        if other:
+            height = max(len(self.tree.levels), len(other.tree.levels))
+            mine, theirs = _Tree(self.bits, self.sizes, height), _Tree(other.bits, other.sizes, height)
+        for a, b in mine.pairs(percent, theirs):
+            apart = self.comp[a] != (other or self).comp[b]
+            if apart.any():
+                yield np.stack([a[apart], b[apart]])
+
+
+def _nearest(part: _Part, pairs: np.ndarray) -> np.ndarray:
+    """At most two partners per set: the first that the order has, and the one with most in common."""
+    if pairs.shape[1] <= len(part.rep):
+        return pairs
+    i, j = np.concatenate([pairs[0], pairs[1]]), np.concatenate([pairs[1], pairs[0]])
+    shared = np.concatenate([np.bitwise_count(part.bits[pairs[0, k : k + 8192]] & part.bits[pairs[1, k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, pairs.shape[1], 8192)])
+    shared = np.concatenate([shared, shared])
+    best = np.lexsort((j, -shared, i))
+    least = np.lexsort((j, i))
+    pick = np.concatenate([o[np.unique(i[o], return_index=True)[1]] for o in (best, least)])
+    return np.unique(np.sort(np.stack([i[pick], j[pick]]), 0), axis=1)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, everything: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of sets of different components from each run of (block, tile)."""
+    """Pairs (a < b) of sets of different components from each run of (block, tile, across): the rows of the part `tile` meet
+    those of the part `across`, or one another where the two are the same."""
     out: list[np.ndarray] = []
     held = 0
-    for run in bytescan.runs(batches, ["block", "tile"]):
-        if run.num_rows < 2:
+    for run in bytescan.runs(batches, ["block", "tile", "across"]):
+        first = pc.equal(run.column("part"), run.column("tile"))
+        one = _Part(run.filter(first))
+        two = None if run.column("tile")[0] == run.column("across")[0] else _Part(run.filter(pc.invert(first)))
+        if not len(one.rep) or (two and not len(two.rep)):
             continue
-        rep, sizes, comp = (run.column(c).to_numpy() for c in ("rep", "n", "component"))
-        bits = np.frombuffer(b"".join(run.column("bits").to_pylist()), np.uint64).reshape(len(rep), WORDS)
-        order = np.lexsort((rep, comp, sizes))
-        rep, sizes, comp, bits = rep[order], sizes[order].astype(np.int64), comp[order], bits[order]
-        found = [np.stack(p) for p in _Tree(bits, sizes).pairs(percent)]
-        pairs = np.concatenate([*found, np.zeros((2, 0), np.int64)], 1)
-        pairs = pairs[:, comp[pairs[0]] != comp[pairs[1]]]
-        if not everything and pairs.shape[1] > len(rep):
-            # At most two partners per set: the first that the order has, and the one with most in common.
-            i, j = np.concatenate([pairs[0], pairs[1]]), np.concatenate([pairs[1], pairs[0]])
-            shared = np.concatenate([np.bitwise_count(bits[pairs[0, k : k + 8192]] & bits[pairs[1, k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, pairs.shape[1], 8192)])
-            shared = np.concatenate([shared, shared])
-            best = np.lexsort((j, -shared, i))
-            least = np.lexsort((j, i))
-            pick = np.concatenate([o[np.unique(i[o], return_index=True)[1]] for o in (best, least)])
-            pairs = np.unique(np.sort(np.stack([i[pick], j[pick]]), 0), axis=1)
-        if pairs.shape[1]:
-            out.append(np.sort(rep[pairs], 0))
-            held += pairs.shape[1]
-        if held > 100_000:
-            yield _pair_batch(out)
-            out, held = [], 0
+        found = one.links(percent, two)
+        if not everything:
+            found = [_nearest(one, np.concatenate([*found, np.zeros((2, 0), np.int64)], 1))]
+        for a, b in found:
+            if len(a):
+                out.append(np.sort(np.stack([one.rep[a], (two or one).rep[b]]), 0))
+                held += len(a)
+            if held > 100_000:
+                yield _pair_batch(out)
+                out, held = [], 0
     if out:
         yield _pair_batch(out)
 
@@ -260,6 +292,28 @@ def _unlike(found: DataFrame) -> DataFrame:
     return marks.groupBy("size", "m1", "m2").agg(F.min("block").alias("block")).select("block")
 
 
+def _dealt(start: Column, parts: Column) -> Column:
+    """A part of the row's own among `parts` of its block, numbered from `start`."""
+    return (start + F.pmod(F.xxhash64("rep", "block"), F.greatest(parts, F.lit(1)))).cast("int")
+
+
+def _meetings(still: DataFrame) -> DataFrame:
+    """Rows of blocks that hold several components, once for every pair of parts (tile <= across) that their own part is in.
+
+    A block of up to MEET rows is one part. Above, the rows outside the largest component fill the first parts and
+    those of the largest the parts from `others` on; a pair of parts needs one of the first kind.
+    """
+    small = F.col("size") <= MEET
+    others = F.when(small, 1).otherwise(F.ceil((F.col("size") - F.col("most")) / MEET)).cast("int")
+    all_ = F.when(small, 1).otherwise(F.col("others") + F.ceil(F.col("most") / MEET)).cast("int")
+    inner = (F.col("component") == F.col("largest")) & ~small
+    counted = still.withColumn("others", others).withColumn("all", all_)
+    own = F.when(inner, _dealt(F.col("others"), F.col("all") - F.col("others"))).otherwise(_dealt(F.lit(0), F.col("others")))
+    partners = F.when(inner, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("all") - 1))
+    dealt = counted.select("block", "rep", "component", own.alias("part"), F.explode(partners).alias("partner"))
+    return dealt.select("block", F.least("part", "partner").alias("tile"), F.greatest("part", "partner").alias("across"), "part", "rep", "component")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per document row."""
     return marked_classes(docs, percent).select("doc_id", "n_shingles", "component_id")
@@ -300,15 +354,16 @@ def marked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = work.keep(_unlike(found), "blocks")
     shared = work.keep(found.join(blocks, "block", "left_semi"), "shared")
     work.drop("counted", "found", "blocks")
-    tiles = lambda size: F.ceil(F.col(size) / TILE).cast("int")
     signs = first.select("rep", "n", "bits")
 
     def traverse(rows: DataFrame, everything: bool, name: str) -> DataFrame:
-        rows = rows.join(signs, "rep").select("block", "tile", "rep", "n", "component", "bits").repartition("block", "tile")
-        found = rows.sortWithinPartitions("block", "tile").mapInArrow(lambda b: _candidates(b, percent, everything), "a long, b long")
+        meeting = ("block", "tile", "across")
+        rows = rows.join(signs, "rep").select(*meeting, "part", "rep", "n", "component", "bits").repartition(*meeting)
+        found = rows.sortWithinPartitions(*meeting).mapInArrow(lambda b: _candidates(b, percent, everything), "a long, b long")
         return work.keep(found.distinct(), name)
 
-    diagonal = shared.select("block", F.pmod(F.xxhash64("rep", "block"), tiles("size")).cast("int").alias("tile"), "rep", F.col("rep").alias("component"))
+    own = _dealt(F.lit(0), F.ceil(F.col("size") / TILE))
+    diagonal = shared.select("block", own.alias("tile"), own.alias("across"), own.alias("part"), "rep", F.col("rep").alias("component"))
     tried = traverse(diagonal, False, "pairs-1")
     links = _verified(tried, first, docs, reps, work, percent, "1")
     known = components(links, "ngram-components-1")
@@ -316,11 +371,10 @@ def marked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labelled = shared.join(known.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = work.keep(labelled.select("block", "rep", "size", "component"), "labelled")
     parts = labelled.groupBy("block", "component").agg(F.count(F.lit(1)).alias("rows"))
-    open_ = parts.groupBy("block").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("largest")).where("parts > 1")
-    still = labelled.join(work.keep(open_, "open"), "block")
-    own = F.pmod(F.xxhash64("rep", "block"), tiles("size")).cast("int")
-    where = F.when(F.col("component") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), tiles("size") - 1))
-    rest = traverse(still.select("block", F.explode(where).alias("tile"), "rep", "component"), True, "pairs-2")
+    open_ = parts.groupBy("block").agg(
+        F.count(F.lit(1)).alias("parts"), F.max("rows").alias("most"), F.max_by("component", F.struct("rows", "component")).alias("largest")
+    ).where("parts > 1")
+    rest = traverse(_meetings(labelled.join(work.keep(open_, "open"), "block")), True, "pairs-2")
     rest = work.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, first, docs, reps, work, percent, "2")
     final = components(links.unionByName(more), "ngram-components-2")

@@ -294,7 +294,12 @@ def test_components(spark):
     assert all(r["component"] == top(r["v"]) for r in got)
 
 
-def test_ngram_join(docs, none, texts, spark):
+@pytest.mark.parametrize("parts", [None, 4])
+def test_ngram_join(docs, none, texts, spark, parts, monkeypatch):
+    if parts:  # hot blocks: few sets a part, and no shingle is put last
+        monkeypatch.setattr(ngram_join, "TILE", parts)
+        monkeypatch.setattr(ngram_join, "MEET", parts)
+        monkeypatch.setattr(ngram_join, "_frequent", lambda docs: np.zeros(0, np.uint64))
     rng = random.Random(9)
     base = prose(rng, 120).split()
     more = []
@@ -340,6 +345,51 @@ def test_ngram_join_of_ids_that_repeat_with_other_texts(spark):
     assert sorted(map(tuple, kept)) == sorted([(1, a), (1, b), (3, near(c)), (5, ""), (6, "x")])
 
 
+def test_parts_of_a_hot_block_meet_once_in_bounded_groups(spark, monkeypatch):
+    """Sets outside the largest component meet all others once, those inside it never one another; no group holds the block."""
+    monkeypatch.setattr(ngram_join, "MEET", 16)
+    sizes = {1: (300, 1), 2: (200, 150), 3: (12, 5)}  # block: (sets, those of the largest component)
+    rows = [(b, 1000 * b + k, n, max(inside, 1), 0 if k < inside else 1000 * b + k, 0 if inside > 1 else 1000 * b) for b, (n, inside) in sizes.items() for k in range(n)]
+    still = spark.createDataFrame(rows, "block long, rep long, size long, most long, component long, largest long")
+    groups: dict[tuple, list] = {}
+    for r in ngram_join._meetings(still).collect():
+        groups.setdefault((r["block"], r["tile"], r["across"]), []).append(r)
+    assert max(map(len, groups.values())) <= 90
+    met = Counter()
+    for (block, tile, across), members in groups.items():
+        for i, x in enumerate(members):
+            for y in members[:i]:
+                if (tile == across or x["part"] != y["part"]) and x["component"] != y["component"]:
+                    met[min(x["rep"], y["rep"]), max(x["rep"], y["rep"])] += 1
+                assert block == 3 or x["component"] or y["component"] or x["part"] == y["part"]
+    wanted = {(1000 * b + i, 1000 * b + j) for b, (n, inside) in sizes.items() for j in range(n) for i in range(j) if j >= max(inside, 1)}
+    assert set(met) == wanted and set(met.values()) == {1}
+
+
+def test_two_trees_of_unlike_height_find_what_one_finds():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**62, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[:45], rng.integers(0, 2**62, 15, dtype=np.uint64)])) if k % 3 else np.unique(rng.integers(0, 2**62, 50, dtype=np.uint64)) for k in range(330)]
+    bits = np.zeros((len(sets), ngram_join.WORDS * 64), bool)
+    for k, s in enumerate(sets):
+        bits[k, (s % np.uint64(ngram_join.WORDS * 64)).astype(int)] = True
+    words, sizes = np.packbits(bits, axis=1).view(np.uint64), np.array([len(s) for s in sets])
+
+    def part(low, high):
+        n = high - low
+        return ngram_join._Part(pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(low, high)), pa.array(sizes[low:high]), pa.array(np.arange(low, high)), pa.array([w.tobytes() for w in words[low:high]], pa.binary()), pa.array([0] * n)],
+            names=["rep", "n", "component", "bits", "part"],
+        ))
+
+    def pairs(one, two):
+        return {tuple(sorted((int(one.rep[a]), int((two or one).rep[b])))) for found in one.links(60, two) for a, b in found.T}
+
+    for cut in (1, 10, 300):
+        low, high = part(0, cut), part(cut, len(sets))
+        assert pairs(low, None) | pairs(high, None) | pairs(low, high) == pairs(part(0, len(sets)), None)
+
+
 def test_unlike_blocks_stay(spark):
     """Sums of 48-bit hashes are equal for the first two pairs; the third has the members of the first."""
     from pyspark.sql import functions as F

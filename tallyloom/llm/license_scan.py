@@ -66,7 +66,12 @@ FORMS = (
     ("(?:licensed|released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?{name}", ("licensed under", "released under", "distributed under", "published under", "available under"), 90),
     ("(?:subject to|governed by|covered by) (?:the )?(?:terms of (?:the )?)?{name}", ("subject to", "governed by", "covered by"), 80),
     ("(?:see|read) (?:the )?{name} for (?:more )?details", ("for details", "for more details"), 75),
+    ("(?:licen[cs]e|licensed) (?:the )?{name}", ("license ", "licence ", "licensed "), 60),
 )
+#: Headings and plain mentions: the name alone, with a version or, for names that mean nothing else, without. Lowest, so that
+#: a name inside a longer match stays part of it. Short names such as `mit`, a word of German, need `license` behind them.
+PLAIN = 50
+SHORT = {"mit": ("mit license", "mit licence"), "isc": ("isc license", "isc licence"), "zlib": ("zlib license", "zlib licence", "zlib libpng license"), "apache": ("apache license", "apache licence", "apache software license"), "boost": ("boost software license",)}
 #: Rules of no family: (label, regex, keyword, priority).
 SINGLES = (
     ("proprietary", "all rights reserved", "reserved", 40),
@@ -89,11 +94,14 @@ def rules() -> list[tuple[str, str, tuple[str, ...], tuple[str, ...], int]]:
     """(label, regex, words of the form, words of the name, priority), in the order that breaks ties."""
     out = []
     for label, name, words, versions in FAMILIES:
+        tail = name + "(?: license)?(?: international)?(?: public license)?(?: version| v)? v?{}(?: international| or later| only)?"
+        numbered = [(f"{label}-{v.replace(' ', '.')}", tail.format(v), 5) for v in versions if v]
         for form, hints, priority in FORMS:
-            for version in filter(None, versions):
-                tail = f"{name}(?: license)?(?: international)?(?: public license)?(?: version| v)? v?{version}(?: international| or later| only)?"
-                out.append((f"{label}-{version.replace(' ', '.')}", form.format(name=tail), hints, words, priority + 5))
-            out.append((label, form.format(name=name), hints, words, priority))
+            out += [(full, form.format(name=rx), hints, words, priority + more) for full, rx, more in [*numbered, (label, name, 0)]]
+        starts = lambda some: tuple(f" {w}" for w in some)
+        out += [(full, rx, starts(words), words, PLAIN + more) for full, rx, more in numbered]
+        alone = SHORT.get(label, words)
+        out.append((label, f"(?:{'|'.join(alone)})" if label in SHORT else name, starts(alone), words, PLAIN))
     return out + [(label, rx, (word,), (word,), priority) for label, rx, word, priority in SINGLES]
 
 

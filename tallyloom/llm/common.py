@@ -27,12 +27,13 @@ class Workspace:
     """Frames written to a folder of their own in the shared folder, and read back.
 
     A written frame cuts lineage: a lost executor makes Spark read files again and compute nothing
-    anew. What a result no longer needs is deleted by `drop`.
+    anew. What a result no longer needs is deleted by `drop`. A `lasting` folder has the given name alone, so that
+    other sessions find it.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/{name}" + ("" if lasting else f"-{uuid.uuid4().hex}")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -48,6 +49,12 @@ class Workspace:
         target = self._hadoop(name)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
+    def finished(self, prefix: str) -> list[str]:
+        """Names with this prefix whose write has its success mark, sorted."""
+        pattern = self._hadoop(f"{prefix}*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(f.getPath().getParent().getName() for f in found or [])
+
     def drop(self, *names: str) -> None:
         for name in names:
             target = self._hadoop(name)

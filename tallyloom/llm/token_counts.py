@@ -4,7 +4,8 @@ A batch is a set of changes: +1 document and +n tokens for an insert, the same w
 both for a revised count. A batch is summed by group before it is stored (map-side first, so a source with
 a third of all rows is a few rows per task), under its own id. Storing is idempotent: an id whose folder has
 its success mark is left as it is, a half-written one is written anew. Totals are the sum of what is
-stored.
+stored: the success marks alone say which batches count, so a rollup with a name is opened again by a driver that was
+restarted or by another session, which then takes no batch twice. Two drivers must not write one batch id at the same time.
 
 Nulls: NULL source or language is a group of its own; a NULL text has no tokens; a NULL document id counts like
 any other. Repeated rows count each. Empty batches and tables are valid and change nothing.
@@ -12,6 +13,7 @@ any other. Repeated rows count each. Empty batches and tables are valid and chan
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,12 @@ from tallyloom.llm.common import Workspace
 from tallyloom.llm.packing import VOCABULARY, vocabulary_path
 
 GROUP = ("source", "lang", "tokenizer_version")
+BATCH = "batch-"
+
+
+def _safe(name: str) -> str:
+    """A folder name for any string."""
+    return hashlib.sha256(name.encode()).hexdigest()
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -56,27 +64,27 @@ def revisions(before: DataFrame, after: DataFrame, version: str) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder of the shared file system; one stored sum per committed batch."""
+    """Totals in a folder of the shared file system; one stored sum per committed batch. Without a name the folder is new."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, name: str | None = None):
         self.spark = spark
-        self._work = Workspace(spark, "token-counts")
-        self._ids: list[str] = []
+        self._work = Workspace(spark, f"token-counts-{_safe(name)}", lasting=True) if name else Workspace(spark, "token-counts")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Store a batch unless its id is stored already; says whether it was new."""
-        if self._work.exists(f"{batch_id}/_SUCCESS"):
+        batch = BATCH + _safe(batch_id)
+        if self._work.exists(f"{batch}/_SUCCESS"):
             return False
         summed = changes.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(self._work.path(batch_id))
-        self._ids.append(batch_id)
+        summed.write.mode("overwrite").parquet(self._work.path(batch))
         return True
 
     def totals(self) -> DataFrame:
         """Groups with what is left in them: n_docs, n_tokens, and how many batches touched the group."""
-        if not self._ids:
+        batches = self._work.finished(BATCH)
+        if not batches:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_batches long")
-        stored = self.spark.read.parquet(*[self._work.path(b) for b in self._ids])
+        stored = self.spark.read.parquet(*map(self._work.path, batches))
         return stored.groupBy(*GROUP).agg(
             F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_batches")
         )

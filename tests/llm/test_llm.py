@@ -110,6 +110,41 @@ def test_token_counts_replay_and_signs(spark, docs, none):
     assert sum(r["n_docs"] for r in rollup.totals().collect()) == docs.count() - 2
 
 
+def test_a_named_rollup_is_opened_again(spark):
+    """Another driver's object sees the committed batches, takes none twice and leaves out one that was cut off."""
+    one = [("a", "en", "v1", 1, 10)]
+    changes = spark.createDataFrame(one, "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
+    name = f"again {random.random()}"
+    first = token_counts.Rollup(spark, name)
+    assert first.commit("load/1 é", changes) and first.commit("load/2", changes)
+    cut_off = first._work.path(token_counts.BATCH + token_counts._safe("load/3"))
+    changes.write.parquet(cut_off)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{cut_off}/_SUCCESS")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
+    second = token_counts.Rollup(spark, name)
+    assert not second.commit("load/1 é", changes)
+    assert [(r["n_docs"], r["n_tokens"], r["n_batches"]) for r in second.totals().collect()] == [(2, 20, 2)]
+    assert second.commit("load/3", changes) and first.totals().first()["n_tokens"] == 30
+    assert token_counts.Rollup(spark, name + "x").totals().count() == 0
+
+
+def test_plain_license_names(spark):
+    cases = {
+        "GNU Lesser General Public License Version 2.1": "lgpl-2.1",
+        "Mozilla Public License 2.0": "mpl-2.0",
+        "BSD 3-Clause License": "bsd-3-clause",
+        "License: EPL-2.0": "epl-2.0",
+        "Apache License Version 2.0": "apache,apache-2.0",
+        "the MIT License": "mit",
+        "released under the Mozilla Public License 2.0": "mpl-2.0",
+        "Komm mit zum Gipfel, replace the apache helicopter": "",
+        "": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(rows).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_license_base(docs, none, texts):
     got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
     for k, t in enumerate(texts):

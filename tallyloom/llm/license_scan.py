@@ -2,7 +2,7 @@
 
 A text is lower-cased (A-Z) and cut into words, kept as one line with single spaces. Four fixed phrases make the base labels. Beyond them,
 hundreds of rules (a regex over the words joined by single spaces, a keyword, a priority) propose intervals:
-a rule runs only where its keyword occurs, and only in texts that hold a license word at all. A detection
+a rule runs only where its keywords occur: those of its family's name are looked for first, then those of its form. A detection
 whose interval lies within that of a rule with a higher priority, or of an equal one that is longer or
 comes earlier in the list, is dropped; the labels of the rest are added to the base labels.
 
@@ -14,8 +14,7 @@ an empty table gives none. Only doc_id and text are read, so other columns and t
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,10 +104,6 @@ def rules() -> list[tuple[str, str, tuple[str, ...], tuple[str, ...], int]]:
     return out + [(label, rx, (word,), (word,), priority) for label, rx, word, priority in SINGLES]
 
 
-def _any(text: Column, words) -> Column:
-    return reduce(or_, [text.contains(w) for w in words])
-
-
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -132,19 +127,23 @@ def scan(docs: DataFrame) -> DataFrame:
     base_places = [F.coalesce(c, nothing).alias(label) for label, c in base.items()]
 
     texts = lambda words: F.array(*map(F.lit, words))
+    # Rules stand under the words that their name needs, so that a text without them is asked once per family.
     catalog = F.array(*[
-        F.struct(F.lit(n).alias("n"), F.lit(label).alias("label"), F.lit(rx).alias("rx"), texts(form).alias("form"), texts(name).alias("name"), F.lit(p).alias("priority"))
-        for n, (label, rx, form, name, p) in enumerate(rules())
+        F.struct(texts(name).alias("name"), F.array(*[
+            F.struct(F.lit(n).alias("n"), F.lit(label).alias("label"), F.lit(rx).alias("rx"), texts(form).alias("form"), F.lit(p).alias("priority"))
+            for n, (label, rx, form, _, p) in own
+        ]).alias("rules"))
+        for name, own in groupby(enumerate(rules()), lambda r: r[1][3])
     ])
-    hinted = _any(F.col("joined"), sorted({w for _, _, form, _, _ in rules() for w in form}))
     holds = lambda words: F.exists(words, lambda w: F.col("joined").contains(w))
+    near = F.flatten(F.transform(F.filter(catalog, lambda f: holds(f["name"])), lambda f: f["rules"]))
     hits = F.flatten(F.transform(
-        F.filter(catalog, lambda r: holds(r["form"]) & holds(r["name"])),
+        F.filter(near, lambda r: holds(r["form"])),
         lambda r: F.transform(_places(F.col("joined"), r["rx"]), lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), r["priority"].alias("priority"), r["n"].alias("n"), r["label"].alias("label"))),
     ))
     kind = "array<struct<start:int,end:int,priority:int,n:int,label:string>>"
-    seen = computed_once(words, base=F.struct(*base_places), hits=F.coalesce(F.when(hinted, hits), F.array().cast(kind)))
+    seen = computed_once(words, base=F.struct(*base_places), hits=F.coalesce(hits, F.array().cast(kind)))
 
     def outdone(a: Column) -> Column:
         size = lambda x: x["end"] - x["start"]

@@ -8,10 +8,12 @@ a cue word before them (phone, account, token = ...), a telling format (3-3-4 or
 four that pass the Luhn test), an address with [at] spelled out. The trees are nested CASE expressions, so scoring
 stays in the same projection: one row in, one row out, no shuffle.
 
-Fitting uses the candidates of SAMPLE_DOCS documents at most, those with the smallest hash of their id, and
-at most SAMPLE_CANDIDATES of them; candidates that overlap a base span or have a telling format are decided without
-trees and left out. No table holds labels for personal data, so the label is a cue word, and no feature shows it.
-Trees are fitted on two thirds of the sample. Candidates without a cue are unlabelled, not negative: on the other
+Fitting uses the candidates of all documents; those that overlap a base span or have a telling format are decided
+without trees and left out. Candidates with the same features are counted as one row, stored once. A level of a tree is
+one aggregate over these rows: sums per node, feature and value, of which there are as many as lengths and shares can
+differ, whatever the number of documents. Only these sums, the scores' counts in steps of 1 / STEPS and the trees are on the
+driver. No table holds labels for personal data, so the label is a cue word, and no feature shows it.
+Trees are fitted on two thirds of the candidates. Candidates without a cue are unlabelled, not negative: on the other
 third the rate of cues at a score, over the mean of that rate where there is a cue, is the chance that a candidate
 of this score is personal. Each kind gets the lowest threshold at which the mean of these chances is PRECISION or
 more, or none, in which case only evidence selects. This takes cues to be as common in all shapes of a kind's
@@ -30,14 +32,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import Workspace
 from tallyloom.llm.native import found, no_spans
 from tallyloom.operators.joins import computed_once
 
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 5000, 6000
 PRECISION = 0.98
 ROUNDS, DEPTH, RATE = 20, 3, 0.3
 #: Standard errors by which rates of cues must differ to count as different.
 APART = 2.5
+#: Scores are told apart in steps of 1 / STEPS where thresholds are set.
+STEPS = 1024
 
 # Fixed values of the contract: kinds in order, and their formats. Possessive forms of the given patterns; an
 # e-mail or address can only start where a run of its characters starts, or where the last match ended.
@@ -186,23 +190,53 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     return computed_once(rows, candidates=F.concat(*[described(no, *g) for no, g in enumerate(GENERATORS)]))
 
 
+def _cuts(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ten quantiles of values in order that occur `sizes` times, interpolated as np.quantile does."""
+    ends = np.cumsum(sizes)
+    at = (ends[-1] - 1) * np.linspace(0.05, 0.95, 10)
+    low = np.floor(at)
+    below, above = (values[np.searchsorted(ends, k, side="right")] for k in (low, np.minimum(low + 1, ends[-1] - 1)))
+    return np.unique(below + (above - below) * (at - low))
+
+
+def _split(sums: dict[int, np.ndarray]):
+    """The best split of a node as (feature, cut, sums left, sums right), or None. `sums` has, per feature, a row of value, number of
+    candidates, first and second derivatives for each of its values, in order."""
+    best, choice = None, None
+    for f, table in sorted(sums.items()):
+        total = table[:, 1:].sum(axis=0)
+        if best is None:
+            best = total[1] ** 2 / (total[2] + 1.0) + 1e-6
+        upto = np.cumsum(table[:, 1:], axis=0)
+        for cut in _cuts(table[:, 0], table[:, 1]):
+            k = int(np.searchsorted(table[:, 0], cut, side="right"))
+            if k in (0, len(table)):
+                continue
+            left, right = upto[k - 1], total - upto[k - 1]
+            gain = left[1] ** 2 / (left[2] + 1.0) + right[1] ** 2 / (right[2] + 1.0)
+            if gain > best:
+                best, choice = gain, (f, float(cut), left, right)
+    return choice
+
+
+def _leaf(sums: np.ndarray) -> float:
+    return float(sums[1] / (sums[2] + 1.0))
+
+
 def _tree(x: np.ndarray, slope: np.ndarray, weight: np.ndarray, depth: int):
     """A regression tree on first and second derivatives: a leaf value, or (feature, cut, left, right)."""
-    leaf = float(slope.sum() / (weight.sum() + 1.0))
+    leaf = _leaf(np.array([len(x), slope.sum(), weight.sum()]))
     if depth == 0 or len(x) < 20:
         return leaf
-    best, choice = slope.sum() ** 2 / (weight.sum() + 1.0) + 1e-6, None
+    sums = {}
     for f in range(x.shape[1]):
-        for cut in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 10))):
-            left = x[:, f] <= cut
-            if left.all() or not left.any():
-                continue
-            gain = slope[left].sum() ** 2 / (weight[left].sum() + 1.0) + slope[~left].sum() ** 2 / (weight[~left].sum() + 1.0)
-            if gain > best:
-                best, choice = gain, (f, float(cut), left)
+        values, group = np.unique(x[:, f], return_inverse=True)
+        sums[f] = np.column_stack([values, *[np.bincount(group, w) for w in (np.ones(len(x)), slope, weight)]])
+    choice = _split(sums)
     if choice is None:
         return leaf
-    f, cut, left = choice
+    f, cut, *_ = choice
+    left = x[:, f] <= cut
     return f, cut, _tree(x[left], slope[left], weight[left], depth - 1), _tree(x[~left], slope[~left], weight[~left], depth - 1)
 
 
@@ -242,14 +276,26 @@ def _rates(hits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.array(hits) / np.array(sizes), pooled)
 
 
+def _chances(hits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`chances` of groups of equal score, given their cues and sizes."""
+    if not hits.any():
+        return np.zeros(len(hits))
+    rate = _rates(hits, sizes)
+    return np.minimum(1.0, rate / np.average(rate, weights=hits))
+
+
 def chances(score: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The chance of each candidate, by falling score, to be personal, if cues y stand at a fixed share of those."""
-    if not y.any():
-        return np.zeros(len(y))
     first = np.append(0, np.flatnonzero(np.diff(score)) + 1)
     sizes = np.diff(np.append(first, len(score)))
-    rate = np.repeat(_rates(np.add.reduceat(y, first), sizes), sizes)
-    return np.minimum(1.0, rate / rate[y > 0].mean())
+    return np.repeat(_chances(np.add.reduceat(y, first), sizes), sizes)
+
+
+def _case(tree, x: dict[str, Column]) -> Column:
+    if isinstance(tree, float):
+        return F.lit(tree)
+    f, cut, low, high = tree
+    return F.when(x[FEATURES[f]] <= cut, _case(low, x)).otherwise(_case(high, x))
 
 
 class Model:
@@ -259,13 +305,7 @@ class Model:
         self.start, self.trees, self.thresholds = start, trees or [], thresholds or {}
 
     def score(self, x: Column) -> Column:
-        def case(tree) -> Column:
-            if isinstance(tree, float):
-                return F.lit(tree)
-            f, cut, low, high = tree
-            return F.when(x[FEATURES[f]] <= cut, case(low)).otherwise(case(high))
-
-        return reduce(lambda a, t: a + F.lit(RATE) * case(t), self.trees, F.lit(self.start))
+        return reduce(lambda a, t: a + F.lit(RATE) * _case(t, x), self.trees, F.lit(self.start))
 
     def selects(self, c: Column) -> Column:
         if not self.trees or not self.thresholds:
@@ -274,30 +314,84 @@ class Model:
         return F.coalesce(self.score(c["x"]) >= limit, F.lit(False))
 
 
+def _shapes(docs: DataFrame) -> DataFrame:
+    """The candidates that trees decide, counted by features, cue and whether they are held back: n of each."""
+    rows = with_candidates(with_base(docs.select("doc_id", "text"))).select("doc_id", F.inline("candidates")).where("NOT known AND NOT telling")
+    held = F.pmod(F.xxhash64("doc_id", "start", "kind"), F.lit(3)) == 0
+    return rows.groupBy(held.alias("held"), F.col("cued").cast("double").alias("y"), *[F.col("x")[n].alias(n) for n in FEATURES]).agg(F.count("*").cast("double").alias("n"))
+
+
+def _grown(rows: DataFrame):
+    """One tree on scored shapes, `_tree` level by level: (feature, cut, left, right) or a leaf value."""
+    x = {n: F.col(n) for n in FEATURES}
+    p = 1 / (1 + F.exp(-F.col("score")))
+    derived = rows.select(*FEATURES, "n", (F.col("n") * (F.col("y") - p)).alias("slope"), (F.col("n") * p * (1 - p)).alias("weight"))
+    nodes: dict[int, object] = {}  # by heap number: a leaf value, or (feature, cut)
+    open_nodes, leaves = [1], {}
+
+    def tree(k: int, end):
+        node = nodes.get(k)
+        return (*node, tree(2 * k, end), tree(2 * k + 1, end)) if isinstance(node, tuple) else end(k)
+
+    for _ in range(DEPTH):
+        at = _case(tree(1, float), x).cast("int")
+        values = derived.select(at.alias("node"), "n", "slope", "weight", F.posexplode(F.array(*FEATURES)).alias("f", "value")).where(F.col("node").isin(open_nodes))
+        sums = values.groupBy("node", "f", "value").agg(F.sum("n"), F.sum("slope"), F.sum("weight")).collect()
+        table = np.array([tuple(r) for r in sums], float).reshape(-1, 6)
+        table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
+        grown = []
+        for k in open_nodes:
+            own = table[table[:, 0] == k]
+            by_feature = {f: own[own[:, 1] == f][:, 2:] for f in range(len(FEATURES))}
+            total = by_feature[0][:, 1:].sum(axis=0)
+            leaves.setdefault(k, _leaf(total))
+            choice = _split(by_feature) if total[0] >= 20 else None
+            if choice is not None:
+                f, cut, left, right = choice
+                nodes[k] = (f, cut)
+                leaves |= {2 * k: _leaf(left), 2 * k + 1: _leaf(right)}
+                grown += [2 * k, 2 * k + 1]
+        open_nodes = grown
+        if not open_nodes:
+            break
+    return tree(1, leaves.__getitem__)
+
+
+def _boosted(work: Workspace, shapes: DataFrame, share: float) -> tuple[float, list, DataFrame]:
+    """`boosted` on the shapes that are not held back: start value, trees, and all shapes with their score."""
+    share = min(max(share, 0.01), 0.99)
+    start = float(np.log(share / (1 - share)))
+    scored, trees = shapes.withColumn("score", F.lit(start)), []
+    for k in range(ROUNDS):
+        trees.append(_grown(scored.where("NOT held")))
+        after = scored.withColumn("score", F.col("score") + F.lit(RATE) * _case(trees[-1], {n: F.col(n) for n in FEATURES}))
+        after.write.parquet(work.path(f"scored-{k}"))
+        scored = work.spark.read.schema(after.schema).parquet(work.path(f"scored-{k}"))
+        work.drop(f"scored-{k - 1}")
+    return start, trees, scored
+
+
 def fit(docs: DataFrame) -> Model:
-    """Fit on the bounded sample described above; a handful of rows reach the driver."""
-    keys = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id", "left_semi")
-    rows = with_candidates(with_base(sample)).select("doc_id", F.inline("candidates")).where("NOT known AND NOT telling")
-    rows = rows.orderBy(F.xxhash64("doc_id", "start", "kind"), "doc_id", "start").limit(SAMPLE_CANDIDATES)
-    got = rows.select("cued", *[F.col("x")[n].alias(n) for n in FEATURES]).collect()
-    if len(got) < 60:
+    """Fit on the candidates of all documents, as described above."""
+    work = Workspace(docs.sparkSession, "pii-fit")
+    shapes = work.keep(_shapes(docs), "shapes")
+    counted = {r["held"]: r for r in shapes.groupBy("held").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("cues")).collect()}
+    if sum(r["n"] for r in counted.values()) < 60 or False not in counted:
+        work.drop("")
         return Model()
-    x = np.array([[r[n] for n in FEATURES] for r in got], float)
-    y = np.array([bool(r["cued"]) for r in got], float)
-    held = np.arange(len(y)) % 3 == 0
-    start, trees = boosted(x[~held], y[~held])
-    score = start + RATE * sum(_value(t, x) for t in trees)
+    start, trees, scored = _boosted(work, shapes, counted[False]["cues"] / counted[False]["n"])
+    step = F.floor(F.col("score") * STEPS)
+    found_ = scored.where("held").groupBy("generator", step.alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("cues")).collect()
+    work.drop("")
     thresholds = {}
     for no, kind in enumerate(ADDED):
-        own = held & (x[:, 0] == no)
-        order = np.argsort(-score[own], kind="stable")
-        s, hits = score[own][order], np.cumsum(y[own][order])
-        if len(s) == 0:
+        own = sorted((r for r in found_ if r["generator"] == no), key=lambda r: -r["step"])
+        if not own:
             continue
-        precise = np.flatnonzero((np.cumsum(chances(s, y[own][order])) / np.arange(1, len(s) + 1) >= PRECISION) & (np.append(s[1:], -np.inf) < s))
-        if len(precise) and hits[precise[-1]] >= 5:
-            thresholds[kind] = float(s[precise[-1]])
+        sizes, hits = np.array([r["n"] for r in own]), np.array([r["cues"] for r in own])
+        precise = np.flatnonzero(np.cumsum(_chances(hits, sizes) * sizes) / np.cumsum(sizes) >= PRECISION)
+        if len(precise) and np.cumsum(hits)[precise[-1]] >= 5:
+            thresholds[kind] = own[precise[-1]]["step"] / STEPS
     return Model(start, trees, thresholds)
 
 

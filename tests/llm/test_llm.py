@@ -580,3 +580,18 @@ def test_stages_keep_columns(spark, docs, tmp_path):
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+
+
+def test_pii_trees_see_every_candidate(spark):
+    """A fit counts the candidates of all documents, not of the 5,000 it once looked at, and grows the tree that one array of all would give."""
+    rng = random.Random(5)
+    rows = [(k, f"order 0{k % 10}{k:07d} of page", "en", "s", 1, 1) for k in range(5600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    shapes = pii._shapes(docs)
+    assert shapes.selectExpr("cast(sum(n) AS long)").first()[0] == 5600
+    x = np.round(np.array([[rng.random() for _ in pii.FEATURES] for _ in range(400)]), 2)
+    y = ((x[:, 1] > 0.5) & (x[:, 2] < 0.7)).astype(float)
+    p = 0.3
+    frame = spark.createDataFrame([(*map(float, r), float(v), 1.0, float(np.log(p / (1 - p)))) for r, v in zip(x, y)], [*pii.FEATURES, "y", "n", "score"])
+    same = pii._tree(x, y - p, np.full(400, p * (1 - p)), pii.DEPTH)
+    assert np.allclose(pii._value(pii._grown(frame), x), pii._value(same, x))

@@ -11,36 +11,45 @@ from tallyloom import contract as K
 from tallyloom.config import ScenarioRules
 from tallyloom.functions import dates, keys, money
 from tallyloom.functions.text import quoted, render
-from tallyloom.operators.joins import lookup_join
+from tallyloom.operators.joins import computed_once, lookup_join
 
 LABEL = "scenario_type"
 RANK = "split_rank"
 
 
-def _ranked(
-    rows: DataFrame, key: Column, seed: int, extend: Callable[[DataFrame], DataFrame], digits: int = 4
-) -> DataFrame:
-    """Add `split_rank`, the 0-based position in the order of a seeded hash of `key`, plus what
-    `extend` adds to the offset table, where `_total` is the number of rows.
+def _seeded(key: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
-    A window over all rows would sort them in one task. Here the hash's first digits make
-    16^digits even buckets; their counts give each bucket an offset, and rows are numbered inside
-    their bucket. The offset table has at most 16^digits rows whatever the input, which is what
-    bounds the single-task running sum and the broadcast. `key` must be unique per row.
-    """
-    hashed = rows.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))))
-    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
+
+def _offsets(hashed: DataFrame) -> DataFrame:
+    """Rows per `_bucket`, rows in the buckets before it, and rows in all."""
     everything = Window.partitionBy(F.lit(0))
     before = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    return (
         hashed.groupBy("_bucket")
         .agg(F.count("*").alias("_n"))
         .select(
             "_bucket",
+            "_n",
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
             F.sum("_n").over(everything).alias("_total"),
         )
     )
+
+
+def _ranked(
+    rows: DataFrame, key: Column, seed: int, extend: Callable[[DataFrame], DataFrame], digits: int = 4
+) -> DataFrame:
+    """Add `split_rank`, the 0-based position in the order of a seeded hash of `key`, plus what
+    `extend` adds to the offset table, where `_total` is the number of rows.
+
+    A window over all rows would sort them in one task. Here the hash's first digits make
+    16^digits even buckets; their counts give each bucket an offset, and rows are numbered inside
+    their bucket. The offset table has at most 16^digits rows whatever the input, which is what
+    bounds the single-task running sum and the broadcast. `key` must be unique per row.
+    """
+    hashed = rows.withColumn("_hash", _seeded(key, seed)).withColumn("_bucket", F.substring("_hash", 1, digits))
+    offsets = _offsets(hashed).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash"))
     return (
         hashed.withColumn("_inside", inside)
@@ -85,13 +94,41 @@ def _cuts(mix: Mapping[str, float]) -> Callable[[DataFrame], DataFrame]:
     return extend
 
 
-def proportional_split(rows: DataFrame, mix: Mapping[str, float], key: Column, seed: int) -> DataFrame:
-    """Give every row exactly one label, in the mix's proportions, reproducibly for a seed."""
-    numbered = _ranked(rows, key, seed, _cuts(mix))
+def proportional_split(rows: DataFrame, mix: Mapping[str, float], key: Column, seed: int, rank: bool = True) -> DataFrame:
+    """Give every row exactly one label, in the mix's proportions, reproducibly for a seed.
+
+    Without `rank` the labels are the same, but no row is numbered: the hashes at which labels end are found first, and each
+    row's own hash says between which of them it lies. Only where rows with one and the same hash get different labels must
+    they be counted, as ranks do."""
+    ends = None if rank else _label_ends(rows, mix, key, seed)
     label = F
+    if ends is None:
+        numbered = _ranked(rows, key, seed, _cuts(mix))
+        for i, name in enumerate(mix):
+            label = label.when(F.col(RANK) < F.get("_cuts", F.lit(i)), name)
+        labelled = numbered.withColumn(LABEL, label).drop("_cuts")
+        return labelled if rank else labelled.drop(RANK)
+    hashed = rows.withColumn("_hash", _seeded(key, seed))
     for i, name in enumerate(mix):
-        label = label.when(F.col(RANK) < F.get("_cuts", F.lit(i)), name)
-    return numbered.withColumn(LABEL, label).drop("_cuts")
+        label = label.when(F.col("_hash") < ends[i] if i in ends else F.lit(True), name)
+    # A plain value from here on: the plan of a ledger asks for the label dozens of times.
+    return computed_once(hashed, **{LABEL: label}).drop("_hash")
+
+
+def _label_ends(rows: DataFrame, mix: Mapping[str, float], key: Column, seed: int, digits: int = 4) -> dict[int, str] | None:
+    """For each label, by position, the hash of the first row after its last one; a label without one has no row after it. None if
+    such a hash also stands before the end.
+
+    Counts per bucket tell in which buckets labels end; only the hashes of these, one bucket per label at most, are sorted."""
+    hashed = rows.select(_seeded(key, seed).alias("_hash")).withColumn("_bucket", F.substring("_hash", 1, digits))
+    ends = _cuts(mix)(_offsets(hashed)).select("_bucket", "_offset", "_n", F.posexplode("_cuts").alias("label", "cut"))
+    ends = ends.where("cut >= _offset AND cut < _offset + _n").select("_bucket", "label", (F.col("cut") - F.col("_offset") + 1).alias("place"))
+    ends = rows.sparkSession.createDataFrame(ends.collect(), ends.schema)
+    order = Window.partitionBy("_bucket").orderBy("_hash")
+    some = hashed.join(F.broadcast(ends.select("_bucket").distinct()), "_bucket", "left_semi")
+    placed = some.select("_bucket", "_hash", F.row_number().over(order).alias("place"), F.lag("_hash").over(order).alias("_last"))
+    found = placed.join(F.broadcast(ends), ["_bucket", "place"]).select("label", "_hash", F.col("_hash").eqNullSafe(F.col("_last")).alias("tied")).collect()
+    return None if any(r["tied"] for r in found) else {r["label"]: r["_hash"] for r in found}
 
 
 def mix_report(labelled: DataFrame, mix: Mapping[str, float]) -> DataFrame:

@@ -261,7 +261,8 @@ def page_records(pages: DataFrame, rules: VendorRules, validation: ValidationRul
 
 
 def response_key() -> Column:
-    return F.md5("text")
+    """What names a response: 16 bytes, half of what they take in hex."""
+    return F.unhex(F.md5("text"))
 
 
 def attach_responses(records: DataFrame, pages: DataFrame) -> DataFrame:
@@ -466,14 +467,21 @@ def duplicate_rows(flagged: DataFrame, key: Sequence[str], run_at: str | None =
     )
 
 
+_OF_RESPONSE = (
+    "item", "pos", "success", "error", "contract_error", "latency_ms", "attempt_count", "audit_id",
+    "rejection_category", "rejection_details", "checked_confidence", "threshold_applied",
+)
+
+
 def candidate_records(
     records: DataFrame, pages: DataFrame, rules: VendorRules
 ) -> DataFrame:
     """What may enter Bronze: valid records and, if the vendor wants it, the per-page fallback.
 
-    Fallback records are standardised but not validated, and carry no model and no response.
+    Fallback records are standardised but not validated, and carry no model and no response. What only the review and the
+    audit of a response ask for stays behind, the item's own text above all: records move from here on.
     """
-    valid = accepted(records)
+    valid = accepted(records).drop(*_OF_RESPONSE)
     if not rules.fallback_on_failure:
         return valid
     cells = with_blank_extraction(cells_to_records(pages, rules))
@@ -483,7 +491,7 @@ def candidate_records(
 def with_blank_extraction(cells: DataFrame) -> DataFrame:
     """Table-cell records with the fields only a response can fill, all NULL."""
     blank = [f for f in (*_OPTIONAL, "model", "response_key", "text") if f not in cells.columns]
-    return cells.withColumns({f: F.lit(None).cast("string") for f in blank})
+    return cells.withColumns({f: F.lit(None).cast("binary" if f == "response_key" else "string") for f in blank})
 
 
 def pattern_flags(bronze: DataFrame, pattern: str) -> DataFrame:

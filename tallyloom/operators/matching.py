@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom import contract as K
 from tallyloom.config import MatchRules
 from tallyloom.functions.money import amount_equal
 from tallyloom.functions.text import quoted, render, shown
-from tallyloom.operators.joins import local_join, lookup_join
+from tallyloom.operators.joins import computed_once, local_join, lookup_join
 from tallyloom.sources.colocated import Sides
 
 _SCOPE = ["vendor_id", "statement_period"]
@@ -162,10 +163,25 @@ def decision(rules: MatchRules) -> Column:
 _ATTACHED = ("candidate_count", "copies_agree", "candidate", "work_order_match")
 
 
-def classify(statement: DataFrame, ledger: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
-    """Statement rows plus a `decision` struct. One row in, one row out."""
-    joined = attach_work_orders(attach_candidates(statement, ledger), ledger)
-    return joined.withColumn("decision", decision(rules)).drop(*_ATTACHED)
+def classify(statement: DataFrame, ledger: DataFrame, rules: MatchRules = MatchRules(), shared: DataFrame | None = None) -> DataFrame:
+    """Statement rows plus a `decision` struct. One row in, one row out. `shared` may hold the `shared_numbers` of both sides.
+
+    A work order only matters where a number has no candidate, so only such rows go on to look theirs up; all others have met
+    the ledger once and move no more. Both parts read the one join with the candidates."""
+    plain = attach_candidates(statement, ledger).withColumn("work_order_match", F.lit(None).cast("string"))
+    asks = (F.col("candidate_count") == 0) & F.col("work_order_number").isNotNull()
+    # Computed once, so that neither part's filter moves below the join, which both then share.
+    decided = computed_once(plain, decision=decision(rules), _asks=asks).drop(*_ATTACHED)
+    asking = decided.where("_asks")
+    looked_up = (attach_work_orders(asking, ledger) if shared is None else attach_shared(asking, shared)).withColumns(
+        {"candidate_count": F.lit(0).cast("bigint"), "copies_agree": F.lit(None).cast("boolean"), "candidate": F.lit(None).cast(_candidate_type(ledger))}
+    )
+    parts = looked_up.withColumn("decision", decision(rules)), decided.where("NOT _asks")
+    return parts[0].drop(*_ATTACHED).unionByName(parts[1]).drop("_asks")
+
+
+def _candidate_type(ledger: DataFrame) -> StructType:
+    return ledger.select(*_CANDIDATE).schema
 
 
 def classify_stored(sides: Sides, shared: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:

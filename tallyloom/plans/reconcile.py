@@ -105,11 +105,12 @@ def to_gold(
         sides = colocated.store(statement, ledger, matching.KEY)
         ledger = sides.ledger
         shared = keep(matching.shared_numbers(sides.statement, ledger))
-        classified = keep(matching.classify_stored(sides, shared, rules))
-        orphan_rows = keep(matching.orphans_stored(sides, shared))
+        classified = keep(gold.read_by_gold(matching.classify_stored(sides, shared, rules)))
+        orphan_rows = keep(gold.read_by_gold(matching.orphans_stored(sides, shared)))
     else:
-        classified = keep(matching.classify(statement, ledger, rules))
-        orphan_rows = keep(gold.orphans(statement, ledger))
+        shared = keep(matching.shared_numbers(statement, ledger))
+        classified = keep(gold.read_by_gold(matching.classify(statement, ledger, rules, shared)))
+        orphan_rows = keep(gold.read_by_gold(gold.orphans(statement, ledger, shared)))
     shops = gold.shop_aggregates(classified, orphan_rows, ledger)
     return {
         "gold_matched_invoices": gold.matched_invoices(classified, run_at),

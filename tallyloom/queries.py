@@ -72,17 +72,21 @@ class _Inputs:
         both = stored(self.statement.unionByName(self.ledger), partition_by=["record_source"])
         return normalize.sides(both)
 
+    @cached_property
+    def shared(self) -> DataFrame:
+        return stored(matching.shared_numbers(*self.silver))
+
     @cached_property
     def classified(self) -> DataFrame:
-        return matching.classify(*self.silver, MatchRules())
+        return matching.classify(*self.silver, MatchRules(), self.shared)
 
     @cached_property
     def classified_table(self) -> DataFrame:
-        return stored(self.classified)
+        return stored(gold.read_by_gold(self.classified))
 
     @cached_property
     def orphans(self) -> DataFrame:
-        return gold.orphans(*self.silver)
+        return gold.orphans(*self.silver, self.shared)
 
     @cached_property
     def shops(self) -> DataFrame:
@@ -180,19 +184,20 @@ def _all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     given = _Inputs(spark, sf)
     given.classified = given.classified_table
     given.shops = stored(given.shops)
-    records = stored(_records_of(_pages(spark, sf)))
+    pages = _pages(spark, sf)
+    records = stored(_records_of(pages))
+    given.plan = stored(given.plan)
     return {
         "bronze_vendor_statement_raw": given.statement_bronze,
         "bronze_internal_erp_raw": given.ledger_bronze,
         "silver_reconciliation_standard": given.silver[0].unionByName(given.silver[1]),
         "validation_mutation_manifest": given.manifest,
-        **_page_tables(spark, sf, records),
+        **_page_tables(records, pages),
         **_gold_tables(given),
     }
 
 
-def _page_tables(spark: SparkSession, sf: str, records: DataFrame, pages: DataFrame | None = None) -> dict[str, DataFrame]:
-    pages = _pages(spark, sf) if pages is None else pages
+def _page_tables(records: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     flagged = ingest.flag_duplicates(_candidates(pages, records), _DUPLICATE_KEY)
     return {"validation_document_review_queue": _queue(records, flagged), "ai_audit_log": ingest.page_audit(records, PROVIDER)}
 
@@ -216,12 +221,12 @@ def _store_all(spark: SparkSession, sf: str, observed: quality.Observed) -> None
 
     def intake() -> None:
         pages = _pages(spark, sf)
-        put(_page_tables(spark, sf, stored(_records_of(pages)), pages))
+        put(_page_tables(stored(_records_of(pages)), pages))
 
     def matching_side() -> None:
         _store_sides(given, observed)
         given.classified = given.classified_table
-        given.orphans = stored(given.orphans)
+        given.orphans = stored(gold.read_by_gold(given.orphans))
         given.shops = stored(given.shops)
         put(_gold_tables(given))
 

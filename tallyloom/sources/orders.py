@@ -45,37 +45,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with the fields a statement line needs."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One narrow row per order: what every field of a statement line follows from."""
     orders = _table(spark, sf_dir, "orders")
     customer = _table(spark, sf_dir, "customer")
     nation = _table(spark, sf_dir, "nation")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
         nation, customer.c_nationkey == nation.n_nationkey
     )
-    base = joined.selectExpr(
+    return joined.selectExpr(
         "o_orderkey AS k",
         "o_custkey % 4 AS v",
-        "'V' || (o_custkey % 4) AS vendor_id",
-        "'Vendor V' || (o_custkey % 4) AS vendor_name",
+        "o_custkey AS customer",
         "n_name AS shop",
         "cast(o_orderdate AS date) AS d",
         "date_format(o_orderdate, 'yyyy-MM') AS statement_period",
-        "'SIN' || lpad(cast(o_orderkey AS string), 12, '0') AS number",
-        "if(o_orderkey % 31 = 0, NULL, cast(24000000 + o_orderkey AS string)) AS work_order",
-        "if(o_orderkey % 37 = 0, NULL, 'RO-' || o_custkey) AS ro",
         "cast(round(o_totalprice * 100) AS bigint) AS cents",
     )
-    return base.selectExpr(
+
+
+def _described(orders: DataFrame) -> DataFrame:
+    """The order rows with the fields that are printed."""
+    return orders.selectExpr(
         "*",
-        f"vendor_id || '-' || statement_period || '-' || (k div {DOCUMENT_KEYS}) AS statement_id",
-        f"cast((k % {DOCUMENT_KEYS}) div {PAGE_KEYS} + 1 AS int) AS page_number",
-        f"cast(k % {PAGE_KEYS} + 1 AS int) AS row_number",
-        f"k div {PAGE_KEYS} + 5 * v + year(d) * 12 + month(d) AS page_id",
+        "'SIN' || lpad(cast(k AS string), 12, '0') AS number",
+        "if(k % 31 = 0, NULL, cast(24000000 + k AS string)) AS work_order",
+        "if(k % 37 = 0, NULL, 'RO-' || customer) AS ro",
         "cast(cents div 100 AS string) || '.' || lpad(cast(cents % 100 AS string), 2, '0') AS amount_text",
         "concat('$', format_number(cast(cents AS decimal(16,0)) / 100, 2)) AS amount_printed",
         "date_format(d, 'MM/dd/yyyy') AS date_text",
         "date_format(date_add(d, 30), 'MM/dd/yyyy') AS due_text",
+    )
+
+
+_PAGE_NUMBER = f"cast((k % {DOCUMENT_KEYS}) div {PAGE_KEYS} + 1 AS int) AS page_number"
+_PAGE_ID = f"k div {PAGE_KEYS} + 5 * v + year(d) * 12 + month(d) AS page_id"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with the fields a statement line needs."""
+    return _described(_orders(spark, sf_dir)).drop("customer").selectExpr(
+        "*",
+        "'V' || v AS vendor_id",
+        "'Vendor V' || v AS vendor_name",
+        f"'V' || v || '-' || statement_period || '-' || (k div {DOCUMENT_KEYS}) AS statement_id",
+        _PAGE_NUMBER,
+        f"cast(k % {PAGE_KEYS} + 1 AS int) AS row_number",
+        _PAGE_ID,
     ).withColumn("source_file", F.concat("statement_id", F.lit(".pdf")))
 
 
@@ -112,13 +128,13 @@ def _order_key() -> Column:
     return F.substring("invoice_number", 4, 12).cast("bigint")
 
 
-def labelled(statement: DataFrame) -> DataFrame:
-    """Statement rows with a planted label."""
-    return groundtruth.proportional_split(statement, SCENARIOS.mix, _order_key(), SCENARIOS.seed)
+def labelled(statement: DataFrame, rank: bool = True) -> DataFrame:
+    """Statement rows with a planted label, and with their rank if it is asked for."""
+    return groundtruth.proportional_split(statement, SCENARIOS.mix, _order_key(), SCENARIOS.seed, rank)
 
 
 def planted(statement: DataFrame) -> DataFrame:
-    return groundtruth.planted(labelled(statement), _order_key(), SCENARIOS)
+    return groundtruth.planted(labelled(statement, rank=False), _order_key(), SCENARIOS)
 
 
 def ledger_bronze(plan: DataFrame) -> DataFrame:
@@ -185,7 +201,8 @@ def _json_text(column: str) -> str:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page: printed text, table cells, voucher text and the extraction response.
 
-    A page collects at most 4,000 consecutive order keys, whatever the size of the table.
+    A page collects at most 4,000 consecutive order keys, whatever the size of the table. Orders meet by page as numbers and
+    dates; what is printed of them, some ten times as wide, is made where the page is put together.
     """
     # What each printed line looks like in the three renderings; faults are planted by key.
     item = (
@@ -195,12 +212,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         " || '\",\"due_date\":\"' || if(k % 47 = 0, 'soon', due_text) || '\"'"
         " || if(k % 59 = 0, '', ',\"confidence\":' || if(k % 53 = 0, '0.5', '0.' || (801 + (k * 7919) % 20 * 10))) || '}'"
     )
+    # Vendor, document and file of a page follow from these; without a date there is no document number.
+    by = ["v", "statement_period", "document", "page_number", "page_id"]
+    document = f"if(statement_period IS NULL, NULL, k div {DOCUMENT_KEYS}) AS document"
+    orders = _orders(spark, sf_dir).selectExpr("k", "v", "customer", "d", "statement_period", "cents", document, _PAGE_NUMBER, _PAGE_ID)
     printed = (
-        lines(spark, sf_dir)
+        _described(orders.repartition(*by))
         .withColumn("again", F.explode(F.expr("if(k % 61 = 0, array(false, true), array(false))")))
         .selectExpr(
-            *PAGE,
-            "page_id",
+            *by,
             "k",
             "again",
             f"{item} AS item",
@@ -213,13 +233,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             " WHEN k % 10 = 5 THEN 'Carried forward ' || amount_text END AS note",
         )
     )
-    gathered = printed.groupBy(*PAGE, "page_id").agg(
+    gathered = printed.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("k", "again", "item"))).alias("items"),
         F.array_sort(F.collect_list(F.struct("k", "again", "cells", "filler"))).alias("rows"),
         F.array_sort(F.collect_list(F.struct("k", "again", "bill", "note"))).alias("bills"),
     )
+    named = gathered.selectExpr("*", "'V' || v AS vendor_id", "'V' || v || '-' || statement_period || '-' || document AS statement_id")
     fault = "page_id % 20"
-    return gathered.selectExpr(
+    return named.withColumn("source_file", F.concat("statement_id", F.lit(".pdf"))).selectExpr(
         *PAGE,
         "page_id",
         "'Statement of account\n'"

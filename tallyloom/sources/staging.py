@@ -28,11 +28,12 @@ def stored(rows: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write `rows` as Parquet to the staging folder and return them read back.
 
     This cuts lineage, so a lost executor re-reads files instead of recomputing the input, and what
-    follows reads only the columns and partitions it needs, with real sizes to choose joins by.
+    follows reads only the columns and partitions it needs, with real sizes to choose joins by. Staged rows are full of
+    repeated text and hashes in hex, so they are packed with zstd.
     """
     spark = rows.sparkSession
     path = f"{staging_folder(spark)}/stored-{uuid.uuid4().hex}"
-    rows.write.partitionBy(*partition_by).parquet(path)
+    rows.write.partitionBy(*partition_by).parquet(path, compression="zstd")
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 

@@ -237,3 +237,11 @@ def test_delivery_numbers_of_files(spark, tmp_path):
 def test_unknown_extraction_method(spark):
     with pytest.raises(ValueError, match="unknown extraction method"):
         reconcile.to_bronze(spark.range(0), replace(VENDOR, extraction_method="guess"))
+
+
+def test_candidates_leave_the_response_behind(spark):
+    """What moves to find duplicates holds neither an item's text nor a page's audit; responses are named by 16 bytes."""
+    frame = ingest.attach_shop(pages(spark, {"text": answer(RECORD)}, {"text": "[1]", "page_number": 2}), VENDOR)
+    records = ingest.page_records(frame, VENDOR, ValidationRules())
+    moved = ingest.candidate_records(records, frame, VENDOR)
+    assert not {"item", "audit_id", "rejection_details"} & set(moved.columns) and dict(moved.dtypes)["response_key"] == "binary"

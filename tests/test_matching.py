@@ -188,3 +188,18 @@ def test_periods_stay_apart(spark):
     assert got["s3"].exception_category == got["s4"].exception_category == K.INVOICE_MISSING
     assert "W1" not in got["s5"].deterministic_reason
     assert {r["record_id"] for r in gold.orphans(rows, booked).collect()} == {"l3", "l4", "l5"}
+
+
+def test_rows_without_a_work_order_to_look_up_move_once(spark):
+    """Only rows whose number has no candidate look their work order up; the decision is the same with shared numbers."""
+    rows = statement(
+        spark, {"record_id": "s1"}, {"record_id": "s2", "invoice_number_normalized": "Q", "work_order_number": "W1"},
+        {"record_id": "s3", "invoice_number_normalized": None, "work_order_number": "W1"}, {"record_id": "s4", "invoice_number_normalized": "Q", "work_order_number": None},
+        {"record_id": "s5", "work_order_number": "W1"},
+    )
+    booked = ledger(spark, {}, {"record_id": "l2", "invoice_number": "W1", "invoice_number_normalized": "W1"})
+    shared = matching.shared_numbers(rows, booked)
+    got = {r["record_id"]: r["decision"] for r in matching.classify(rows, booked, MatchRules()).collect()}
+    assert got == {r["record_id"]: r["decision"] for r in matching.classify(rows, booked, MatchRules(), shared).collect()}
+    assert {k for k, d in got.items() if "W1" in (d.deterministic_reason or "")} == {"s2", "s3"} and len(got) == 5
+    assert sorted(gold.orphans(rows, booked).collect()) == sorted(gold.orphans(rows, booked, shared).collect())

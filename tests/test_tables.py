@@ -175,3 +175,21 @@ def test_counting_reads_no_column(spark, database):
     counts = tables.inventory(spark, tables.catalog_tables(spark, database=database))
     scans = [line for line in counts._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
     assert scans and all("ReadSchema: struct<>" in line and "FileScan parquet" in line for line in scans)
+
+
+def test_labels_without_ranks_are_the_labels_of_ranks(spark):
+    """Also where one hash stands on both sides of a label's end (keys that repeat or are null), and without rows."""
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import groundtruth
+
+    mix = {"a": 0.5, "b": 0.3, "none": 0.0, "c": 0.2}
+    for rows in (spark.range(997), spark.range(0), spark.range(40).selectExpr("id % 3 AS id"), spark.range(30).selectExpr("if(id < 20, NULL, id) AS id")):
+        ranked = groundtruth.proportional_split(rows, mix, F.col("id"), 7).drop(groundtruth.RANK)
+        plain = groundtruth.proportional_split(rows, mix, F.col("id"), 7, rank=False)
+        count = lambda x: sorted(map(tuple, x.groupBy(groundtruth.LABEL).count().collect()))
+        assert count(ranked) == count(plain) and plain.columns == ranked.columns
+    unique = spark.range(997)
+    plain = groundtruth.proportional_split(unique, mix, F.col("id"), 7, rank=False)
+    assert sorted(plain.collect()) == sorted(groundtruth.proportional_split(unique, mix, F.col("id"), 7).drop(groundtruth.RANK).collect())
+    assert "Window" not in plain._jdf.queryExecution().executedPlan().toString()

@@ -121,9 +121,11 @@ def _label_ends(rows: DataFrame, mix: Mapping[str, float], key: Column, seed: in
 
     Counts per bucket tell in which buckets labels end; only the hashes of these, one bucket per label at most, are sorted."""
     hashed = rows.select(_seeded(key, seed).alias("_hash")).withColumn("_bucket", F.substring("_hash", 1, digits))
-    ends = _cuts(mix)(_offsets(hashed)).select("_bucket", "_offset", "_n", F.posexplode("_cuts").alias("label", "cut"))
+    spark = rows.sparkSession
+    cuts = _cuts(mix)(spark.createDataFrame([(hashed.count(),)], "_total long")).first()["_cuts"]
+    ends = _offsets(hashed).select("_bucket", "_offset", "_n", F.posexplode(F.array(*map(F.lit, cuts))).alias("label", "cut"))
     ends = ends.where("cut >= _offset AND cut < _offset + _n").select("_bucket", "label", (F.col("cut") - F.col("_offset") + 1).alias("place"))
-    ends = rows.sparkSession.createDataFrame(ends.collect(), ends.schema)
+    ends = spark.createDataFrame(ends.collect(), ends.schema)
     order = Window.partitionBy("_bucket").orderBy("_hash")
     some = hashed.join(F.broadcast(ends.select("_bucket").distinct()), "_bucket", "left_semi")
     placed = some.select("_bucket", "_hash", F.row_number().over(order).alias("place"), F.lag("_hash").over(order).alias("_last"))

@@ -142,8 +142,9 @@ def _objects(invoices: Column, response: Column) -> Column:
     braced = lambda x: x.startswith("{")
     doubtful = response.rlike(r'"(?:\{|\\u007[bB])')
     typed = F.try_variant_get(F.try_parse_json(response), "$.invoices", "array<variant>")
-    is_object = F.transform(typed, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    sure = F.filter(invoices, lambda x, i: braced(x) & F.coalesce(F.get(is_object, i), F.lit(True)))
+    is_object = F.coalesce(F.transform(typed, lambda v: F.schema_of_variant(v).startswith("OBJECT")), F.array().cast("array<boolean>"))
+    # Side by side: a look-up inside a filter would parse the whole response again for each of its items.
+    sure = F.filter(F.zip_with(invoices, is_object, lambda x, o: F.when(braced(x) & F.coalesce(o, F.lit(True)), x)), lambda x: x.isNotNull())
     return F.when(doubtful, sure).otherwise(F.filter(invoices, braced))
 
 

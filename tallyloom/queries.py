@@ -619,7 +619,8 @@ def vendor_summary(spark, sf):
 
 def _rare(spark: SparkSession, sf: str) -> _Inputs:
     given = _Inputs(spark, sf)
-    given.silver = tuple(stored(side) for side in source.with_rare_cases(*given.sides))
+    # The cases are projections of the stored sides, so that the ledger is derived once and not for each kind of case.
+    given.silver = source.with_rare_cases(*given.silver)
     return given
 
 

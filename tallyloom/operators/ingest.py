@@ -7,7 +7,7 @@ document must meet: the header's shop, the per-page fallback and duplicates acro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -157,13 +157,12 @@ def _contract_error(kind: Column) -> Column:
 def standardize(records: DataFrame, derive_amount: bool) -> DataFrame:
     """Name the vendor, derive a missing amount from the outstanding one, make amounts canonical."""
     amount = F.col("amount")
-    if derive_amount:
-        amount = F.when(amount.isNull() | (amount == ""), F.col("outstanding_amount")).otherwise(amount)
-    return computed_once(
-        records.withColumn("vendor", F.col("vendor_id")),
-        amount=money.canonical_amount(amount),
-        outstanding_amount=money.canonical_amount(F.col("outstanding_amount")),
+    own = money.canonical_amount(amount)
+    rows = computed_once(
+        records.withColumn("vendor", F.col("vendor_id")), outstanding_amount=money.canonical_amount(F.col("outstanding_amount"))
     )
+    # A derived amount is canonical already.
+    return computed_once(rows, amount=F.when(amount.isNull() | (amount == ""), F.col("outstanding_amount")).otherwise(own) if derive_amount else own)
 
 
 def validate(records: DataFrame, rules: ValidationRules) -> DataFrame:
@@ -221,21 +220,27 @@ def validate(records: DataFrame, rules: ValidationRules) -> DataFrame:
                 ),
             )
         )
-    category = details = None
-    broken = F.lit(False)
+    # Each field is tested once: all that is reported follows from the first step that fails.
+    first, fault = F, F.col("_fault")
+    category = details = F
     for position, (fails, name, message) in enumerate(steps):
-        category = F.when(fails, name) if category is None else category.when(fails, name)
-        details = F.when(fails, message) if details is None else details.when(fails, message)
-        if position < structural:
-            broken = broken | F.coalesce(fails, F.lit(False))
+        first = first.when(fails, position)
+        category = category.when(fault == position, name)
+        details = details.when(fault == position, message)
+    broken = F.coalesce(fault < structural, F.lit(False))
     limit = F.lit(None) if threshold is None else F.lit(float(threshold))
     # A threshold is reported with a rejected record only where it decided.
-    return computed_once(
-        records,
-        rejection_category=category.otherwise(F.lit(None)),
-        rejection_details=details.otherwise(F.lit(None)),
-        checked_confidence=F.when(~broken, confidence),
-        threshold_applied=F.when(~broken, limit.cast("double")),
+    return (
+        computed_once(records, _fault=first.otherwise(F.lit(None)), _confidence=confidence)
+        .withColumns(
+            {
+                "rejection_category": category.otherwise(F.lit(None)),
+                "rejection_details": details.otherwise(F.lit(None)),
+                "checked_confidence": F.when(~broken, F.col("_confidence")),
+                "threshold_applied": F.when(~broken, limit.cast("double")),
+            }
+        )
+        .drop("_fault", "_confidence")
     )
 
 
@@ -247,18 +252,17 @@ def page_records(pages: DataFrame, rules: VendorRules, validation: ValidationRul
     A response is as long as its page, so no record carries it: records name it by `response_key`, and
     `text` stays only where a page has no items."""
     fields = [*rules.fields, *[f for f in _OPTIONAL if f not in rules.fields]]
-    parsed = parse_responses(pages).withColumn("response_key", response_key())
+    parsed = parse_responses(pages).withColumns({"response_key": response_key(), "audit_id": page_audit_id()})
     rows = parsed.select(
         *PAGE, *_delivery(pages), "shop", "success", "error", "text", "response_key", "latency_ms", "attempt_count", "model", "contract_error",
-        F.posexplode_outer("items").alias("pos", "item"),
+        "audit_id", F.posexplode_outer("items").alias("pos", "item"),
     )
     item_type = ", ".join(f"{f} string" for f in fields)
     read = computed_once(rows, _item=F.from_json("item", item_type))
     flat = read.select(*rows.columns, *[F.col(f"_item.{f}").alias(f) for f in fields]).withColumns(
         {"row_number": (F.col("pos") + 1).cast("int"), "text": F.when(F.col("item").isNull(), F.col("text"))}
     )
-    checked = validate(standardize(flat, rules.derive_amount), validation)
-    return checked.withColumn("audit_id", page_audit_id())
+    return validate(standardize(flat, rules.derive_amount), validation)
 
 
 def response_key() -> Column:
@@ -332,11 +336,14 @@ def page_audit(records: DataFrame, provider: str, run_at: str | None = None) ->
 
 
 # --- a whole document -------------------------------------------------------------------------------
+def uncovered(rows: DataFrame, valid: DataFrame) -> DataFrame:
+    """Those of the rows, pages or what was read from them, whose page has no valid response record."""
+    return lookup_join(rows, valid.select(*PAGE).distinct(), PAGE, "left_anti", null_safe=True)
+
+
 def with_fallback(valid: DataFrame, cell_records: DataFrame) -> DataFrame:
     """Valid response records, plus the table-cell records of every page that has none."""
-    covered = valid.select(*PAGE).distinct()
-    spare = lookup_join(cell_records, covered, PAGE, "left_anti", null_safe=True)
-    return valid.unionByName(spare, allowMissingColumns=True)
+    return valid.unionByName(uncovered(cell_records, valid), allowMissingColumns=True)
 
 
 def flag_duplicates(records: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -475,18 +482,21 @@ _OF_RESPONSE = (
 
 
 def candidate_records(
-    records: DataFrame, pages: DataFrame, rules: VendorRules
+    records: DataFrame, pages: DataFrame, rules: VendorRules, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows
 ) -> DataFrame:
     """What may enter Bronze: valid records and, if the vendor wants it, the per-page fallback.
 
+    Valid records are read more than once, here and by what looks for duplicates; `keep` may write them, so that records that
+    are not stored yet are parsed once. Cells are read only of the pages that need them.
+
     Fallback records are standardised but not validated, and carry no model and no response. What only the review and the
     audit of a response ask for stays behind, the item's own text above all: records move from here on.
     """
-    valid = accepted(records).drop(*_OF_RESPONSE)
+    valid = keep(accepted(records).drop(*_OF_RESPONSE))
     if not rules.fallback_on_failure:
         return valid
-    cells = with_blank_extraction(cells_to_records(pages, rules))
-    return with_fallback(valid, standardize(cells, rules.derive_amount))
+    cells = with_blank_extraction(cells_to_records(uncovered(pages, valid), rules))
+    return valid.unionByName(standardize(cells, rules.derive_amount), allowMissingColumns=True)
 
 
 def with_blank_extraction(cells: DataFrame) -> DataFrame:

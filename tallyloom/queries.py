@@ -111,13 +111,17 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """What may enter Bronze, of stored records."""
     return ingest.candidate_records(records, pages, source.VENDOR)
 
 
+def _candidates_of(pages: DataFrame) -> DataFrame:
+    """The same of pages whose records nothing else reads: only the valid ones are written."""
+    return ingest.candidate_records(_records_of(pages), pages, source.VENDOR, keep=stored)
+
+
 def _flagged(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _pages(spark, sf)
-    candidates = _candidates(pages, _records_of(pages))
-    return ingest.flag_duplicates(candidates, _DUPLICATE_KEY)
+    return ingest.flag_duplicates(_candidates_of(_pages(spark, sf)), _DUPLICATE_KEY)
 
 
 def _timeless(rows: DataFrame, table: str) -> DataFrame:
@@ -280,8 +284,7 @@ def voucher_lines(spark, sf):
 
 @query
 def page_fallback(spark, sf):
-    pages = _pages(spark, sf)
-    rows = _candidates(pages, _records_of(pages))
+    rows = _candidates_of(_pages(spark, sf))
     return rows.select(
         "statement_id", "page_number", "row_number", "invoice_number", "amount", "outstanding_amount",
         F.col("model").isNull().alias("is_fallback"),
@@ -347,14 +350,14 @@ def redelivered_pages(spark, sf):
     pages = source.pages(spark, sf)
     times = F.expr("if(page_id % 5 = 0, array(0L, 1L), array(0L))")
     twice = ingest.attach_shop(stored(pages.withColumn("delivery", F.explode(times))), source.VENDOR)
-    flagged = ingest.flag_duplicates(_candidates(twice, _records_of(twice)), _DUPLICATE_KEY)
+    flagged = ingest.flag_duplicates(_candidates_of(twice), _DUPLICATE_KEY)
     return flagged.select("statement_id", "page_number", "delivery", "row_number", "invoice_number", "is_duplicate")
 
 
 @query
 def bronze_rows(spark, sf):
     pages = _pages(spark, sf)
-    flagged = ingest.flag_duplicates(_candidates(pages, _records_of(pages)), _DUPLICATE_KEY)
+    flagged = ingest.flag_duplicates(_candidates_of(pages), _DUPLICATE_KEY)
     rows = ingest.bronze_rows(ingest.attach_responses(flagged.where("NOT is_duplicate"), pages))
     table = "bronze_vendor_statement_raw"
     return _timeless(tables.conform(rows, table), table).withColumn(

@@ -234,9 +234,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     gathered = printed.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("k", "again", "item"))).alias("items"),
-        F.array_sort(F.collect_list(F.struct("k", "again", "cells", "filler"))).alias("rows"),
-        F.array_sort(F.collect_list(F.struct("k", "again", "bill", "note"))).alias("bills"),
+        F.sort_array(F.collect_list(F.struct("k", "again", "item"))).alias("items"),
+        F.sort_array(F.collect_list(F.struct("k", "again", "cells", "filler"))).alias("rows"),
+        F.sort_array(F.collect_list(F.struct("k", "again", "bill", "note"))).alias("bills"),
     )
     named = gathered.selectExpr("*", "'V' || v AS vendor_id", "'V' || v || '-' || statement_period || '-' || document AS statement_id")
     fault = "page_id % 20"

@@ -185,19 +185,20 @@ def planted(labelled: DataFrame, key: Column, rules: ScenarioRules) -> DataFrame
         else F.lit("")
     )
     cents = money.cents(F.col("outstanding_amount"))
+    mismatch, credit = label == "amount_mismatch", label == "missing_credit"
+    # Drawn only where the label asks for it: each draw is a hash of its own.
     drawn = labelled.withColumns(
         {
             "_cents": cents,
-            "_suffix": suffix,
-            "_sign": F.when(number("direction") % 2 == 0, 1).otherwise(-1),
-            "_variance": _between(rules.variance_permille, number("variance")),
-            "_credit": _between(rules.credit_permille, number("credit")),
+            "_suffix": F.when(label == "invoice_revision", suffix),
+            "_sign": F.when(mismatch, F.when(number("direction") % 2 == 0, 1).otherwise(-1)),
+            "_variance": F.when(mismatch, _between(rules.variance_permille, number("variance"))),
+            "_credit": F.when(credit, _between(rules.credit_permille, number("credit"))),
             "_lag": _between(rules.lag_days, number("lag")).cast("int"),
         }
     )
     changed = F.col("_cents") + F.col("_sign") * _permille_of(F.col("_cents"), F.col("_variance"))
     reduced = F.col("_cents") - _permille_of(F.col("_cents"), F.col("_credit"))
-    mismatch, credit = label == "amount_mismatch", label == "missing_credit"
     return drawn.withColumns(
         {
             "ledger_number": F.when(label == "missing_invoice", F.lit(None).cast("string"))

@@ -48,7 +48,7 @@ def _write(rows: DataFrame, keys: Sequence[str], buckets: int) -> tuple[DataFram
     return back, largest or 0
 
 
-def store(statement: DataFrame, ledger: DataFrame, keys: Sequence[str], per_bucket: int = 2_000_000, hot_rows: int = HOT_ROWS) -> Sides:
+def store(statement: DataFrame, ledger: DataFrame, keys: Sequence[str], per_bucket: int = 250_000, hot_rows: int = HOT_ROWS) -> Sides:
     """Write both sides by `keys`, with as many buckets as the larger one needs. The sides must be stored frames: they are counted first.
 
     Rows whose key has a NULL match nothing; they are left where the key's hash puts them, and count when buckets are judged.

@@ -184,13 +184,21 @@ def scoped_replace(spark, sf):
 
 
 def _all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """All eleven tables, what several of them read written once."""
+    """All eleven tables, what several of them read written once and before what reads it, and what pages and matching do not
+    need of each other at the same time."""
     given = _Inputs(spark, sf)
-    given.classified = given.classified_table
-    given.shops = stored(given.shops)
-    pages = _pages(spark, sf)
-    records = stored(_records_of(pages))
-    given.plan = stored(given.plan)
+
+    def intake() -> tuple[DataFrame, DataFrame]:
+        pages = _pages(spark, sf)
+        return stored(_records_of(pages)), pages
+
+    def matching_side() -> None:
+        given.plan = stored(given.plan)
+        given.classified = given.classified_table
+        given.orphans = stored(gold.read_by_gold(given.orphans))
+        given.shops = stored(given.shops)
+
+    (records, pages), _ = together(spark, intake, matching_side)
     return {
         "bronze_vendor_statement_raw": given.statement_bronze,
         "bronze_internal_erp_raw": given.ledger_bronze,

@@ -107,7 +107,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removed(table(spark, sf_dir, "documents"))
+    return suffix.reported(table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

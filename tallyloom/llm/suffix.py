@@ -19,6 +19,11 @@ repeated row goes. Texts shorter than LENGTH keep everything. An empty table giv
 columns through and refreshes n_chars. Cuts inside a character drop what is left of it from the rebuilt text
 (`dedup`); the digests (`removed`) are of the bytes. Rows are numbered once and written with their numbers; all jobs
 read that copy, since a later plan may cut the input into other partitions and would number the rows anew.
+
+Passages that texts share are shorter than LENGTH if they have few words. `reported` counts them beside what is removed, by
+winnowing: of every NEIGHBOURS grams of GRAM_WORDS words that follow each other in a text the one of the least hash is chosen, so
+texts that share GRAM_WORDS + NEIGHBOURS - 1 words in a row have chosen one of the same grams, and a gram that two rows chose
+is one of GRAM_WORDS words that both have. Words are what stands between white space, as it is written.
 """
 
 from __future__ import annotations
@@ -36,8 +41,12 @@ from tallyloom.llm.common import Workspace
 from tallyloom.operators.joins import lookup_join
 
 LENGTH, GRAM, OPEN_LIMIT = 400, 32, 4096
+GRAM_WORDS, NEIGHBOURS = 32, 19
 # Bits of a place in what is parsed together; the same for all slices, so that equal hashes are told apart alike everywhere.
 _PLACE_BITS = np.uint64(21)
+_MOST = np.uint64(np.iinfo(np.uint64).max)
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def _first_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -227,10 +236,49 @@ def _numbered(docs: DataFrame, work: Workspace, name: str = "rid") -> DataFrame:
     return work.keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left, one row per document row."""
-    work = Workspace(docs.sparkSession, "suffix")
-    rows = _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), work)
+def chosen_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every gram that is chosen, each once for a row."""
+    starts, ends, before = bytescan.words(data, offsets, _WORD)
+    n = len(starts) - GRAM_WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first = np.arange(n)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
+    inside = row[:n] == row[GRAM_WORDS - 1 :]
+    grams = np.where(inside, bytescan.Substrings(bytescan.span_hashes(data, starts, ends)).hashes(first, first + GRAM_WORDS), _MOST)
+    # Least of each window, and of a gram's windows the one whose least is largest: it is chosen if that is its own.
+    edge = np.full(NEIGHBOURS - 1, _MOST)
+    least = _first_least(np.concatenate([edge, grams, edge]), NEIGHBOURS)
+    mine = inside & (~_first_least(~least, NEIGHBOURS) == grams)
+    row, grams = row[:n][mine], grams[mine]
+    order = np.lexsort((grams, row))
+    row, grams = row[order], grams[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
+    return row[new], grams[new]
+
+
+def passages(rows: DataFrame, work: Workspace) -> DataFrame:
+    """(rid, n_passages): how many of its chosen grams another of the stored rows (rid, text) has chosen too, of rows with any."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid = batch.column(0).to_numpy()
+            for at, _, data, offsets in bytescan.slices(batch.column(1)):
+                row, grams = chosen_grams(data, offsets)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[at + row]), pa.array(grams.view(np.int64))], names=["rid", "gram"])
+
+    grams = work.keep(rows.select("rid", "text").mapInArrow(choose, "rid long, gram long"), "grams")
+    shared = grams.groupBy("gram").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last").select("gram")
+    found = lookup_join(grams, shared, ["gram"], "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("n_passages"))
+    found = work.keep(found, "passages")
+    work.drop("grams")
+    return found
+
+
+def _digested(rows: DataFrame, work: Workspace, length: int) -> DataFrame:
+    """rid, doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left, one row per stored row (rid, doc_id, text)."""
     found = repeats(rows, work, length)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +294,29 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = rows.select("rid", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.lit(0).cast("long")
     return whole.join(work.keep(cut, "digests"), "rid", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
+        "rid", "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )
 
 
+def _texts(docs: DataFrame, work: Workspace) -> DataFrame:
+    return _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), work)
+
+
+def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left, one row per document row."""
+    work = Workspace(docs.sparkSession, "suffix")
+    return _digested(_texts(docs, work), work, length).drop("rid")
+
+
+def reported(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`removed`, and n_passages: shared passages of many words, whatever their bytes."""
+    work = Workspace(docs.sparkSession, "suffix")
+    rows = _texts(docs, work)
+    shared = passages(rows, work)
+    digests = _digested(rows, work, length).join(shared, "rid", "left")
+    return digests.withColumn("n_passages", F.coalesce("n_passages", F.lit(0).cast("long"))).drop("rid")
+
+
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same rows and columns with repeated stretches cut out of their texts."""
     work = Workspace(docs.sparkSession, "suffix")

@@ -483,6 +483,32 @@ def test_suffix(docs, none, texts, limit, slice_bytes, monkeypatch):
         assert suffix.removed(none).count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 19, 700])
+def test_suffix_reports_passages_of_few_bytes(spark, slice_bytes, monkeypatch):
+    """Passages of 51 words have under 400 bytes, so nothing goes; they are counted. Shared runs of fewer than 32 words are not, nor are
+    those that repeat in one text only."""
+    monkeypatch.setattr(bytescan, "SLICE_BYTES", slice_bytes)
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(n)]
+    texts, shared = [], set()
+    for k in range(120):
+        passage = words(51 if k % 3 == 0 else 31 if k % 3 == 1 else 40)
+        for _ in range(2):
+            own = [*words(rng.randint(0, 90)), *passage, *words(rng.randint(0, 90))] if k % 3 < 2 else [*words(9), *passage, *words(60), *passage]
+            shared.update([len(texts)] if k % 3 == 0 else [])
+            texts.append(" ".join(own))
+            passage = words(40) if k % 3 == 2 else passage
+    texts += [None, "", "one word", " ".join(words(32)), *[" ".join(words(400))] * 2]
+    shared.update([len(texts) - 1, len(texts) - 2])
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    rows = suffix.reported(docs).collect()
+    assert {r["doc_id"] for r in rows if r["n_passages"] > 0} == shared | {None} and len(rows) == len(texts) + 1
+    small = [r for r in rows if r["doc_id"] is not None and 0 < r["doc_id"] < 240 and r["doc_id"] in shared]
+    assert len(small) == 79 and all(r["n_removed"] == 0 for r in small)
+    want = Counter(tuple(r) for r in suffix.removed(docs).collect())
+    assert Counter(tuple(r)[:5] for r in rows) == want and suffix.reported(docs.limit(0)).count() == 0
+
+
 def test_windows_of_a_long_text_and_whole_slices_agree():
     """Strings of a text cut into windows are those of the same text in one piece, and every string is in one phrase."""
     rng = np.random.default_rng(6)

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: Bytes of text a task looks at together; some twenty arrays of 8 bytes a byte may stand at once. A longer text makes a
 #: slice of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 # Fixed odd multipliers of the two substring hashes (inverses below), and of the finaliser.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,23 +24,42 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: What an Arrow batch of wide rows may hold. Executor and worker hold a batch several times, in memory that their allocators
+#: keep for later stages; with Spark's defaults, 10,000 rows or 64 MB, that is most of what a stage adds.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(2000), "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started meanwhile send small batches to their workers. What the session sets itself stays."""
+    unset = [k for k in SMALL_BATCHES if spark.conf.get(k, None) is None]
+    for k in unset:
+        spark.conf.set(k, SMALL_BATCHES[k])
+    try:
+        yield
+    finally:
+        for k in unset:
+            spark.conf.unset(k)
+
+
 class Workspace:
     """Frames written to a folder of their own in the shared folder, and read back.
 
     A written frame cuts lineage: a lost executor makes Spark read files again and compute nothing
     anew. What a result no longer needs is deleted by `drop`. A `lasting` folder has the given name alone, so that
-    other sessions find it.
+    other sessions find it. One of `wide` rows, such as whole texts, sends them to workers in small batches.
     """
 
-    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False, wide: bool = False):
+        self.spark, self.wide = spark, wide
         self.folder = f"{shared_folder(spark)}/{name}" + ("" if lasting else f"-{uuid.uuid4().hex}")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     def keep(self, rows: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-        rows.write.partitionBy(*partition_by).parquet(self.path(name))
+        with small_batches(self.spark) if self.wide else nullcontext():
+            rows.write.partitionBy(*partition_by).parquet(self.path(name))
         # Spark deletes a finished job's shuffle files once the driver's collector has found its plan
         # unreachable, which can take long on an idle heap; the copy just written makes them useless.
         self.spark.sparkContext._jvm.System.gc()

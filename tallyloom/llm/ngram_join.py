@@ -337,7 +337,7 @@ MARKS = ("_set_mark_1", "_set_mark_2")
 
 def marked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`classes`, with the fingerprints of each row's set, and a number of its class: where ids repeat, classes may share an id."""
-    work = Workspace(docs.sparkSession, "ngram-join")
+    work = Workspace(docs.sparkSession, "ngram-join", wide=True)
     all_ = work.keep(_described(docs, _frequent(docs), percent), "described")
     some = all_.where("n > 0 AND doc_id IS NOT NULL")
     # A set stands for all rows that have it. It is numbered once, with the smallest id among them: ids may repeat with other texts.

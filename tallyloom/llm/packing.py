@@ -133,7 +133,7 @@ def _packed(rows: DataFrame, length: int, group: int, sign: int) -> DataFrame:
 
 def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary: str = VOCABULARY, group: int = GROUP, text: str = "text") -> DataFrame:
     """All documents as pieces with their sequence_id and offset; every sequence is gapless from 0."""
-    work = Workspace(docs.sparkSession, "packing")
+    work = Workspace(docs.sparkSession, "packing", wide=True)
     rows = work.keep(pieces(docs, length, end_id, vocabulary, text), "pieces")
     first = work.keep(_packed(rows, length, group, 1), "first")
     full = F.col("room") <= UNDERFULL

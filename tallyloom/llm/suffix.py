@@ -41,6 +41,7 @@ from tallyloom.llm.common import Workspace
 from tallyloom.operators.joins import lookup_join
 
 LENGTH, GRAM, OPEN_LIMIT = 400, 32, 4096
+PIECE = 128  # phrases whose strings, or rows whose texts, are looked at together
 GRAM_WORDS, NEIGHBOURS = 32, 19
 # Bits of a place in what is parsed together; the same for all slices, so that equal hashes are told apart alike everywhere.
 _PLACE_BITS = np.uint64(21)
@@ -125,17 +126,14 @@ def _parsed(rows: DataFrame, length: int, gram: int) -> DataFrame:
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of every wanted phrase of a text, once for each of its contexts."""
     for batch in batches:
-        rid, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for at, _, data, offsets in bytescan.slices(batch.column(1)):
-            out = []
-            for k in range(len(offsets) - 1):
-                for w in wanted[at + k]:
-                    start = int(offsets[k]) + w["lo"]
-                    out.append((w["context"], w["many"], rid[at + k], w["lo"], data[start : start + w["n"] - 1 + length].tobytes()))
-            if out:
-                columns = [pa.array(c) for c in zip(*out, strict=True)]
-                columns[4] = columns[4].cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(columns, names=["context", "many", "rid", "lo", "bytes"])
+        for at, to, data, offsets in bytescan.slices(batch.column(1)):
+            rid, wanted = batch.column(0).slice(at, to - at).to_pylist(), batch.column(2).slice(at, to - at).to_pylist()
+            out = [(w["context"], w["many"], rid[k], w["lo"], int(offsets[k]) + w["lo"], w["n"] - 1 + length) for k in range(to - at) for w in wanted[k]]
+            # A text that is full of repeats is cut out many times over.
+            for some in range(0, len(out), 8 * PIECE):
+                *columns, starts, sizes = zip(*out[some : some + 8 * PIECE], strict=True)
+                parts = pa.array([data[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), parts], names=["context", "many", "rid", "lo", "bytes"])
 
 
 def _strings(parts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,6 +150,13 @@ def _strings(parts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return phrase, place, one.hashes(start, start + length), two.hashes(start, start + length)
 
 
+def _in_pieces(parts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """`_strings` of PIECE phrases at a time; the other arrays that it takes are as long as the piece."""
+    for at in range(0, len(parts), PIECE):
+        phrase, place, one, two = _strings(parts.slice(at, PIECE), length)
+        yield (phrase + at).astype(np.int32), place.astype(np.int32), one, two
+
+
 def _spans(rid: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch:
     """Runs of neighbouring string places as byte intervals."""
     order = np.lexsort((place, rid))
@@ -167,7 +172,7 @@ def _opened(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     """Intervals of strings that occur in two or more of a context's phrases."""
     for run in bytescan.runs(batches, ["context"]):
         if run.num_rows > 1:
-            phrase, place, one, two = _strings(run.column("bytes"), length)
+            phrase, place, one, two = (np.concatenate(x) for x in zip(*_in_pieces(run.column("bytes"), length), strict=True))
             order = np.lexsort((two, one))
             same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             twice = np.zeros(len(one), bool)
@@ -179,10 +184,8 @@ def _opened(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def _listed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            some = batch.slice(at, 512)
-            phrase, place, one, two = _strings(some.column("bytes"), length)
-            rid, lo = some.column("rid").to_numpy()[phrase], some.column("lo").to_numpy()[phrase]
+        for phrase, place, one, two in _in_pieces(batch.column("bytes"), length):
+            rid, lo = batch.column("rid").to_numpy()[phrase], batch.column("lo").to_numpy()[phrase]
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(lo + place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["rid", "place", "h1", "h2"])
 
 
@@ -304,13 +307,13 @@ def _texts(docs: DataFrame, work: Workspace) -> DataFrame:
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left, one row per document row."""
-    work = Workspace(docs.sparkSession, "suffix")
+    work = Workspace(docs.sparkSession, "suffix", wide=True)
     return _digested(_texts(docs, work), work, length).drop("rid")
 
 
 def reported(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`removed`, and n_passages: shared passages of many words, whatever their bytes."""
-    work = Workspace(docs.sparkSession, "suffix")
+    work = Workspace(docs.sparkSession, "suffix", wide=True)
     rows = _texts(docs, work)
     shared = passages(rows, work)
     digests = _digested(rows, work, length).join(shared, "rid", "left")
@@ -319,7 +322,7 @@ def reported(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same rows and columns with repeated stretches cut out of their texts."""
-    work = Workspace(docs.sparkSession, "suffix")
+    work = Workspace(docs.sparkSession, "suffix", wide=True)
     number, spans = "_suffix_rid", "_suffix_spans"
     rows = _numbered(docs, work, number)
     found = repeats(rows.select(F.col(number).alias("rid"), F.coalesce("text", F.lit("")).alias("text")), work, length)
@@ -328,7 +331,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # The caller's job sends batches as large as it likes.
+        for batch in (whole.slice(k, PIECE) for whole in batches for k in range(0, whole.num_rows, PIECE)):
             texts, found_ = batch.column(at).to_pylist(), batch.column(last).to_pylist()
             columns = list(batch.columns[:last])
             sizes = columns[chars].to_pylist() if chars is not None else None

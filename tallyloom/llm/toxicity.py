@@ -126,7 +126,7 @@ def _sample_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    work = Workspace(docs.sparkSession, "toxicity")
+    work = Workspace(docs.sparkSession, "toxicity", wide=True)
     words = work.keep(_sample_words(docs, labels), "sample")
     totals = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):

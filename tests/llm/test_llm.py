@@ -3,17 +3,20 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tallyloom.llm import bytescan, license_scan, neardup, ngram_join, packing, pii, sentencepieces, suffix, token_counts, topk, toxicity
 from tallyloom.llm.bpe import word_bpe
+from tallyloom.llm.common import Workspace
 from tallyloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, length long"
@@ -621,3 +624,48 @@ def test_pii_trees_see_every_candidate(spark):
     frame = spark.createDataFrame([(*map(float, r), float(v), 1.0, float(np.log(p / (1 - p)))) for r, v in zip(x, y)], [*pii.FEATURES, "y", "n", "score"])
     same = pii._tree(x, y - p, np.full(400, p * (1 - p)), pii.DEPTH)
     assert np.allclose(pii._value(pii._grown(frame), x), pii._value(same, x))
+
+
+def test_strings_of_a_hot_context_take_little_memory():
+    """Arrays of the work on strings are as long as a piece of a context's phrases, not as all of them."""
+    rng = random.Random(5)
+    base = bytes(rng.choices(range(97, 123), k=700))
+    parts = [base[:350] + bytes(rng.choices(range(97, 123), k=8)) + base[358:] for _ in range(3000)]
+    parts += [parts[7][1:], parts[9][2:]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(parts)), pa.array(range(len(parts))), pa.array([50] * len(parts)), pa.array(parts, pa.binary())], names=["context", "rid", "lo", "bytes"])
+    tracemalloc.start()
+    got = [r for b in suffix._opened(iter([batch]), 400) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    strings = sum(len(p) - 399 for p in parts)
+    assert peak < 80 * strings, (peak, strings)
+    places = defaultdict(list)
+    for k, p in enumerate(parts):
+        for a in range(len(p) - 399):
+            places[p[a : a + 400]].append((k, 50 + a))
+    want = {x for found in places.values() if len(found) > 1 for x in found}
+    assert {(r["rid"], a) for r in got for a in range(r["a"], r["b"] - 399)} == want and len(want) > 600
+
+
+def test_wide_workspaces_send_small_batches(spark, monkeypatch):
+    """Whole texts go to workers in small batches while frames are stored, and the session's settings are as before."""
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    rows = spark.range(9000, numPartitions=1).mapInArrow(count, "n long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert [r["n"] for r in Workspace(spark, "plain").keep(rows, "a").collect()] == [9000]
+    assert max(r["n"] for r in Workspace(spark, "wide", wide=True).keep(rows, "a").collect()) == 2000
+    assert spark.conf.get(key) == before and spark.conf.get(key, None) is None
+    spark.conf.set(key, 500)
+    try:
+        assert max(r["n"] for r in Workspace(spark, "own", wide=True).keep(rows, "a").collect()) == 500
+        assert spark.conf.get(key) == "500"
+    finally:
+        spark.conf.unset(key)
+    made = []
+    monkeypatch.setattr(suffix, "Workspace", lambda *a, **k: made.append(Workspace(*a, **k)) or made[-1])
+    wide = "x" * 3000
+    big = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(wide).alias("text"))
+    seen = big.mapInArrow(count, "n long")
+    assert max(r["n"] for r in Workspace(spark, "bytes", wide=True).keep(seen, "a").collect()) * len(wide) < 2 * (4 << 20)
+    assert suffix.removed(big.limit(3)).count() == 3 and all(w.wide for w in made) and made
